@@ -45,61 +45,89 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-# Rank error of the sketch that brackets a percentile is n / ACCURACY.
+# Rank error of the sketch that brackets an order statistic is n / ACCURACY.
 ACCURACY = 20_000
 
 
-def nearest_rank(df: DataFrame, col: str, percents: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """Exact nearest-rank percentiles: sorted value at ``round_half_even(p/100*(n-1))``.
+def order_statistics(
+    df: DataFrame,
+    col: str,
+    wanted: dict[str, tuple[float, Column]],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Exact order statistics of a column, per group: ``(*by, statistic, value)``.
+
+    ``wanted`` maps a name to ``(fraction, rank)``, the rank being a 0-based
+    expression over the group size ``n``.  Groups without values give no row.
 
-    Returns ``(*by, percent, value)``; groups without values give no row.
-    Neither sorts the column nor collects it: a quantile sketch brackets each
+    The column is neither sorted nor collected: a quantile sketch brackets each
     wanted rank, then only values inside the bracket are counted exactly.  The
     sketch's error bound makes the bracket certain, so the result is exact.
     """
     by = list(by)
     values = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).alias("__v"))
     fractions = []
-    for p in percents:
-        fractions += [max(0.0, p / 100 - 4 / ACCURACY), min(1.0, p / 100 + 4 / ACCURACY)]
+    for fraction, _ in wanted.values():
+        fractions += [max(0.0, fraction - 4 / ACCURACY), min(1.0, fraction + 4 / ACCURACY)]
     bounds = values.groupBy(*by).agg(
-        F.count("*").alias("__n"),
+        F.count("*").alias("n"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
         F.percentile_approx("__v", fractions, ACCURACY).alias("__edges"),
     )
+    # In small groups rounding may move a rank out of the sketched bracket, and
+    # all their values are few enough to count.
+    small = F.col("n") <= 2 * ACCURACY
     targets = F.array(
         *[
             F.struct(
-                F.lit(p).alias("percent"),
-                # Small groups: the rank formula may leave the sketched bracket.
-                F.when(F.col("__n") <= 2 * ACCURACY, F.col("__min")).otherwise(F.col("__edges")[2 * i]).alias("lo"),
-                F.when(F.col("__n") <= 2 * ACCURACY, F.col("__max")).otherwise(F.col("__edges")[2 * i + 1]).alias("hi"),
-                F.bround(F.lit(p / 100) * (F.col("__n") - 1)).cast("bigint").alias("target"),
+                F.lit(name).alias("statistic"),
+                F.when(small, F.col("__min")).otherwise(F.col("__edges")[2 * i]).alias("__lo"),
+                F.when(small, F.col("__max")).otherwise(F.col("__edges")[2 * i + 1]).alias("__hi"),
+                rank.cast("bigint").alias("__rank"),
             )
-            for i, p in enumerate(percents)
+            for i, (name, (_, rank)) in enumerate(wanted.items())
         ]
     )
-    bounds = bounds.select(*by, F.explode(targets).alias("__t"))
-    bounds = bounds.select(*by, "__t.percent", "__t.lo", "__t.hi", "__t.target")
+    bounds = bounds.select(*by, F.inline(targets))
     if by:
         joined = values.join(bounds, by)
     else:
-        # One row per percentile: a bounded broadcast.
-        joined = values.join(F.broadcast(bounds), F.col("__v") <= F.col("hi"))
-    joined = joined.filter(F.col("__v") <= F.col("hi"))
-    # Values below the bracket collapse into one row per group and percentile.
-    counted = joined.groupBy(
-        *by, "percent", "target", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("__v")
-    ).agg(F.count("*").alias("__c"))
+        # One row per wanted statistic: a bounded broadcast.
+        joined = values.join(F.broadcast(bounds), F.col("__v") <= F.col("__hi"))
+    joined = joined.filter(F.col("__v") <= F.col("__hi"))
+    # Values below the bracket collapse into one row per group and statistic.
+    in_bracket = F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")
+    counted = joined.groupBy(*by, "statistic", "__rank", in_bracket).agg(F.count("*").alias("__c"))
     window = (
-        Window.partitionBy(*by, "percent")
+        Window.partitionBy(*by, "statistic")
         .orderBy(F.col("__v").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = counted.withColumn("__upto", F.sum("__c").over(window))
     return (
-        ranked.filter(F.col("__v").isNotNull() & (F.col("__upto") > F.col("target")))
-        .groupBy(*by, "percent")
+        ranked.filter(F.col("__v").isNotNull() & (F.col("__upto") > F.col("__rank")))
+        .groupBy(*by, "statistic")
         .agg(F.min("__v").alias("value"))
     )
+
+
+def nearest_rank(df: DataFrame, col: str, percents: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Nearest-rank percentiles ``(*by, percent, value)``.
+
+    The value at position ``round_half_even(p/100 * (n-1))`` of the sorted
+    column; neither interpolated nor ``percentile_disc``.
+    """
+    wanted = {str(p): (p / 100, F.bround(F.lit(p / 100) * (F.col("n") - 1))) for p in percents}
+    stats = order_statistics(df, col, wanted, by)
+    return stats.select(*by, F.col("statistic").cast("int").alias("percent"), "value")
+
+
+def median(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Median ``(*by, median)``: the mean of the two middle values of an even count."""
+    last = F.col("n") - 1
+    wanted = {"low": (0.5, F.floor(last / 2)), "high": (0.5, F.ceil(last / 2))}
+    stats = order_statistics(df, col, wanted, by)
+    if by:
+        stats = stats.groupBy(*by)
+    return stats.agg(F.avg("value").alias("median"))

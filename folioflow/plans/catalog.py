@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.plans import logs
+from folioflow.plans import logs, retrieval
 
-FLAGSHIP = "i5_daily_series"
+FLAGSHIP = "g3_retrieve"
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (logs,):
+for module in (logs, retrieval):
     for name, (query, sql) in module.PLANS.items():
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")

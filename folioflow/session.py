@@ -33,6 +33,7 @@ def local_session(cpus: int = 8, app: str = "folioflow") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
     for key, value in RUNTIME_CONF.items():
