@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A union of two co-partitioned inputs may be joined with the wrong number
+    # of partitions once AQE coalesces one side (Spark 4.1).
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
