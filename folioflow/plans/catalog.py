@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.plans import governance, logs, retrieval
+from folioflow.plans import governance, logs, preparation, retrieval
 
 FLAGSHIP = "g3_retrieve"
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (governance, logs, retrieval):
+for module in (governance, preparation, logs, retrieval):
     for name, (query, sql) in module.PLANS.items():
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
