@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.running import line_block, running
 from folioflow.functions.text import strip
+from folioflow.sources.files import staged
 
 # Fixed patterns of the layout, applied to single lines.
 PAGE_NUMBER = r"^\s*\d+\s*$"
@@ -112,27 +113,26 @@ def mark_headings(lines: DataFrame, styles: DataFrame) -> DataFrame:
     )
 
 
-def carry_chapter(marked: DataFrame) -> DataFrame:
+def _chapter_mark() -> Column:
+    number = F.regexp_extract("line", CHAPTER, 1)
+    return F.when(number != "", F.struct(F.col("line_no").alias("at"), number.alias("number")))
+
+
+def _chapter_titles(carried: DataFrame) -> DataFrame:
+    """First non-blank line after each chapter heading: ``(act_id, __at, chapter)``."""
+    text = strip(F.col("line"))
+    after = carried.filter(F.col("__chapter").isNotNull() & (text != ""))
+    return after.groupBy(DOC, F.col("__chapter.at").alias("__at")).agg(F.min_by(text, "line_no").alias("chapter"))
+
+
+def carry_chapter(lines: DataFrame) -> DataFrame:
     """Adds to each line the last chapter strictly before it, with its title.
 
     The title is the next non-blank line after the chapter heading.
     """
-    text = F.when(strip(F.col("line")) != "", strip(F.col("line")))
-    titled = running(
-        marked, [DOC], ["line_no"], line_block(), {"__next": ("last", text, False)}, reverse=True
-    )
-    number = F.regexp_extract("line", CHAPTER, 1)
-    chapter = F.when(number != "", F.struct(number.alias("n"), F.col("__next").alias("t")))
-    carried = running(
-        titled.withColumn("__chapter", chapter),
-        [DOC],
-        ["line_no"],
-        line_block(),
-        {"__last": ("last", F.col("__chapter"), False)},
-    )
-    return carried.select(
-        *marked.columns, F.col("__last.n").alias("chapter_number"), F.col("__last.t").alias("chapter")
-    )
+    carried = running(lines, [DOC], ["line_no"], line_block(), {"__chapter": ("last", _chapter_mark(), False)})
+    joined = carried.withColumn("__at", F.col("__chapter.at")).join(_chapter_titles(carried), [DOC, "__at"], "left")
+    return joined.select(*lines.columns, F.col("__chapter.number").alias("chapter_number"), "chapter")
 
 
 def split_sections(lines: DataFrame) -> DataFrame:
@@ -140,35 +140,49 @@ def split_sections(lines: DataFrame) -> DataFrame:
 
     A section runs from its heading line to the next.  Lines of a page are
     joined by a line break, pages by a blank line.  ``line_no`` is that of the
-    heading.  Short bodies are still included; see ``drop_short``.
+    heading.  Short bodies are still included; see ``drop_short``.  The lines
+    are read several times, so they should be a stage table.
     """
-    marked = carry_chapter(mark_headings(lines, choose_heading_style(lines)))
-    head = F.when(
-        F.col("number").isNotNull(),
-        F.struct(F.col("line_no").alias("start"), "number", "heading", "chapter_number", "chapter"),
-    )
+    marked = mark_headings(lines, choose_heading_style(lines))
+    is_heading = F.col("number").isNotNull()
     owned = running(
-        marked.withColumn("__head", head), [DOC], ["line_no"], line_block(), {"__own": ("last", F.col("__head"), True)}
-    ).filter("__own is not null")
+        marked,
+        [DOC],
+        ["line_no"],
+        line_block(),
+        {
+            "__start": ("last", F.when(is_heading, F.col("line_no")), True),
+            "__chapter": ("last", _chapter_mark(), False),
+        },
+    )
     # The heading line itself is not part of the body.
-    body_line = F.when(F.col("number").isNull(), F.struct("line_no", "line"))
-    pages = owned.groupBy(DOC, "__own", "page_no").agg(
-        F.array_join(F.array_sort(F.collect_list(body_line))["line"], "\n").alias("part")
+    body_line = F.when(~is_heading, F.struct("line_no", "line"))
+    pages = (
+        owned.filter("__start is not null")
+        .groupBy(DOC, "__start", "page_no")
+        .agg(
+            F.array_join(F.array_sort(F.collect_list(body_line))["line"], "\n").alias("part"),
+            F.max(F.when(is_heading, F.struct("number", "heading", "__chapter"))).alias("__head"),
+        )
     )
-    bodies = pages.groupBy(DOC, "__own").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "part")))["part"], "\n\n").alias("body")
+    bodies = pages.groupBy(DOC, "__start").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "part")))["part"], "\n\n").alias("body"),
+        F.max("__head").alias("__head"),
     )
     body = strip(F.regexp_replace("body", "\n{3,}", "\n\n"))
-    moved = F.col("__own.heading").startswith("(") & F.contains(F.substring("__own.heading", 1, 5), F.lit(")"))
-    return bodies.select(
+    heading = F.col("__head.heading")
+    moved = heading.startswith("(") & F.contains(F.substring(heading, 1, 5), F.lit(")"))
+    found = bodies.select(
         DOC,
-        F.col("__own.start").alias("line_no"),
-        F.col("__own.number").alias("number"),
-        F.when(moved, "").otherwise(F.col("__own.heading")).alias("heading"),
-        F.col("__own.chapter_number").alias("chapter_number"),
-        F.col("__own.chapter").alias("chapter"),
-        F.when(moved, F.concat("__own.heading", F.lit("\n"), body)).otherwise(body).alias("body"),
+        F.col("__start").alias("line_no"),
+        F.col("__head.number").alias("number"),
+        F.when(moved, "").otherwise(heading).alias("heading"),
+        F.col("__head.__chapter.number").alias("chapter_number"),
+        F.col("__head.__chapter.at").alias("__at"),
+        F.when(moved, F.concat(heading, F.lit("\n"), body)).otherwise(body).alias("body"),
     )
+    titled = found.join(_chapter_titles(owned), [DOC, "__at"], "left")
+    return titled.select(DOC, "line_no", "number", "heading", "chapter_number", "chapter", "body")
 
 
 def drop_short(sections: DataFrame, min_chars: int = MIN_BODY_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -209,8 +223,13 @@ def monotonic_sections(sections: DataFrame) -> DataFrame:
 
 
 def parse_act_lines(lines: DataFrame) -> DataFrame:
-    """Page cleaning, contents removal, section split and clean-up in one go."""
+    """Page cleaning, contents removal, section split and clean-up in one go.
+
+    Lines and sections become stage tables in the shared folder, since the
+    following steps read them more than once.
+    """
+    lines = staged(lines, "act-lines")
     cleaned = clean_lines(lines, repeating_lines(lines, DOC, "page_no"), DOC)
-    body, _ = skip_toc(cleaned)
-    kept, _ = drop_short(split_sections(body))
-    return monotonic_sections(kept)
+    body, _ = skip_toc(staged(cleaned, "act-cleaned"))
+    kept, _ = drop_short(split_sections(staged(body, "act-body")))
+    return monotonic_sections(staged(kept, "act-sections"))

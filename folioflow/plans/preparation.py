@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow import fixtures as fx
 from folioflow.functions.text import token_estimate
 from folioflow.operators import chunk, sections
+from folioflow.sources.files import staged
 
 VERSION = "2024.01"
 
@@ -65,8 +66,8 @@ def heading_styles(spark, sf):
 
 def raw_sections(spark, sf):
     """Sections with running titles and footnotes still in, to exercise the clean-up."""
-    body, _ = sections.skip_toc(verbose_variants(spark, sf))
-    return sections.split_sections(body)
+    body, _ = sections.skip_toc(staged(verbose_variants(spark, sf), "act-lines"))
+    return sections.split_sections(staged(body, "act-body"))
 
 
 def section_rows(spark, sf):
@@ -79,7 +80,7 @@ def section_chapters(spark, sf):
 
 def long_sections(spark, sf):
     kept, _ = sections.drop_short(raw_sections(spark, sf))
-    return kept
+    return staged(kept, "act-sections")
 
 
 def monotonic(spark, sf):

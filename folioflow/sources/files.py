@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions.text import is_blank
+from folioflow.session import stage_path
 
 
 def _name_parts(df: DataFrame, name: str) -> DataFrame:
@@ -82,3 +83,15 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> D
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a stage, replacing what was there."""
     df.write.mode("overwrite").format(fmt).save(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    Cuts the lineage where a result is read several times; unlike a cache the
+    table outlives a lost executor.
+    """
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    write_stage(df, path)
+    return spark.read.schema(df.schema).parquet(path)
