@@ -128,18 +128,24 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role = 'assistant'").selectExpr(
         "conv_id * 1000 + turn as query_id",
         "5 as n_sources",
-        """concat(substr(text, 1, 200), ' [', cast(turn % 7 as string), '] and [', cast(conv_id % 6 + 1 as string),
+        """concat(text, ' [', cast(turn % 7 as string), '] and [', cast(conv_id % 6 + 1 as string),
              '] then [0', cast(turn % 9 as string), '] .') as answer_text""",
     )
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").selectExpr("item_id as query_id", "substr(text, 1, 120) as query")
+    """Every benchmark passage as a question."""
+    return table(spark, sf_dir, "benchmark").selectExpr("item_id as query_id", "text as query")
 
 
 def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 20").selectExpr(
-        "vec_id as query_id", "embedding as query_vec", "label"
+    """One query vector per label: the mean of its vectors."""
+    cells = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "value"))
+    means = cells.groupBy("label", "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"))
+    # One row per vector dimension is collected, whatever the number of vectors.
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "mean")))
+    return means.groupBy("label").agg(ordered["mean"].alias("query_vec")).select(
+        F.col("label").cast("bigint").alias("query_id"), "query_vec", "label"
     )
 
 
@@ -189,14 +195,15 @@ act_lines as (select act_id, rn as line_no, cast(floor((rn - 1) / 20) as int) as
 from (select l_suppkey as act_id, l_partkey as part, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as rn from lineitem) t)""",
     "answers": """
 answers as (select conv_id * 1000 + turn as query_id, 5 as n_sources,
- concat(substr(text, 1, 200), ' [', cast(turn % 7 as varchar), '] and [', cast(conv_id % 6 + 1 as varchar), '] then [0', cast(turn % 9 as varchar), '] .') as answer_text
+ concat(text, ' [', cast(turn % 7 as varchar), '] and [', cast(conv_id % 6 + 1 as varchar), '] then [0', cast(turn % 9 as varchar), '] .') as answer_text
 from conversations where role = 'assistant')""",
     "text_queries": """
-text_queries as (select item_id as query_id, substr(text, 1, 120) as query from benchmark)""",
+text_queries as (select item_id as query_id, text as query from benchmark)""",
     "expected_docs": """
-expected_docs as (select b.item_id as query_id, d.doc_id from benchmark b join documents d on contains(d.text, substr(b.text, 1, 60)))""",
+expected_docs as (select b.item_id as query_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text))""",
     "vec_queries": """
-vec_queries as (select vec_id as query_id, embedding as query_vec, label from embeddings where vec_id < 20)""",
+vec_queries as (select cast(label as bigint) as query_id, list(mean order by dim) as query_vec, label from (
+  select label, dim, avg(value) as mean from (select label, unnest(embedding)::double as value, unnest(range(len(embedding))) as dim from embeddings) group by 1, 2) group by label)""",
 }
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.plans import evaluation, extraction, governance, logs, preparation, retrieval
+from folioflow.plans import evaluation, extraction, governance, logs, preparation, retrieval, streams
 
 FLAGSHIP = "g3_retrieve"
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (governance, extraction, preparation, retrieval, logs, evaluation):
+for module in (governance, extraction, preparation, retrieval, logs, evaluation, streams):
     for name, (query, sql) in module.PLANS.items():
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")

@@ -28,7 +28,7 @@ def eval_rules(spark, sf):
 
 
 def expected_docs(spark, sf):
-    passages = fx.table(spark, sf, "benchmark").selectExpr("item_id as query_id", "substr(text, 1, 60) as passage")
+    passages = fx.table(spark, sf, "benchmark").selectExpr("item_id as query_id", "text as passage")
     return evaluate.contains_passage(passages, fx.table(spark, sf, "documents").select("doc_id", "text"))
 
 

@@ -135,9 +135,9 @@ def hits(spark, sf):
     docs = fx.table(spark, sf, "documents").selectExpr(
         "doc_id as chunk_id", "text", *fx._split_select(HIT_META.format(t="string"))
     )
-    wanted = fx.answers(spark, sf).selectExpr("query_id", "explode(sequence(1, 5)) as rank").selectExpr(
-        "query_id", "rank", "(query_id + rank * 17) % 200 as chunk_id"
-    )
+    n_docs = docs.agg(F.count("*").alias("n")).scalar()
+    wanted = fx.answers(spark, sf).selectExpr("query_id", "explode(sequence(1, 5)) as rank")
+    wanted = wanted.withColumn("chunk_id", (F.col("query_id") * 7 + F.col("rank") * 17) % n_docs)
     return wanted.join(docs, "chunk_id")
 
 
@@ -185,7 +185,7 @@ URL_SQL = """select page_id, case page_id % 6 when 0 then 'https://cases.example
   when 3 then 'https://cases.example.com/doc/3' || page_id || '/' when 4 then 'https://cases.example.com/doc/4' || page_id || '/' end as canonical_url,
  case when page_id % 6 in (0, 1, 2, 3) then 'high' when page_id % 6 = 4 then 'medium' else 'low' end as url_confidence from pages"""
 HITS_SQL = f"""h as (select a.query_id, r.rank, d.doc_id as chunk_id, d.text, {HIT_META.format(t='varchar')}
-  from answers a, unnest([1, 2, 3, 4, 5]) r(rank) join documents d on d.doc_id = (a.query_id + r.rank * 17) % 200)"""
+  from answers a, unnest([1, 2, 3, 4, 5]) r(rank) join documents d on d.doc_id = (a.query_id * 7 + r.rank * 17) % (select count(*) from documents))"""
 VERIFY_SQL = """c as (select query_id, answer_text, n_sources, list_transform(regexp_extract_all(answer_text, '\\[(\\d+)\\]', 1), lambda x: cast(x as int)) as cited from answers),
  e as (select query_id, unnest(cited) as n, unnest(range(len(cited))) as i from c),
  f as (select query_id, n, min(i) as i from e group by 1, 2),

@@ -212,8 +212,7 @@ def fusion(spark, sf):
 
 
 def gate(spark, sf):
-    candidates = vectors(spark, sf).filter("chunk_id >= 20")
-    by_vector = retrieve.vector_topk(candidates, fx.vec_queries(spark, sf), 20)
+    by_vector = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), 20)
     by_text = retrieve.bm25_topk(query_index(spark, sf), fx.text_queries(spark, sf), 20)
     queries = fx.text_queries(spark, sf).select("query_id").unionByName(
         spark.range(100_000, 100_003).select(F.col("id").alias("query_id"))
@@ -230,7 +229,7 @@ def hybrid(spark, sf):
 
 
 def class_scores(spark, sf):
-    best = retrieve.vector_topk(vectors(spark, sf).filter("chunk_id >= 20"), fx.vec_queries(spark, sf), 1)
+    best = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), 1)
     labels = fx.vec_queries(spark, sf).select("query_id", (F.col("label") % 2 == 0).alias("in_scope"))
     return labels.join(best.select("query_id", "score"), "query_id")
 
@@ -434,7 +433,7 @@ PLANS = {
     "g2_scope_gate": (
         gate,
         fx.duck("text_queries", "vec_queries", body=f"""with {BM25_CTES},
- b as (select query_id, max(score) as best from ({cos_sql('where e.vec_id >= 20')}) group by 1),
+ b as (select query_id, max(score) as best from ({cos_sql()}) group by 1),
  q as (select query_id from text_queries union all select unnest([100000, 100001, 100002])),
  t as (select distinct query_id from bmr)
  select q.query_id, coalesce(best, 0.0::double) as top_similarity,
@@ -457,7 +456,7 @@ PLANS = {
     ),
     "g4_calibrate_threshold": (
         calibration,
-        fx.duck("vec_queries", body=f"""with s as (select query_id, (select label from vec_queries v where v.query_id = c.query_id) % 2 = 0 as in_scope, score from ({cos_sql('where e.vec_id >= 20', 1)}) c),
+        fx.duck("vec_queries", body=f"""with s as (select query_id, (select label from vec_queries v where v.query_id = c.query_id) % 2 = 0 as in_scope, score from ({cos_sql(k=1)}) c),
  b as (select count(*) filter (in_scope) as n_in, min(score) filter (in_scope) as min_in, max(score) filter (in_scope) as max_in,
   count(*) filter (not in_scope) as n_out, min(score) filter (not in_scope) as min_out, max(score) filter (not in_scope) as max_out,
   round(median(score) filter (in_scope), 6) as median_in, round(median(score) filter (not in_scope), 6) as median_out from s)
@@ -469,7 +468,7 @@ PLANS = {
     ),
     "g4_calibration_offenders": (
         calibration_offenders,
-        fx.duck("vec_queries", body=f"""with s as (select query_id, (select label from vec_queries v where v.query_id = c.query_id) % 2 = 0 as in_scope, score from ({cos_sql('where e.vec_id >= 20', 1)}) c)
+        fx.duck("vec_queries", body=f"""with s as (select query_id, (select label from vec_queries v where v.query_id = c.query_id) % 2 = 0 as in_scope, score from ({cos_sql(k=1)}) c)
  select * from s where (not in_scope and score > (select min(score) from s where in_scope)) or (in_scope and score < (select max(score) from s where not in_scope))"""),
     ),
     "g5_normalize_query": (
