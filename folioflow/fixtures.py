@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.running import numbered
 from folioflow.session import configure
+from folioflow.sources.files import spread
+
+
+# Tables with long texts, and their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 QUERY_LOG_COLUMNS = """

@@ -57,9 +57,12 @@ def question_key(col: Column) -> Column:
 
 
 def tokens(col: Column) -> Column:
-    """Search tokens: lower case, section sign spelled out, runs of ``[a-z0-9_]``."""
+    """Search tokens: lower case, section sign spelled out, whole runs of ``[a-z0-9_]``.
+
+    One matching pass; shorter runs never become array elements.
+    """
     lowered = F.replace(F.lower(col), F.lit("§"), F.lit("section "))
-    return F.filter(F.split(lowered, "[^a-z0-9_]+"), lambda t: F.length(t) >= MIN_TOKEN_LEN)
+    return F.regexp_extract_all(lowered, F.lit("[a-z0-9_]{%d,}" % MIN_TOKEN_LEN), F.lit(0))
 
 
 def token_estimate(col: Column) -> Column:

@@ -60,20 +60,32 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class RunningTopK:
-    """Best ``k`` ids per query over the vector batches one task sees."""
+    """Best ``k`` ids per query over the batches one task sees."""
 
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
-        self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n_queries
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = np.round(np.maximum(self.queries @ unit_rows(vectors).T, 0.0), SCORE_DIGITS)
+    def add(self, ids: np.ndarray, scores: np.ndarray, only_positive: bool = False) -> None:
+        """Merge rounded ``scores`` (queries by ids)."""
+        scores = np.round(scores, SCORE_DIGITS)
         for q, row in enumerate(scores):
-            keep = best_of(row, ids, self.k)
-            found, found_ids = row[keep], ids[keep]
+            found, found_ids = row, ids
+            if only_positive:
+                matched = np.flatnonzero(row > 0)
+                if not len(matched):
+                    continue
+                found, found_ids = row[matched], ids[matched]
+            keep = best_of(found, found_ids, self.k)
+            found, found_ids = found[keep], found_ids[keep]
             if self.best[q] is not None:
                 found = np.concatenate([self.best[q][0], found])
                 found_ids = np.concatenate([self.best[q][1], found_ids])
                 keep = best_of(found, found_ids, self.k)
                 found, found_ids = found[keep], found_ids[keep]
             self.best[q] = (found, found_ids)
+
+
+def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cosine of unit-length queries with vectors, negatives as 0."""
+    return np.maximum(queries @ unit_rows(vectors).T, 0.0)

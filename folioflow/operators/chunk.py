@@ -19,15 +19,13 @@ MIN_CHUNK = 100
 JOINT = "\n\n"
 
 
-def _chunk_starts(lengths: Column, target: int, hard: int | None) -> Column:
-    """Positions (from 0) where a chunk starts.
+def pack(lengths: Column, target: int = TARGET_MAX, hard: int | None = None) -> Column:
+    """Array of ``(first, n)``: first part (from 0) and number of parts of each chunk.
 
     A part joins the open chunk while the total with two-character joints
     stays within ``target``; a part longer than ``hard`` stands alone.
     """
-    start = F.struct(
-        F.array().cast("array<int>").alias("starts"), F.lit(-1).alias("open"), F.lit(0).alias("pos")
-    )
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(-1).alias("open"), F.lit(0).alias("pos"))
 
     def step(acc: Column, length: Column) -> Column:
         joined = acc["open"] + 2 + length
@@ -42,17 +40,14 @@ def _chunk_starts(lengths: Column, target: int, hard: int | None) -> Column:
             (acc["pos"] + 1).alias("pos"),
         )
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["starts"])
+    def finish(acc: Column) -> Column:
+        def chunk(first: Column, i: Column) -> Column:
+            following = F.coalesce(F.get(acc["starts"], i + 1), acc["pos"])
+            return F.struct(first.alias("first"), (following - first).alias("n"))
 
+        return F.transform(acc["starts"], chunk)
 
-def pack(parts: Column, lengths: Column, target: int = TARGET_MAX, hard: int | None = None) -> Column:
-    """Array of ``(first, n)``: first part (from 0) and number of parts of each chunk."""
-    starts = _chunk_starts(lengths, target, hard)
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(parts)))
-    return F.transform(
-        F.arrays_zip(starts.alias("first"), ends.alias("next")),
-        lambda c: F.struct(c["first"].alias("first"), (c["next"] - c["first"]).alias("n")),
-    )
+    return F.aggregate(lengths, start, step, finish)
 
 
 def _blocks(text: Column) -> Column:
@@ -71,11 +66,11 @@ def chunk_sections(sections: DataFrame) -> DataFrame:
     whole = sections.withColumn("__text", strip(F.col("text"))).filter("__text <> ''")
     parts = F.when(F.length("__text") <= HARD_MAX, F.array("__text")).otherwise(_blocks(F.col("__text")))
     staged = whole.withColumn("__parts", parts)
-    lengths = F.transform("__parts", F.length)
-    packed = staged.select(*kept, "__parts", pack(F.col("__parts"), lengths).alias("__packs"))
+    packed = staged.select(*kept, "__parts", pack(F.transform("__parts", F.length)).alias("__packs"))
+    # The outer form: Catalyst would repeat the packing in a filter below the plain one.
     pieces = packed.select(
-        *kept, "__parts", F.size("__packs").alias("__n"), F.posexplode("__packs").alias("sub_index", "__pack")
-    )
+        *kept, "__parts", F.size("__packs").alias("__n"), F.posexplode_outer("__packs").alias("sub_index", "__pack")
+    ).filter("__pack is not null")
     pieces = pieces.select(
         *kept,
         "__n",
@@ -105,7 +100,8 @@ def pack_paragraphs(docs: DataFrame) -> DataFrame:
     )
     staged = docs.select(*kept, F.filter(trimmed, lambda p: p["t"] != "").alias("__p"))
     lengths = F.transform("__p", lambda p: F.length(p["t"]))
-    packed = staged.select(*kept, "__p", F.explode(pack(F.col("__p"), lengths, hard=HARD_MAX)).alias("__pack"))
+    packed = staged.select(*kept, "__p", F.explode_outer(pack(lengths, hard=HARD_MAX)).alias("__pack"))
+    packed = packed.filter("__pack is not null")
     chunks = packed.select(*kept, F.slice("__p", F.col("__pack.first") + 1, F.col("__pack.n")).alias("__c"))
     chunks = chunks.select(
         *kept,
@@ -117,9 +113,9 @@ def pack_paragraphs(docs: DataFrame) -> DataFrame:
     oversize = (F.col("__n") == 1) & (F.length("__text") > HARD_MAX)
     parts = F.when(oversize, _blocks(F.col("__text"))).otherwise(F.array("__text"))
     staged = chunks.withColumn("__parts", parts)
-    packs = pack(F.col("__parts"), F.transform("__parts", F.length))
+    packs = pack(F.transform("__parts", F.length))
     pieces = staged.select(
-        *kept, "start_index", "end_index", "__parts", F.posexplode(packs).alias("piece", "__pack")
+        *kept, "start_index", "end_index", "__parts", F.posexplode_outer(packs).alias("piece", "__pack")
     )
     return pieces.select(
         *kept,

@@ -23,7 +23,7 @@ def contains_passage(passages: DataFrame, docs: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     anchors = passages.select("query_id", longest.alias("term"))
     words = docs.select(
-        "doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))).alias("term")
+        "doc_id", F.explode_outer(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))).alias("term")
     )
     pairs = words.join(anchors, "term").select("query_id", "doc_id")
     located = docs.select("doc_id", "text").join(pairs, "doc_id").join(passages, "query_id")

@@ -145,7 +145,7 @@ def section_references(df: DataFrame, key: str, position: str, text: str = "line
     """In-range section numbers ``(key, position, nth, section)`` found in a text column."""
     named = F.regexp_extract_all(text, F.lit(SECTION_REF), F.lit(1))
     coded = F.regexp_extract_all(text, F.lit(SECTION_REF), F.lit(2))
-    found = df.select(key, position, F.posexplode(F.arrays_zip(named.alias("a"), coded.alias("b"))).alias("nth", "m"))
+    found = df.select(key, position, F.posexplode_outer(F.arrays_zip(named.alias("a"), coded.alias("b"))).alias("nth", "m"))
     number = F.when(F.col("m.a") != "", F.col("m.a")).otherwise(F.col("m.b")).try_cast("int")
     numbered = found.select(key, position, "nth", number.alias("section"))
     return numbered.filter(F.col("section").between(*FIRST_CODE) | F.col("section").between(*SECOND_CODE))

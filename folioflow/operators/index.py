@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.ranking import duplicate_keys, first_by_key, latest_by_key
 from folioflow.functions.text import tokens
+from folioflow.sources.files import staged
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,8 @@ def build_postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> In
     """
     docs = tokenize(chunks.select("chunk_id", "text")).select("chunk_id", "tokens", F.size("tokens").alias("dl"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
-    words = docs.select("chunk_id", "dl", F.explode("tokens").alias("term"))
+    # The outer form: below the plain one Catalyst would tokenize again in a filter.
+    words = docs.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).filter("term is not null")
     if vocabulary is not None:
         words = words.join(vocabulary.select("term").distinct(), "term", "left_semi")
     # A chunk's tokens sit in one map task, so partial aggregation already
@@ -42,6 +44,12 @@ def build_postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> In
     return InvertedIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
+def stage_index(index: InvertedIndex) -> InvertedIndex:
+    """The index over postings written once; document frequencies are read from them."""
+    postings = staged(index.postings, "postings")
+    return InvertedIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), index.stats)
+
+
 def write_index(index: InvertedIndex, path: str) -> None:
     """Store the index sorted by term, so a lookup reads few row groups.
 

@@ -30,7 +30,8 @@ def length_between(col: Column, low: int, high: int) -> Column:
 def validate_rules(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """``(key, rule)`` per broken rule; a rule that yields null counts as broken."""
     broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
-    return df.select(key, F.explode(F.array_compact(F.array(*broken))).alias("rule"))
+    named = df.select(key, F.explode_outer(F.array_compact(F.array(*broken))).alias("rule"))
+    return named.filter("rule is not null")
 
 
 def missing_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ DOC = "act_id"
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per line, numbered from 1 in its document."""
     kept = [c for c in docs.columns if c != text]
-    lines = docs.select(*kept, F.posexplode(F.split(text, "\n")).alias("__pos", "line"))
-    return lines.select(*kept, (F.col("__pos") + 1).alias("line_no"), "line")
+    lines = docs.select(*kept, F.posexplode_outer(F.split(text, "\n")).alias("__pos", "line"))
+    return lines.filter("line is not null").select(*kept, (F.col("__pos") + 1).alias("line_no"), "line")
 
 
 def repeating_lines(lines: DataFrame, group: str, page: str, min_repeats: int = MIN_REPEATS) -> DataFrame:

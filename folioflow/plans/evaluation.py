@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioflow import fixtures as fx
 from folioflow.operators import evaluate, retrieve
 from folioflow.plans.logs import rounded
-from folioflow.plans.retrieval import BM25_CTES, query_index
+from folioflow.plans.retrieval import BM25_CTES, chunks
 
 
 def questions(spark, sf):
@@ -33,7 +33,7 @@ def expected_docs(spark, sf):
 
 
 def bm25_hits(spark, sf):
-    hits = retrieve.bm25_topk(query_index(spark, sf), fx.text_queries(spark, sf), 20)
+    hits = retrieve.bm25_topk(chunks(spark, sf), fx.text_queries(spark, sf), 20)
     return hits.withColumnRenamed("chunk_id", "item")
 
 

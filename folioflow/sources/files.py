@@ -95,3 +95,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     write_stage(df, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a table that is stored in fewer pieces than there are cores.
+
+    Costly text work on one row group would otherwise run in one task.  A
+    table with enough splits, which is any large one, is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
