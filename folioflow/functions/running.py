@@ -34,7 +34,9 @@ def running(
 
     ``measures`` maps an output name to ``(kind, value, inclusive)`` where kind
     is ``sum``, ``max`` or ``last`` (last non-null) and ``inclusive`` says
-    whether the current row counts.  ``reverse`` walks from the end.
+    whether the current row counts.  ``reverse`` walks from the end.  Sums and
+    maxima of numbers combine by hash ahead of the shuffle, so the maximum of a
+    line number is a cheaper "last marked line" than ``last``.
     """
     keys, order = list(keys), list(order)
     base = df.withColumn("__block", block)

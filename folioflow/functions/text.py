@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the data contract.
+WHITE_SPACE = " \t\n\u000b\f\r"
 MIN_TOKEN_LEN = 2
 CHARS_PER_TOKEN = 4.0
 EXCERPT_CHARS = 3000
@@ -13,8 +14,8 @@ EXCERPT_MIN_CHARS = 200
 
 
 def strip(col: Column) -> Column:
-    """Trim every kind of ASCII white space (``trim`` only removes blanks)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Trim every kind of ASCII white space (``trim`` alone only removes blanks)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def collapse(col: Column) -> Column:

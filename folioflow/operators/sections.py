@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.running import line_block, running
-from folioflow.functions.text import strip
+from folioflow.functions.text import WHITE_SPACE, strip
 from folioflow.sources.files import staged
 
 # Fixed patterns of the layout, applied to single lines.
@@ -19,6 +19,7 @@ PAGE_NUMBER = r"^\s*\d+\s*$"
 TOC_MARKER = r"(?i)ARRANGEMENT\s+OF\s+(SECTIONS|CLAUSES)"
 CHAPTER = r"^\s*CHAPTER\s+([IVXLCDM]+|\d+)\s*$"
 HEADING = r"^\s*(\d{1,3}[A-Z]{0,2})\.\s+(.{0,200})$"
+ANY_HEADING = r"^\s*(Section\s+)?(\d{1,3}[A-Z]{0,2})\.\s+(.{0,200})$"
 HEADING_VERBOSE = r"^\s*Section\s+(\d{1,3}[A-Z]{0,2})\.\s+(.{0,200})$"
 
 MIN_REPEATS = 3
@@ -50,7 +51,7 @@ def clean_lines(lines: DataFrame, repeating: DataFrame, group: str) -> DataFrame
     keyed = lines.withColumn("__key", strip(F.col("line"))).filter(~F.col("line").rlike(PAGE_NUMBER))
     drop = repeating.select(group, F.col("line").alias("__key"))
     kept = keyed.join(drop, [group, "__key"], "left_anti")
-    squeezed = F.regexp_replace(F.regexp_replace("line", r"[ \t]+", " "), r"\s+$", "")
+    squeezed = F.rtrim(F.regexp_replace("line", r"[ \t]+", " "), F.lit(WHITE_SPACE))
     return kept.withColumn("line", F.when(F.col("__key") == "", "").otherwise(squeezed)).drop("__key").select(*lines.columns)
 
 
@@ -88,11 +89,16 @@ def skip_toc(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return body.select(*lines.columns), bounds.filter("n_first < 2").select(DOC, warning.alias("warning"))
 
 
+def _heading_parts() -> tuple[Column, Column]:
+    """Number of a heading line in either form, else empty, and whether it is the long form."""
+    return F.regexp_extract("line", ANY_HEADING, 2), F.regexp_extract("line", ANY_HEADING, 1) != ""
+
+
 def choose_heading_style(lines: DataFrame) -> DataFrame:
     """Per act the heading form that matches more lines; the short form wins ties."""
+    number, is_long = _heading_parts()
     votes = lines.groupBy(DOC).agg(
-        F.count_if(F.col("line").rlike(HEADING)).alias("n_standard"),
-        F.count_if(F.col("line").rlike(HEADING_VERBOSE)).alias("n_verbose"),
+        F.count_if((number != "") & ~is_long).alias("n_standard"), F.count_if(is_long).alias("n_verbose")
     )
     style = F.when(F.col("n_verbose") > F.col("n_standard"), "verbose").otherwise("standard")
     return votes.withColumn("style", style)
@@ -100,39 +106,38 @@ def choose_heading_style(lines: DataFrame) -> DataFrame:
 
 def mark_headings(lines: DataFrame, styles: DataFrame) -> DataFrame:
     """Adds ``number`` and ``heading`` on heading lines, null elsewhere."""
-    joined = lines.join(styles.select(DOC, "style"), DOC)
+    number, is_long = _heading_parts()
+    joined = lines.join(styles.select(DOC, (F.col("style") == "verbose").alias("__long")), DOC)
+    marked = joined.withColumn("number", F.when((number != "") & (is_long == F.col("__long")), number))
+    heading = F.regexp_replace(strip(F.regexp_extract("line", ANY_HEADING, 3)), r"\.+$", "")
+    return marked.select(*lines.columns, "number", F.when(F.col("number").isNotNull(), heading).alias("heading"))
 
-    def part(group: int) -> Column:
-        pick = F.when(F.col("style") == "verbose", F.regexp_extract("line", HEADING_VERBOSE, group))
-        return pick.otherwise(F.regexp_extract("line", HEADING, group))
-
-    is_heading = part(1) != ""
-    heading = F.regexp_replace(strip(part(2)), r"\.+$", "")
-    return joined.select(
-        *lines.columns, F.when(is_heading, part(1)).alias("number"), F.when(is_heading, heading).alias("heading")
-    )
 
+def _chapter_line() -> Column:
+    """The line number on chapter headings.  A running maximum of it is the last one seen."""
+    return F.when(F.col("line").rlike(CHAPTER), F.col("line_no"))
 
-def _chapter_mark() -> Column:
-    number = F.regexp_extract("line", CHAPTER, 1)
-    return F.when(number != "", F.struct(F.col("line_no").alias("at"), number.alias("number")))
 
+def _chapters(carried: DataFrame) -> DataFrame:
+    """``(act_id, __chapter, chapter_number, chapter)`` per chapter heading.
 
-def _chapter_titles(carried: DataFrame) -> DataFrame:
-    """First non-blank line after each chapter heading: ``(act_id, __at, chapter)``."""
+    The title is the first non-blank line after the heading.
+    """
     text = strip(F.col("line"))
+    numbers = carried.filter(F.col("line").rlike(CHAPTER)).select(
+        DOC, F.col("line_no").alias("__chapter"), F.regexp_extract("line", CHAPTER, 1).alias("chapter_number")
+    )
     after = carried.filter(F.col("__chapter").isNotNull() & (text != ""))
-    return after.groupBy(DOC, F.col("__chapter.at").alias("__at")).agg(F.min_by(text, "line_no").alias("chapter"))
+    first = after.groupBy(DOC, "__chapter").agg(F.min("line_no").alias("line_no"))
+    titles = carried.select(DOC, "line_no", text.alias("chapter")).join(first, [DOC, "line_no"])
+    return numbers.join(titles.drop("line_no"), [DOC, "__chapter"], "left")
 
 
 def carry_chapter(lines: DataFrame) -> DataFrame:
-    """Adds to each line the last chapter strictly before it, with its title.
-
-    The title is the next non-blank line after the chapter heading.
-    """
-    carried = running(lines, [DOC], ["line_no"], line_block(), {"__chapter": ("last", _chapter_mark(), False)})
-    joined = carried.withColumn("__at", F.col("__chapter.at")).join(_chapter_titles(carried), [DOC, "__at"], "left")
-    return joined.select(*lines.columns, F.col("__chapter.number").alias("chapter_number"), "chapter")
+    """Adds to each line the last chapter strictly before it, with its title."""
+    carried = running(lines, [DOC], ["line_no"], line_block(), {"__chapter": ("max", _chapter_line(), False)})
+    joined = carried.join(_chapters(carried), [DOC, "__chapter"], "left")
+    return joined.select(*lines.columns, "chapter_number", "chapter")
 
 
 def split_sections(lines: DataFrame) -> DataFrame:
@@ -151,37 +156,34 @@ def split_sections(lines: DataFrame) -> DataFrame:
         ["line_no"],
         line_block(),
         {
-            "__start": ("last", F.when(is_heading, F.col("line_no")), True),
-            "__chapter": ("last", _chapter_mark(), False),
+            "__start": ("max", F.when(is_heading, F.col("line_no")), True),
+            "__chapter": ("max", _chapter_line(), False),
         },
     )
+    # Read for the headings, the bodies and the chapters.
+    owned = staged(owned, "act-owned-lines")
     # The heading line itself is not part of the body.
-    body_line = F.when(~is_heading, F.struct("line_no", "line"))
     pages = (
-        owned.filter("__start is not null")
+        owned.filter(F.col("__start").isNotNull() & ~is_heading)
         .groupBy(DOC, "__start", "page_no")
-        .agg(
-            F.array_join(F.array_sort(F.collect_list(body_line))["line"], "\n").alias("part"),
-            F.max(F.when(is_heading, F.struct("number", "heading", "__chapter"))).alias("__head"),
-        )
+        .agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("part"))
     )
     bodies = pages.groupBy(DOC, "__start").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "part")))["part"], "\n\n").alias("body"),
-        F.max("__head").alias("__head"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "part")))["part"], "\n\n").alias("body")
     )
-    body = strip(F.regexp_replace("body", "\n{3,}", "\n\n"))
-    heading = F.col("__head.heading")
+    heads = owned.filter(is_heading).select(DOC, "__start", "number", "heading", "__chapter")
+    body = F.coalesce(strip(F.regexp_replace("body", "\n{3,}", "\n\n")), F.lit(""))
+    heading = F.col("heading")
     moved = heading.startswith("(") & F.contains(F.substring(heading, 1, 5), F.lit(")"))
-    found = bodies.select(
+    found = heads.join(bodies, [DOC, "__start"], "left").select(
         DOC,
+        "__chapter",
         F.col("__start").alias("line_no"),
-        F.col("__head.number").alias("number"),
+        "number",
         F.when(moved, "").otherwise(heading).alias("heading"),
-        F.col("__head.__chapter.number").alias("chapter_number"),
-        F.col("__head.__chapter.at").alias("__at"),
         F.when(moved, F.concat(heading, F.lit("\n"), body)).otherwise(body).alias("body"),
     )
-    titled = found.join(_chapter_titles(owned), [DOC, "__at"], "left")
+    titled = found.join(_chapters(owned), [DOC, "__chapter"], "left")
     return titled.select(DOC, "line_no", "number", "heading", "chapter_number", "chapter", "body")
 
 
