@@ -23,7 +23,7 @@ def list_corpus(spark: SparkSession, root: str) -> DataFrame:
     Files directly in ``root`` have a null folder.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].rstrip("/") + "/")
+    base = root.split(":", 1)[-1].rstrip("/") + "/"
     relative = F.substring_index(F.col("path"), base, -1)
     named = files.select(
         F.nullif(F.regexp_extract(relative, r"^(.*)/[^/]*$", 1), F.lit("")).alias("folder"),
