@@ -33,6 +33,11 @@ def quota(spark, sf):
     return spark.read.schema(admitted.schema).parquet(path).select("request_id", "log_date", "hashed_ip")
 
 
+def quota_by_batch(spark, sf):
+    admitted = jobs.quota_batches(log_stream(spark, sf), stage_path(spark, "quota"))
+    return admitted.select("request_id", "log_date", "hashed_ip")
+
+
 def dedup(spark, sf):
     path = stage_path(spark, "dedup")
     repeated = log_stream(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("request_id") % 3).cast("int"))))
@@ -52,17 +57,17 @@ def upsert(spark, sf):
     return current.select("cache_key", "answer_text")
 
 
+ADMITTED = fx.duck("query_log", body="""select request_id, log_date, hashed_ip from (select *, row_number() over (partition by log_date, hashed_ip order by ts, request_id) as rn
+ from query_log where not rejected) where rn <= 5""")
+
 PLANS = {
     "s1_stream_daily": (
         daily,
         fx.duck("query_log", body=f"""select log_date, {DAILY_COUNTS}, round(sum(case when rejected then 0 else {COST} end), 8) as estimated_cost_usd
  from query_log group by log_date"""),
     ),
-    "s2_stream_quota": (
-        quota,
-        fx.duck("query_log", body="""select request_id, log_date, hashed_ip from (select *, row_number() over (partition by log_date, hashed_ip order by ts, request_id) as rn
- from query_log where not rejected) where rn <= 5"""),
-    ),
+    "s2_stream_quota": (quota, ADMITTED),
+    "s2_quota_batches": (quota_by_batch, ADMITTED),
     "s3_stream_dedup": (dedup, fx.duck("query_log", body="select request_id, log_date, question from query_log")),
     "s4_stream_upsert": (
         upsert,

@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folioflow.functions.ranking import latest_by_key
+from folioflow.functions.ranking import latest_by_key, top_k
 from folioflow.operators.loganalytics import CLIENT_DAILY_LIMIT
 from folioflow.session import stage_path
 from folioflow.sources.log_store import COUNTER_TTL_HOURS
@@ -52,24 +53,61 @@ def stream_quota(log: DataFrame, limit: int = CLIENT_DAILY_LIMIT, delay: str = "
             state.remove()
             return
         used = state.get[0] if state.exists else 0
-        first = None
+        free = max(limit - used, 0)
+        held = None
         for frame in frames:
-            pool = frame[names] if first is None else pd.concat([first, frame[names]])
-            first = pool.sort_values(["ts", "request_id"]).head(max(limit - used, 0))
-        admitted = 0 if first is None else len(first)
+            pool = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            first = np.lexsort((pool["request_id"].to_numpy(), pool["ts"].to_numpy()))[:free]
+            held = pool.iloc[first]
+        admitted = 0 if held is None else len(held)
         state.update((used + admitted,))
-        day_end = dt.datetime.combine(pd.Timestamp(key[1]).date(), dt.time(), dt.timezone.utc) + dt.timedelta(days=1)
+        day_end = dt.datetime.combine(key[1], dt.time(), dt.timezone.utc) + dt.timedelta(days=1)
         expiry = int((day_end + dt.timedelta(hours=COUNTER_TTL_HOURS)).timestamp() * 1000)
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         if admitted:
-            yield first
+            yield held
 
-    in_scope = log.filter(~F.col("rejected")).withWatermark("ts", delay)
+    in_scope = log.filter(~F.col("rejected")).withWatermark("ts", delay).select(*names)
     return in_scope.groupBy("hashed_ip", "log_date").applyInPandasWithState(
         admit, output, "admitted long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def quota_batches(
+    log: DataFrame, path: str, limit: int = CLIENT_DAILY_LIMIT, checkpoint: str | None = None
+) -> DataFrame:
+    """The same quota with native operators per micro-batch; for bulk loads.
+
+    The rows admitted so far are the state: each batch counts those of earlier
+    batches, and a replayed batch overwrites its own folder.  Only the first
+    few rows of a client and day leave a map task.  Expiry is the removal of
+    old ``log_date`` folders.  Returns the admitted rows.
+    """
+    spark = log.sparkSession
+    keys = ["hashed_ip", "log_date"]
+    rows = log.filter(~F.col("rejected")).select(*keys, "request_id", "ts")
+    full = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
+    # An empty first folder, so that the first batch finds a table.
+    spark.createDataFrame([], rows.drop("log_date").schema).write.mode("overwrite").parquet(f"{path}/batch_id=-1/log_date=1970-01-01")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = batch.sparkSession.read.schema(full).parquet(path).filter(F.col("batch_id") < batch_id)
+        used = earlier.groupBy(*keys).agg(F.count("*").alias("__used"))
+        firsts = top_k(batch, keys, [F.asc("ts"), F.asc("request_id")], limit)
+        free = F.lit(limit) - F.coalesce("__used", F.lit(0))
+        admitted = firsts.join(used, keys, "left").filter(F.col("rank") <= free).select(*batch.columns)
+        admitted.write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/batch_id={batch_id}")
+
+    query = (
+        rows.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint or stage_path(spark, "stream-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(full).parquet(path).drop("batch_id")
+
+
 def stream_dedup(log: DataFrame, key: str = "request_id", delay: str = "1 day") -> DataFrame:
     """One row per request, however often it is delivered within ``delay``."""
     return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])

@@ -57,6 +57,8 @@ def test_quota_spans_batches(spark):
     admitted = jobs.stream_quota(stream, limit=5)
     jobs.drain(admitted, path)
     assert sorted(r.request_id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 10, 11, 30]
+    native = jobs.quota_batches(source(spark, [first, second]), stage_path(spark, "quota"), limit=5)
+    assert sorted(r.request_id for r in native.collect()) == [0, 1, 2, 10, 11, 30]
 
 
 def test_dedup_over_batches(spark):
