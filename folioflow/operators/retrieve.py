@@ -30,6 +30,8 @@ BM25_B = 0.75
 # Up to this many query rows ride along as one matrix; more are shuffled.
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 8192
+# Nothing larger than this is sent to the tasks.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Up to this many (query, word) rows are sent to the tasks.
 QUERY_TERM_LIMIT = 500_000
 # Chunks scored together; the score matrix is this by the number of queries.
@@ -63,7 +65,7 @@ def bm25_topk(
         terms = query_terms(queries)
         head = terms.limit(QUERY_TERM_LIMIT + 1).toArrow()
         few_queries = len(pc.unique(head.column("query_id"))) <= QUERY_BLOCK
-        if head.num_rows <= QUERY_TERM_LIMIT and few_queries:
+        if head.num_rows <= QUERY_TERM_LIMIT and few_queries and head.nbytes <= BROADCAST_BYTES:
             scored = _bm25_by_scan(source, queries, head, k, k1, b)
         else:
             scored = _bm25_by_join(stage_index(build_postings(source, terms.select("term"))), queries, k1, b)
@@ -189,10 +191,11 @@ def vector_topk(
         same_length = F.lit(len(head.column(1)[0]))
         vectors = vectors.filter(F.size("embedding") == same_length)
         queries = queries.filter(F.size("query_vec") == same_length)
-    if head.num_rows <= block:
+    if head.num_rows <= block and head.nbytes <= BROADCAST_BYTES:
         partial = _scan_with_matrix(vectors, head, k, schema)
     else:
-        partial = _scan_with_blocks(vectors, queries, k, block, schema)
+        rows = min(block, max(1, BROADCAST_BYTES * head.num_rows // head.nbytes))
+        partial = _scan_with_blocks(vectors, queries, k, rows, schema)
     return top_k(partial, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 

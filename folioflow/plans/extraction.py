@@ -190,7 +190,7 @@ VERIFY_SQL = """c as (select query_id, answer_text, n_sources, list_transform(re
  e as (select query_id, unnest(cited) as n, unnest(range(len(cited))) as i from c),
  f as (select query_id, n, min(i) as i from e group by 1, 2),
  u as (select query_id, string_agg(cast(n as varchar), ',' order by i) as used from f where n between 1 and 5 group by 1),
- us as (select query_id, n as marker, row_number() over (partition by query_id order by i) as card_index from f where n between 1 and 5),
+ us as (select query_id, n as marker, cast(row_number() over (partition by query_id order by i) as int) as card_index from f where n between 1 and 5),
  w as (select query_id, string_agg(cast(n as varchar), ',' order by n) as stripped from f where n not between 1 and 5 group by 1)"""
 
 PLANS = {

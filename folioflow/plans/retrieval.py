@@ -290,7 +290,7 @@ def answer_writes(spark, sf):
     later = log.filter("ts >= timestamp '2024-01-15' and not rejected").select(
         F.col("question").alias("query"), F.concat(F.lit("b"), F.col("request_id").cast("string")).alias("answer_text"), F.struct("ts", "request_id").alias("written_at")
     )
-    empty = retrieve.with_cache_key(earlier).selectExpr("cache_key", "answer_text", "'' as corpus_version", "written_at").limit(0)
+    empty = retrieve.with_cache_key(earlier).selectExpr("cache_key", "answer_text", "'' as corpus_version", "written_at").filter("false")
     cache = retrieve.store_answers(empty, earlier, "2023.12")
     return retrieve.store_answers(cache, later, VERSION).select("cache_key", "answer_text", "corpus_version")
 
@@ -306,11 +306,11 @@ BM25_CTES = f"""d as (select doc_id, {tok('text')} as toks from documents),
  qt as (select query_id, term, count(*) as qtf from (select query_id, unnest({tok('query')}) as term from text_queries) group by 1, 2),
  bm as (select query_id, post.doc_id as chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf / (tf + 1.5::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 6) as score
    from post join qt on qt.term = post.term join dfs on dfs.term = post.term, st group by 1, 2),
- bmr as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from bm)"""
+ bmr as (select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from bm)"""
 
 
 def cos_sql(extra: str = "", k: int = 20) -> str:
-    return f"""select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (
+    return f"""select * from (select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from (
  select q.query_id, e.vec_id as chunk_id, round(greatest(0, list_cosine_similarity(q.query_vec::double[], e.embedding::double[])), 6) as score
  from vec_queries q, embeddings e {extra})) where rank <= {k}"""
 
@@ -452,10 +452,10 @@ PLANS = {
         hybrid,
         fx.duck("text_queries", body=f"""with {BM25_CTES}, {emb_ctes('dv', 'documents', 'doc_id', 'text')}, {emb_ctes('qv', 'text_queries', 'query_id', 'query')},
  cs as (select q.id as query_id, d.id as chunk_id, round(sum(q.value * d.value), 6) as score from qv_v q join dv_v d on d.dim = q.dim group by 1, 2),
- csr as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from cs) where rank <= 20),
+ csr as (select * from (select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from cs) where rank <= 20),
  l as (select query_id, chunk_id, rank from csr union all select query_id, chunk_id, rank from bmr where rank <= 20),
  fz as (select query_id, chunk_id, round(sum(1.0::double / (60 + rank - 1)), 9) as score from l group by 1, 2),
- fr as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from fz),
+ fr as (select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from fz),
  best as (select query_id, max(score) as s from csr group by 1),
  g as (select q.query_id, coalesce(s, 0.0::double) as top_similarity,
    not ((s is null and q.query_id not in (select query_id from bmr)) or (s is not null and s < 0.6)) as accepted from text_queries q left join best b on b.query_id = q.query_id)
