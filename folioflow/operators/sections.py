@@ -78,7 +78,8 @@ def skip_toc(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     After a contents marker the body starts at the last chapter-one heading,
     given two or more; with fewer the act is kept whole and warned about.
     """
-    bounds = _toc_bounds(lines)
+    # One row per act, read by every later pass over the lines.
+    bounds = staged(_toc_bounds(lines), "toc-bounds")
     starts = bounds.filter("n_first >= 2").select(DOC, F.col("last_first").alias("__start"))
     body = lines.join(starts, DOC, "left").filter(
         F.col("__start").isNull() | (F.col("line_no") >= F.col("__start"))
@@ -227,11 +228,11 @@ def monotonic_sections(sections: DataFrame) -> DataFrame:
 def parse_act_lines(lines: DataFrame) -> DataFrame:
     """Page cleaning, contents removal, section split and clean-up in one go.
 
-    Lines and sections become stage tables in the shared folder, since the
-    following steps read them more than once.
+    ``lines`` is a stored table.  Cleaned lines and sections become stage
+    tables in the shared folder, since the following steps read them more than
+    once.
     """
-    lines = staged(lines, "act-lines")
     cleaned = clean_lines(lines, repeating_lines(lines, DOC, "page_no"), DOC)
     body, _ = skip_toc(staged(cleaned, "act-cleaned"))
-    kept, _ = drop_short(split_sections(staged(body, "act-body")))
+    kept, _ = drop_short(split_sections(body))
     return monotonic_sections(staged(kept, "act-sections"))

@@ -67,7 +67,7 @@ def heading_styles(spark, sf):
 def raw_sections(spark, sf):
     """Sections with running titles and footnotes still in, to exercise the clean-up."""
     body, _ = sections.skip_toc(staged(verbose_variants(spark, sf), "act-lines"))
-    return sections.split_sections(staged(body, "act-body"))
+    return sections.split_sections(body)
 
 
 def section_rows(spark, sf):
@@ -92,7 +92,7 @@ def gaps(spark, sf):
 
 
 def parsed_acts(spark, sf):
-    out = sections.parse_act_lines(fx.act_lines(spark, sf))
+    out = sections.parse_act_lines(staged(fx.act_lines(spark, sf), "act-lines"))
     return out.select("act_id", "line_no", "number", "heading", "chapter_number", F.md5("body").alias("body_md5"))
 
 
