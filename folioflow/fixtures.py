@@ -24,36 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
-QUERY_LOG_COLUMNS = """
- event_id as request_id, ts, cast(ts as date) as log_date,
- sha2(concat('fixture-salt:', cast(user_id as string)), 256) as hashed_ip,
- case event_id % 3
+QUERY_LOG_COLUMNS = [
+    "event_id as request_id",
+    "ts",
+    "cast(ts as date) as log_date",
+    "sha2(concat('fixture-salt:', cast(user_id as string)), 256) as hashed_ip",
+    """case event_id % 3
    when 0 then concat('What is topic ', get_json_object(props, '$.k'), '?')
    when 1 then concat('  what  IS topic ', get_json_object(props, '$.k'), '? ')
-   else concat('what is topic ', get_json_object(props, '$.k')) end as question,
- event_type = 'error' as rejected,
- event_type = 'view' as cache_hit,
- case when event_type = 'signup' and event_id % 7 = 0 then null else value * 10 end as latency_ms,
- case when event_type in ('error', 'view') then null else cast(200 + event_id % 800 as int) end as prompt_tokens,
- case when event_type in ('error', 'view') or event_id % 11 = 0 then null else cast(50 + event_id % 300 as int) end as output_tokens
-"""
+   else concat('what is topic ', get_json_object(props, '$.k')) end as question""",
+    "event_type = 'error' as rejected",
+    "event_type = 'view' as cache_hit",
+    "case when event_type = 'signup' and event_id % 7 = 0 then null else value * 10 end as latency_ms",
+    "case when event_type in ('error', 'view') then null else cast(200 + event_id % 800 as int) end as prompt_tokens",
+    "case when event_type in ('error', 'view') or event_id % 11 = 0 then null else cast(50 + event_id % 300 as int) end as output_tokens",
+]
 
 
 def project_query_log(events: DataFrame) -> DataFrame:
     """The log projection; works on a batch table and on a stream alike."""
-    return events.selectExpr(*_split_select(QUERY_LOG_COLUMNS))
-
-
-def _split_select(text: str) -> list[str]:
-    """Split a select list at its top-level commas."""
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(text):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            parts.append(text[start:i].strip())
-            start = i + 1
-    parts.append(text[start:].strip())
-    return parts
+    return events.selectExpr(*QUERY_LOG_COLUMNS)
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:

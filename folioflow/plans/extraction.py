@@ -119,21 +119,23 @@ def relevance(spark, sf):
     return extract.relevance_model(labelled, docs).select("doc_id", "relevance_score", "status")
 
 
-HIT_META = """case when doc_id % 3 = 0 then 'act' when doc_id % 3 = 1 then 'judgment' end as source_type,
- case when doc_id % 2 = 0 then concat('ACT', cast(doc_id % 7 as {t})) end as short_name,
- concat('act_', cast(doc_id % 7 as {t})) as act_id,
- cast(300 + doc_id % 100 as {t}) as section_number,
- case when doc_id % 4 = 0 then lang end as section_heading,
- case when doc_id % 5 <> 0 then concat('Case ', cast(doc_id as {t})) end as case_name,
- case when doc_id % 4 <> 1 then concat('AIR ', cast(doc_id as {t})) end as citation,
- case when doc_id % 8 <> 0 then source end as court,
- case when doc_id % 9 <> 0 then cast(1900 + doc_id % 100 as int) end as year"""
+HIT_META = [
+    "case when doc_id % 3 = 0 then 'act' when doc_id % 3 = 1 then 'judgment' end as source_type",
+    "case when doc_id % 2 = 0 then concat('ACT', cast(doc_id % 7 as {t})) end as short_name",
+    "concat('act_', cast(doc_id % 7 as {t})) as act_id",
+    "cast(300 + doc_id % 100 as {t}) as section_number",
+    "case when doc_id % 4 = 0 then lang end as section_heading",
+    "case when doc_id % 5 <> 0 then concat('Case ', cast(doc_id as {t})) end as case_name",
+    "case when doc_id % 4 <> 1 then concat('AIR ', cast(doc_id as {t})) end as citation",
+    "case when doc_id % 8 <> 0 then source end as court",
+    "case when doc_id % 9 <> 0 then cast(1900 + doc_id % 100 as int) end as year",
+]
 
 
 def hits(spark, sf):
     """Five ranked sources for every answer."""
     docs = fx.table(spark, sf, "documents").selectExpr(
-        "doc_id as chunk_id", "text", *fx._split_select(HIT_META.format(t="string"))
+        "doc_id as chunk_id", "text", *[c.format(t="string") for c in HIT_META]
     )
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     wanted = fx.answers(spark, sf).selectExpr("query_id", "explode(sequence(1, 5)) as rank")
@@ -184,7 +186,7 @@ URL_SQL = """select page_id, case page_id % 6 when 0 then 'https://cases.example
   when 1 then 'http://cases.example.com/doc/1' || page_id || '/' when 2 then 'https://cases.example.com/doc/2' || page_id || '/'
   when 3 then 'https://cases.example.com/doc/3' || page_id || '/' when 4 then 'https://cases.example.com/doc/4' || page_id || '/' end as canonical_url,
  case when page_id % 6 in (0, 1, 2, 3) then 'high' when page_id % 6 = 4 then 'medium' else 'low' end as url_confidence from pages"""
-HITS_SQL = f"""h as (select a.query_id, r.rank, d.doc_id as chunk_id, d.text, {HIT_META.format(t='varchar')}
+HITS_SQL = f"""h as (select a.query_id, r.rank, d.doc_id as chunk_id, d.text, {', '.join(HIT_META).format(t='varchar')}
   from answers a, unnest([1, 2, 3, 4, 5]) r(rank) join documents d on d.doc_id = (a.query_id * 7 + r.rank * 17) % (select count(*) from documents))"""
 VERIFY_SQL = """c as (select query_id, answer_text, n_sources, list_transform(regexp_extract_all(answer_text, '\\[(\\d+)\\]', 1), lambda x: cast(x as int)) as cited from answers),
  e as (select query_id, unnest(cited) as n, unnest(range(len(cited))) as i from c),
