@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from folioflow.llm.chat import OP5_SQL, op5_chat_format
 from folioflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from folioflow.llm.mixing import OP4_SQL, op4_mix_sources
+from folioflow.llm.secret_scan import op2_secret_scan
+from folioflow.llm.url_filter import OP8_SQL, op8_url_filter
 
 PLANS: dict = {
+    "op2_secret_scan": (op2_secret_scan, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op4_mix_sources": (op4_mix_sources, OP4_SQL),
+    "op5_chat_format": (op5_chat_format, OP5_SQL),
+    "op8_url_filter": (op8_url_filter, OP8_SQL),
 }
