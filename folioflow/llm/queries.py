@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioflow.llm.chat import OP5_SQL, op5_chat_format
 from folioflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from folioflow.llm.language_id import op9_language_id
 from folioflow.llm.mixing import OP4_SQL, op4_mix_sources
 from folioflow.llm.secret_scan import op2_secret_scan
 from folioflow.llm.url_filter import OP8_SQL, op8_url_filter
@@ -14,4 +15,5 @@ PLANS: dict = {
     "op4_mix_sources": (op4_mix_sources, OP4_SQL),
     "op5_chat_format": (op5_chat_format, OP5_SQL),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
+    "op9_language_id": (op9_language_id, None),
 }
