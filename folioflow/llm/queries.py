@@ -6,6 +6,7 @@ from folioflow.llm.chat import OP5_SQL, op5_chat_format
 from folioflow.llm.decontaminate import OP10_SQL, op10_decontaminate
 from folioflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from folioflow.llm.language_id import op9_language_id
+from folioflow.llm.licenses import OP7_SQL, op7_license_scan
 from folioflow.llm.mixing import OP4_SQL, op4_mix_sources
 from folioflow.llm.secret_scan import op2_secret_scan
 from folioflow.llm.url_filter import OP8_SQL, op8_url_filter
@@ -15,6 +16,7 @@ PLANS: dict = {
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_mix_sources": (op4_mix_sources, OP4_SQL),
     "op5_chat_format": (op5_chat_format, OP5_SQL),
+    "op7_license_scan": (op7_license_scan, OP7_SQL),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_decontaminate": (op10_decontaminate, OP10_SQL),
