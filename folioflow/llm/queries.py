@@ -8,10 +8,12 @@ from folioflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from folioflow.llm.language_id import op9_language_id
 from folioflow.llm.licenses import OP7_SQL, op7_license_scan
 from folioflow.llm.mixing import OP4_SQL, op4_mix_sources
+from folioflow.llm.ngram_join import op1_ngram_join
 from folioflow.llm.secret_scan import op2_secret_scan
 from folioflow.llm.url_filter import OP8_SQL, op8_url_filter
 
 PLANS: dict = {
+    "op1_ngram_join": (op1_ngram_join, None),
     "op2_secret_scan": (op2_secret_scan, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_mix_sources": (op4_mix_sources, OP4_SQL),
