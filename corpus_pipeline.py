@@ -5,15 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm.common import staged, table
+from folioflow.llm.decontaminate import uncontaminated
 from folioflow.llm.exact_dedup import deduplicated
+from folioflow.llm.language_id import accepted
+from folioflow.llm.mixing import mixed
+from folioflow.llm.ngram_join import without_near_copies
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or far from every learned language go."""
+    return accepted(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
+    """Of equal texts the document with the smallest id stays."""
     return deduplicated(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of similar texts the document with the smallest id stays."""
+    return without_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages make up a twentieth or more go."""
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks for, numbered by ``copy_no``."""
+    return mixed(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+]
 
 # The language model is trained, which SQL cannot express.
 ORACLE_SQL = None

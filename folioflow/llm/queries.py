@@ -10,6 +10,7 @@ from folioflow.llm.licenses import OP7_SQL, op7_license_scan
 from folioflow.llm.mixing import OP4_SQL, op4_mix_sources
 from folioflow.llm.ngram_join import op1_ngram_join
 from folioflow.llm.secret_scan import op2_secret_scan
+from folioflow.llm.suffix_dedup import op6_suffix_dedup
 from folioflow.llm.url_filter import OP8_SQL, op8_url_filter
 
 PLANS: dict = {
@@ -18,6 +19,7 @@ PLANS: dict = {
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_mix_sources": (op4_mix_sources, OP4_SQL),
     "op5_chat_format": (op5_chat_format, OP5_SQL),
+    "op6_suffix_dedup": (op6_suffix_dedup, None),
     "op7_license_scan": (op7_license_scan, OP7_SQL),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
