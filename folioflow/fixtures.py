@@ -51,10 +51,10 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files on disk: one page in 23 is missing."""
-    return table(spark, sf_dir, "pages").filter("page_id % 23 <> 0").selectExpr(
+    """Files on disk: one page in 23 lies in another folder."""
+    return table(spark, sf_dir, "pages").selectExpr(
         "page_id",
-        "lpad(cast(page_id as string), 6, '0') as folder",
+        "concat(case when page_id % 23 = 0 then '9' else '' end, lpad(cast(page_id as string), 6, '0')) as folder",
         "concat('page_', cast(page_id as string), '.html') as filename",
         "url",
         "sha2(html, 256) as sha256",
@@ -63,9 +63,8 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files on disk with pairs, strays and top-level acts: (folder, filename)."""
-    pages = table(spark, sf_dir, "pages").filter("page_id % 23 <> 0")
-    return pages.selectExpr(
-        "lpad(cast(page_id as string), 6, '0') as case_folder",
+    return table(spark, sf_dir, "pages").selectExpr(
+        "concat(case when page_id % 23 = 0 then '9' else '' end, lpad(cast(page_id as string), 6, '0')) as case_folder",
         """explode(filter(array(
              concat('page_', cast(page_id as string), '.html'),
              case when page_id % 7 <> 0 then concat(case when page_id % 10 = 0 then 'x_' else 'page_' end, cast(page_id as string), '.pdf') end,
@@ -76,17 +75,18 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").filter("page_id % 62 = 0").selectExpr(
-        "concat('act_', cast(page_id as string), '.pdf') as filename"
+    return table(spark, sf_dir, "pages").selectExpr(
+        "concat(case when page_id % 62 = 0 then 'act_' else 'form_' end, cast(page_id as string), '.pdf') as filename"
     )
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared documents, with bad names, placeholders, drifted hashes, odd years."""
-    return table(spark, sf_dir, "pages").filter("page_id % 17 <> 0").selectExpr(
-        "lpad(cast(page_id as string), 6, '0') as folder",
+    """Declared documents, with bad names, placeholders, drifted hashes, odd years, folders without files."""
+    return table(spark, sf_dir, "pages").selectExpr(
+        "concat(case when page_id % 17 = 0 then '8' else '' end, lpad(cast(page_id as string), 6, '0')) as folder",
         "url as source_url",
         "case when page_id % 19 = 0 then 'Bad Name.HTML' else concat('page_', cast(page_id as string), '.html') end as html_filename",
+        "concat(case when page_id % 21 = 0 then 'other_' else 'page_' end, cast(page_id as string), '.pdf') as pdf_filename",
         """case when page_id % 13 = 0 then 'TODO: citation' when page_id % 29 = 0 then ''
             else concat('(2020) ', cast(page_id % 12 + 1 as string), ' SCC ', cast(page_id as string)) end as citation""",
         "case when page_id % 5 = 0 then null when page_id % 11 = 0 then repeat('0', 64) else sha2(html, 256) end as stored_sha256",
@@ -158,25 +158,26 @@ query_log as (select event_id as request_id, ts, cast(ts as date) as log_date,
  case when event_type in ('error','view') or event_id % 11 = 0 then null else cast(50 + event_id % 300 as int) end as output_tokens
 from events)""",
     "listing": """
-listing as (select page_id, lpad(cast(page_id as varchar), 6, '0') as folder,
+listing as (select page_id, case when page_id % 23 = 0 then '9' else '' end || lpad(cast(page_id as varchar), 6, '0') as folder,
  concat('page_', cast(page_id as varchar), '.html') as filename, url, sha256(html) as sha256
-from pages where page_id % 23 <> 0)""",
+from pages)""",
     "file_listing": """
 file_listing as (
- select lpad(cast(page_id as varchar), 6, '0') as folder, concat('page_', cast(page_id as varchar), '.html') as filename from pages where page_id % 23 <> 0
- union all select lpad(cast(page_id as varchar), 6, '0'), concat(case when page_id % 10 = 0 then 'x_' else 'page_' end, cast(page_id as varchar), '.pdf') from pages where page_id % 23 <> 0 and page_id % 7 <> 0
- union all select lpad(cast(page_id as varchar), 6, '0'), concat('copy_', cast(page_id as varchar), '.HTML') from pages where page_id % 23 <> 0 and page_id % 15 = 0
- union all select null, concat('act_', cast(page_id as varchar), '.pdf') from pages where page_id % 23 <> 0 and page_id % 31 = 0)""",
+ select case when page_id % 23 = 0 then '9' else '' end || lpad(cast(page_id as varchar), 6, '0') as folder, concat('page_', cast(page_id as varchar), '.html') as filename from pages
+ union all select case when page_id % 23 = 0 then '9' else '' end || lpad(cast(page_id as varchar), 6, '0'), concat(case when page_id % 10 = 0 then 'x_' else 'page_' end, cast(page_id as varchar), '.pdf') from pages where page_id % 7 <> 0
+ union all select case when page_id % 23 = 0 then '9' else '' end || lpad(cast(page_id as varchar), 6, '0'), concat('copy_', cast(page_id as varchar), '.HTML') from pages where page_id % 15 = 0
+ union all select null, concat('act_', cast(page_id as varchar), '.pdf') from pages where page_id % 31 = 0)""",
     "declared_acts": """
-declared_acts as (select concat('act_', cast(page_id as varchar), '.pdf') as filename from pages where page_id % 62 = 0)""",
+declared_acts as (select concat(case when page_id % 62 = 0 then 'act_' else 'form_' end, cast(page_id as varchar), '.pdf') as filename from pages)""",
     "manifest": """
-manifest as (select lpad(cast(page_id as varchar), 6, '0') as folder, url as source_url,
+manifest as (select case when page_id % 17 = 0 then '8' else '' end || lpad(cast(page_id as varchar), 6, '0') as folder, url as source_url,
  case when page_id % 19 = 0 then 'Bad Name.HTML' else concat('page_', cast(page_id as varchar), '.html') end as html_filename,
+ concat(case when page_id % 21 = 0 then 'other_' else 'page_' end, cast(page_id as varchar), '.pdf') as pdf_filename,
  case when page_id % 13 = 0 then 'TODO: citation' when page_id % 29 = 0 then '' else concat('(2020) ', cast(page_id % 12 + 1 as varchar), ' SCC ', cast(page_id as varchar)) end as citation,
  case when page_id % 5 = 0 then null when page_id % 11 = 0 then repeat('0', 64) else sha256(html) end as stored_sha256,
  case page_id % 4 when 0 then 'pending' when 1 then 'approved' when 2 then 'rejected' else 'needs-review' end as status,
  cast(1850 + page_id % 260 as int) as year
-from pages where page_id % 17 <> 0)""",
+from pages)""",
     "act_lines": """
 act_lines as (select act_id, rn as line_no, cast(floor((rn - 1) / 20) as int) as page_no,
  case when rn = 1 then 'ARRANGEMENT OF SECTIONS'

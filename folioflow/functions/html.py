@@ -35,12 +35,13 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.whole_token = whole_token
         self.stack: list[dict] = []
-        self.paragraphs: list[tuple[str, int, bool]] = []
+        self.paragraphs: list[tuple[int, str, int, bool]] = []
         self.headings: list[str] = []
         self.title: str | None = None
         self.court: str | None = None
         self.containers: dict[str, int] = {}
         self.counter = 0
+        self.started = 0
 
     def _noisy(self, tag: str, classes: list[str]) -> bool:
         if tag in NOISE_TAGS:
@@ -65,7 +66,9 @@ class PageReader(HTMLParser):
             "noise": bool(parent and parent["noise"]) or self._noisy(tag, classes),
             "in_body": tag == "body" or bool(parent and parent["in_body"]),
             "container": parent["container"] if parent else 0,
+            "start": self.started,
         }
+        self.started += 1
         if not frame["noise"]:
             for name in CONTAINER_CLASSES:
                 if name in classes and name not in self.containers:
@@ -99,8 +102,8 @@ class PageReader(HTMLParser):
         tag = frame["tag"]
         if tag in PARAGRAPH_TAGS and not frame["noise"]:
             if text:
-                self.paragraphs.append((text, frame["container"], frame["in_body"]))
-        elif self.stack and tag not in ("script", "style", "title"):
+                self.paragraphs.append((frame["start"], text, frame["container"], frame["in_body"]))
+        elif self.stack and not frame["noise"] and tag != "title":
             self.stack[-1]["text"].append(" ".join(frame["text"]))
         if tag == "title" and self.title is None:
             self.title = text
@@ -111,7 +114,8 @@ class PageReader(HTMLParser):
         return frame
 
     def handle_data(self, data):
-        if self.stack:
+        # Text of noisy elements belongs to nothing, whatever is around them.
+        if self.stack and not self.stack[-1]["noise"]:
             self.stack[-1]["text"].append(data)
 
     def finish(self) -> None:
@@ -124,7 +128,8 @@ def read_page(html: str, min_chars: int, whole_token: bool = False) -> dict:
     """Paragraph texts and metadata of one page.
 
     ``paragraphs`` are those of the first container class present, else those
-    of the body; text of a nested paragraph belongs to the innermost one.
+    of the body, in the order in which they start; text of a nested paragraph
+    belongs to the innermost one, text of a noisy element to none.
     """
     reader = PageReader(whole_token)
     reader.feed(html)
@@ -136,7 +141,7 @@ def read_page(html: str, min_chars: int, whole_token: bool = False) -> dict:
             break
     paragraphs = [
         text
-        for text, held, in_body in reader.paragraphs
+        for _, text, held, in_body in sorted(reader.paragraphs)
         if (in_body if bit is None else held & bit) and len(text) >= min_chars
     ]
     return {

@@ -219,27 +219,28 @@ def confidence_summary(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return long.groupBy("field").agg(*[F.count_if(F.col("confidence") == c).alias(c) for c in CONFIDENCE])
 
 
-def relevance_model(train: DataFrame, docs: DataFrame, text: str = "text", features: int = 1 << 16) -> DataFrame:
-    """Score documents 0..1 by a text model fitted on ``train(text, label)``.
+def relevance_scores(train: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key``, ``relevance_score`` (0..1) and ``status`` by multinomial naive Bayes.
 
-    The model that reaches the driver is one weight per feature, a fixed size.
+    ``train(key, text, label)`` may overlap ``docs``.  The model is two counts
+    per word and four totals, from one aggregate each; words the training
+    texts do not have say nothing.  Log-odds are cut at +-30, far beyond the
+    six decimals of the score.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
     from folioflow.operators.quality import APPROVE_AT, REVIEW_AT
 
-    steps = [
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern="[^a-z0-9_]+", minTokenLength=2),
-        HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
-        IDF(inputCol="__tf", outputCol="__features", minDocFreq=2),
-        LogisticRegression(featuresCol="__features", labelCol="label", maxIter=10, regParam=0.1),
-    ]
-    model = Pipeline(stages=steps).fit(train.select(text, F.col("label").cast("double").alias("label")))
-    scored = model.transform(docs).withColumn("relevance_score", vector_to_array("probability")[1])
-    status = F.when(F.col("relevance_score") >= APPROVE_AT, "approved").when(
-        F.col("relevance_score") >= REVIEW_AT, "needs-review"
-    )
-    return scored.select(*docs.columns, "relevance_score", status.otherwise("rejected").alias("status"))
+    words = lambda df, *keep: df.select(*keep, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term"))
+    one = F.col("label") == 1
+    counts = words(train, "label").groupBy("term").agg(F.count_if(one).alias("pos"), F.count_if(~one).alias("neg"))
+    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("terms"))
+    prior = train.agg(F.log((F.count_if(one) + 1.0) / (F.count_if(~one) + 1.0)).alias("odds"))
+    pos, neg, terms = (totals.select(c).scalar() for c in ("pos", "neg", "terms"))
+    odds = F.log((F.col("pos") + 1.0) / (pos + terms)) - F.log((F.col("neg") + 1.0) / (neg + terms))
+    weights = counts.select("term", odds.alias("odds"))
+    tf = words(docs, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    sums = tf.join(weights, "term").groupBy(key).agg(F.sum(F.col("tf") * F.col("odds")).alias("odds"))
+    total = prior.select("odds").scalar() + F.coalesce("odds", F.lit(0.0))
+    score = F.round(1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0)))), 6)
+    scored = docs.select(key).join(sums, key, "left").select(key, score.alias("relevance_score"))
+    status = F.when(F.col("relevance_score") >= APPROVE_AT, "approved").when(F.col("relevance_score") >= REVIEW_AT, "needs-review")
+    return scored.withColumn("status", status.otherwise("rejected"))

@@ -16,6 +16,8 @@ CHECKS = ("schema", "missing", "pairing", "normalization", "orphan", "hash_drift
 CONFIDENCE = ("low", "medium", "high")
 APPROVE_AT, REVIEW_AT = 0.6, 0.4
 MAX_REASONING = 500
+# How much of an answer that cannot be used is shown in its note.
+SHOWN_CHARS = 160
 QUOTA_MARKS = ("RESOURCE_EXHAUSTED", "429", "exceeded your current quota")
 
 
@@ -102,6 +104,13 @@ def hash_drift(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return joined.filter("stored_sha256 <> sha256").select("folder", "stored_sha256", "sha256")
 
 
+def declared_pairs(manifest: DataFrame, key: str) -> DataFrame:
+    """Records whose two declared file names differ in their stems."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    html, pdf = stem(F.col("html_filename")), stem(F.col("pdf_filename"))
+    return manifest.filter(html != pdf).select(key, html.alias("html_stem"), pdf.alias("pdf_stem"))
+
+
 def backfill_hashes(manifest: DataFrame, listing: DataFrame, failures: DataFrame) -> DataFrame:
     """Manifest with computed hashes, unless any check failed: then it stays as it is."""
     clean = failures.agg(F.count("*").alias("n")).scalar() == 0
@@ -261,7 +270,7 @@ def merge_verdicts(manifest: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
     note = F.concat(
         F.lit("classifier failure: "),
-        F.coalesce("failure", F.concat(F.lit("response did not match expected JSON schema; raw: "), F.substring("response", 1, 200))),
+        F.coalesce("failure", F.concat(F.lit("answer is not a complete verdict: "), F.substring("response", 1, SHOWN_CHARS))),
     )
     quota = F.lit(False)
     for mark in QUOTA_MARKS:
