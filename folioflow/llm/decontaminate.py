@@ -7,7 +7,8 @@ document, position) of the terms that windows look up, and with a window's
 rarest term also the words around it.  Posting lists are shifted by the term's
 offset in the window and intersected: starts on which all lists agree are
 phrase candidates, confirmed word by word against the words stored with the
-rarest term.  Starts that agree up to ``SLACK`` words give proximity matches.
+rarest term.  Where the other rare terms stand up to ``SLACK`` words off their
+place, the stored words give a proximity match.
 
 Documents are cut into words and exploded below a broadcast of the few
 benchmark terms, so what is shuffled are postings of rare terms, keyed by
@@ -29,7 +30,7 @@ from folioflow.llm.common import WORD_ANY_CASE, lower_ascii, staged, table, text
 # Fixed values of the contract: window length and the contaminated share, 1 in 20.
 WINDOW = 13
 SHARE = 20
-RAREST = 3
+RAREST = 2
 SLACK = 4
 BROADCAST_CHARS = 8_000_000
 
@@ -45,17 +46,14 @@ def folded(word: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(wid, words, item_ids as strings, sorted) for every distinct window; items without words have none."""
+    """(words, item_ids as strings, sorted) for every distinct window; items without words have none."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(text_col).alias("words"))
     # The benchmark's words may all be A-Z lower-cased at once: it is small.
     items = items.withColumn("words", F.transform("words", lower_ascii)).filter(F.size("words") > 0)
     last = F.greatest(F.size("words") - width, F.lit(0))
     cut = items.select("item_id", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     cut = cut.select("item_id", F.slice("words", F.col("at") + 1, F.lit(width)).alias("words"))
-    return (
-        cut.groupBy("words").agg(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("item_ids"))
-        .withColumn("wid", F.sha2(F.array_join("words", " "), 256))
-    )
+    return cut.groupBy("words").agg(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("item_ids"))
 
 
 def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,9 +78,11 @@ def rarest_terms(windows: DataFrame, docs: DataFrame, text_col: str, small: bool
     )
     # A window with an absent term occurs nowhere.
     ranked = ranked.filter(F.col("rare")[0]["n"] > 0)
-    return ranked.select("wid", "words", F.size("rare").alias("terms"), F.posexplode("rare").alias("rank", "t")).select(
-        "wid", "words", "terms", "rank", "t.term", "t.offset"
-    )
+    others = F.transform(F.slice("rare", 2, rarest), lambda t: F.struct(t["term"].alias("term"), t["offset"].alias("offset")))
+    listed = ranked.select("wid", "words", F.size("rare").alias("terms"), others.alias("others"), F.posexplode("rare").alias("rank", "t"))
+    # Only the rarest term's entry needs the window's words and its other terms.
+    own = lambda c: F.when(F.col("rank") == 0, F.col(c)).alias(c)
+    return listed.select("wid", "terms", "rank", "t.term", "t.offset", F.size("words").alias("n"), own("words"), own("others"))
 
 
 def positional_index(docs: DataFrame, lookups: DataFrame, id_col: str, text_col: str, small: bool, width: int = WINDOW) -> DataFrame:
@@ -90,8 +90,9 @@ def positional_index(docs: DataFrame, lookups: DataFrame, id_col: str, text_col:
     terms = lookups.groupBy("term").agg((F.min("rank") == 0).alias("is_rarest"))
     cut = row_keys(docs, id_col, text_col).select("_id", "_hash", words(text_col).alias("words"))
     exploded = cut.select("_id", "_hash", "words", F.posexplode("words").alias("at", "word")).withColumn("term", folded(F.col("word")))
-    first = F.greatest(F.col("at") - (width - 1), F.lit(0))
-    around = F.when(F.col("is_rarest"), F.slice("words", first + 1, F.lit(2 * width - 1)))
+    reach = width - 1 + SLACK
+    first = F.greatest(F.col("at") - reach, F.lit(0))
+    around = F.when(F.col("is_rarest"), F.slice("words", first + 1, F.lit(2 * reach + 1)))
     found = exploded.join(_small(terms, small), "term")
     return staged(found.select("term", "_id", "_hash", "at", first.alias("first"), around.alias("around")), "decon-postings")
 
@@ -105,16 +106,15 @@ def shifted(postings: DataFrame, lookups: DataFrame, small: bool) -> DataFrame:
 def phrase_matches(postings: DataFrame, lookups: DataFrame, small: bool) -> DataFrame:
     """Exact matches (_id, _hash, wid, start, n): all shifted lists agree and every word is the same."""
     rows = shifted(postings, lookups, small)
-    here = F.slice("around", F.col("start") - F.col("first") + 1, F.size("words"))
+    here = F.slice("around", F.col("start") - F.col("first") + 1, F.col("n"))
     same = F.transform(here, lower_ascii) == F.col("words")
-    confirmed = F.when(F.col("rank") == 0, same)
     return (
-        rows.withColumns({"_same": confirmed, "_n": F.size("words")})
         # A start that the words refute needs no partners.
+        rows.withColumn("_same", F.when(F.col("rank") == 0, same))
         .filter("_same is null or _same")
         .groupBy("_id", "_hash", "wid", "start")
         .agg(
-            F.first("_n").alias("n"), F.first("terms").alias("terms"), F.bit_or(F.expr("shiftleft(1, rank)")).alias("lists"),
+            F.first("n").alias("n"), F.first("terms").alias("terms"), F.bit_or(F.expr("shiftleft(1, rank)")).alias("lists"),
             F.max("_same").alias("same"),
         )
         .filter((F.bit_count("lists") == F.col("terms")) & F.col("same"))
@@ -123,32 +123,33 @@ def phrase_matches(postings: DataFrame, lookups: DataFrame, small: bool) -> Data
 
 
 def proximity_matches(postings: DataFrame, lookups: DataFrame, small: bool, slack: int = SLACK) -> DataFrame:
-    """(_id, _hash, wid) where all of a window's rarest terms stand at starts within one block of ``2 * slack``.
+    """(_id, _hash, wid) where the other rare terms stand within ``slack`` words of where a phrase would have them."""
+    rows = shifted(postings.filter("around is not null"), lookups.filter("rank = 0"), small)
 
-    Blocks overlap by half, so starts that differ by at most ``slack`` always
-    meet in one.
-    """
-    rows = shifted(postings, lookups, small)
-    block = F.floor(F.col("start") / slack)
-    rows = rows.select("_id", "_hash", "wid", "terms", "rank", F.explode(F.array(block, block - 1)).alias("block"))
-    lists = F.bit_or(F.expr("shiftleft(1, rank)"))
-    found = rows.groupBy("_id", "_hash", "wid", "block").agg(F.first("terms").alias("terms"), lists.alias("lists"))
-    return found.filter(F.bit_count("lists") == F.col("terms")).select("_id", "_hash", "wid").distinct()
+    def stands(other: Column) -> Column:
+        place = F.col("start") + other["offset"] - F.col("first")
+        begin = F.greatest(place - slack, F.lit(0))
+        return F.array_contains(F.transform(F.slice("around", begin + 1, place + slack + 1 - begin), folded), other["term"])
+
+    return rows.filter(F.forall("others", stands)).select("_id", "_hash", "wid").distinct()
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW,
+    item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, prefix: str = "",
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, n_near (items near by the proximity rule).
 
     Null texts have no words and are clean.  A null item id counts as an item
     with an empty id.  Empty tables are fine on either side.  Own columns of
-    ``docs`` named like results are replaced.
+    ``docs`` named like results are replaced; ``prefix`` goes before the
+    results' names.
     """
     results = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
-    docs = docs.drop(*[c for c in docs.columns if c in results])
-    windows = staged(benchmark_windows(benchmark, item_col, item_text_col, width), "decon-windows")
+    docs = docs.drop(*[prefix + c for c in results])
+    windows = benchmark_windows(benchmark, item_col, item_text_col, width)
+    # Numbers once written stay the same for every later read.
+    windows = staged(windows.withColumn("wid", F.monotonically_increasing_id()), "decon-windows")
     chars = windows.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0
     small = chars <= BROADCAST_CHARS
     lookups = staged(rarest_terms(windows, docs, text_col, small), "decon-lookups")
@@ -164,10 +165,10 @@ def contamination(
             (s["n"] + F.greatest(x["end"] - F.greatest(s["to"], x["start"]), F.lit(0))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")
         ),
     )["n"]
-    hits = spans.select(*key, covered.cast("long").alias("n_hit"))
+    hits = spans.select(*key, covered.cast("long").alias("_hit"))
     to_items = _small(windows.select("wid", F.explode("item_ids").alias("item")), small)
-    items = exact.select(*key, "wid").distinct().join(to_items, "wid").groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    near = proximity_matches(postings, lookups, small).join(to_items, "wid").groupBy(*key).agg(F.count_distinct("item").alias("n_near"))
+    items = exact.select(*key, "wid").distinct().join(to_items, "wid").groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("_items"))
+    near = proximity_matches(postings, lookups, small).join(to_items, "wid").groupBy(*key).agg(F.count_distinct("item").alias("_near"))
     # Null ids must meet themselves: a struct of the key compares safely.
     found = None
     for part in (hits, items, near):
@@ -175,16 +176,23 @@ def contamination(
         found = part if found is None else found.join(part, ["_key", "_hash"], "full")
     found = staged(found, "decon-found")
     marked = row_keys(docs, id_col, text_col).withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("null")))
-    marked = marked.withColumn("n_words", F.regexp_count(text_or_empty(text_col), F.lit(WORD_ANY_CASE)).cast("long"))
-    joined = marked.join(found, ["_key", "_hash"], "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select(
-        *docs.columns, "n_words", n_hit.alias("n_hit"),
-        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
-        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
+    marked = marked.withColumn("_words", F.regexp_count(text_or_empty(text_col), F.lit(WORD_ANY_CASE)).cast("long"))
+    joined = marked.join(found.hint("shuffle_merge"), ["_key", "_hash"], "left")
+    n_hit = F.coalesce("_hit", F.lit(0).cast("long"))
+    values = (
+        F.col("_words"), n_hit,
+        F.when(F.col("_items").isNull(), 0).otherwise(F.size("_items")).cast("long"),
+        F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")), 256),
+        (n_hit > 0) & (SHARE * n_hit >= F.col("_words")),
+        F.coalesce("_near", F.lit(0).cast("long")),
     )
+    return joined.select(*docs.columns, *[v.alias(prefix + name) for v, name in zip(values, results, strict=True)])
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their own columns."""
+    marked = contamination(docs, benchmark, prefix="_decon_", **options)
+    return marked.filter("not _decon_contaminated").select(*docs.columns)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -225,12 +233,11 @@ ranked as (
     select win, offs.term, off, coalesce(n, 0) as n,
       row_number() over o as rank, count(*) over (partition by win) as terms, min(coalesce(n, 0)) over (partition by win) as least
     from offs left join freq using (term) window o as (partition by win order by coalesce(n, 0), offs.term, off)
-  ) where rank <= 3 and least > 0
-), near as (
-  select distinct doc_id, win from (
-    select doc_id, win, terms, rank, unnest([(i - off) // 4, (i - off) // 4 - 1]) as block
-    from tok join ranked using (term) where i >= off
-  ) group by doc_id, win, block, terms having count(distinct rank) = least(terms, 3)
+  ) where rank <= 2 and least > 0
+), p as (select doc_id, win, terms, rank, i - off as start from tok join ranked using (term)),
+near as (
+  select distinct a.doc_id, a.win from p a left join p b on b.doc_id = a.doc_id and b.win = a.win and b.rank = 2
+  where a.rank = 1 and a.start >= 0 and (a.terms = 1 or abs(b.start - a.start) <= 4)
 ), ni as (select doc_id, count(distinct item_id)::bigint as n_near from near join bw using (win) group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_near, 0) as n_near, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
