@@ -141,7 +141,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
     source = options.get("source_col", "source")
     docs = docs.drop("copy_no")
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")))
+    joined = docs.join(plan.hint("shuffle_merge"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias("copy_no"))
 
 

@@ -309,10 +309,11 @@ def without_repeats(
     found = staged(found.dropDuplicates(["key"]), "sa-anchors")
     rows = found.select("key", F.explode(F.arrays_zip("pos", "hash")).alias("a")).select("key", "a.pos", "a.hash")
     shared = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    listed = rows.join(shared, "hash").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("a"))
+    listed = rows.join(shared.hint("shuffle_merge"), "hash").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("a"))
     listed = listed.join(texts, "key").select(F.col("key").alias("k"), "rep", F.col("a.pos").alias("pos"), F.col("a.hash").alias("hash"))
     # One row of each text that has shared anchors, with its bytes.
-    met = keyed.join(listed, (F.col("key") == F.col("k")) & F.col("_id").eqNullSafe(F.col("rep"))).select("key", "text", "pos", "hash")
+    # Tables that grow with the texts are never broadcast.
+    met = keyed.join(listed.hint("shuffle_merge"), (F.col("key") == F.col("k")) & F.col("_id").eqNullSafe(F.col("rep"))).select("key", "text", "pos", "hash")
     if not base.groupBy("_id", "key").count().filter("count > 1").isEmpty():
         # Rows that repeat id and text have all met the join.
         met = met.dropDuplicates(["key"])
@@ -326,11 +327,11 @@ def without_repeats(
     ranges = compared(contexts.join(large, "hash", "left_anti"), length, gram)
     ranges = ranges.unionByName(counted_windows(contexts.join(large, "hash", "left_semi"), length, gram))
     ranges = staged(ranges, "sa-ranges")
-    intervals = surroundings(met, length, gram, False).join(ranges, ["hash", "c1", "c2"]).select(
+    intervals = surroundings(met, length, gram, False).join(ranges.hint("shuffle_merge"), ["hash", "c1", "c2"]).select(
         "key", (F.col("pos") - F.col("most")).alias("begin"), (F.col("pos") - F.col("least") + length).alias("end")
     )
     spans = merged_spans(intervals).select(F.col("key").alias("k"), F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
-    cut = staged(kept_digests(met.join(spans, F.col("key") == F.col("k"))), "sa-kept")
+    cut = staged(kept_digests(met.join(spans.hint("shuffle_merge"), F.col("key") == F.col("k"))), "sa-kept")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     out = base.join(texts.select("key", "copies"), "key").join(cut, "key", "left")
     return out.select(
