@@ -24,6 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
+# Numbers in a vector of the embeddings table.
+DIM = 64
+
 QUERY_LOG_COLUMNS = [
     "event_id as request_id",
     "ts",

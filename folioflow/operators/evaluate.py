@@ -11,21 +11,48 @@ from folioflow.functions.text import collapse
 CATEGORIES = ("ingredient", "sentencing_bail", "ipc_bns_mapping", "out_of_scope")
 
 
+def _pieces_of(n: int):
+    """All substrings of ``n`` characters of a word that has as many."""
+
+    def cut(word: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word) - n + 1)
+        return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+
+    return cut
+
+
+def _at_least(n: int):
+    return lambda word: F.length(word) >= n
+
+
 def contains_passage(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """``(query_id, doc_id)`` of documents that contain a passage verbatim.
 
-    The longest whole word inside the passage is looked up among the words of
-    the documents first, so only documents with that word are searched.
-    Passages need at least one inner word.
+    A passage with words inside it is looked up by its longest inner word
+    among the words of the documents.  Without one its first or last word may
+    be part of a longer word of the document, so its longest word is looked up
+    among the pieces of the documents' words, cut only to the lengths that such
+    passages have.  A passage without any word is searched for everywhere.
     """
     pieces = F.split(F.lower("passage"), "[^a-z0-9_]+")
-    inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchors = passages.select("query_id", longest.alias("term"))
-    words = docs.select(
-        "doc_id", F.explode_outer(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))).alias("term")
+    longest = lambda words: F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    inner = longest(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))))
+    anchors = passages.filter("passage is not null").select("query_id", inner.alias("word"), longest(pieces).alias("piece"))
+    anchors = anchors.select(
+        "query_id",
+        F.when(F.col("word").isNotNull(), "word").when(F.col("piece") != "", "piece").otherwise("any").alias("kind"),
+        F.coalesce("word", "piece").alias("term"),
     )
-    pairs = words.join(anchors, "term").select("query_id", "doc_id")
+    # Lengths of the pieces of short passages: a handful of small numbers.
+    lengths = [r[0] for r in anchors.filter("kind = 'piece'").select(F.length("term")).distinct().collect()]
+    words = F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))
+    tagged = lambda kind, terms: F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+    terms = F.concat(tagged("word", words), tagged("any", F.array(F.lit(""))))
+    for n in lengths:
+        long = F.filter(words, _at_least(n))
+        terms = F.concat(terms, tagged("piece", F.array_distinct(F.flatten(F.transform(long, _pieces_of(n))))))
+    named = docs.select("doc_id", F.explode_outer(terms).alias("t")).select("doc_id", "t.kind", "t.term")
+    pairs = named.join(anchors, ["kind", "term"]).select("query_id", "doc_id")
     located = docs.select("doc_id", "text").join(pairs, "doc_id").join(passages, "query_id")
     return located.filter(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +27,10 @@ SEMANTIC_THRESHOLD = 0.92
 BM25_K1 = 1.5
 BM25_B = 0.75
 
-# Up to this many query rows ride along as one matrix; more are shuffled.
+# Query rows that are scored together, and vectors in a packed block.
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 8192
-# Nothing larger than this is sent to the tasks.
+VECTOR_BLOCK = 4096
+# No matrix of queries or words is larger than this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Up to this many (query, word) rows are sent to the tasks.
 QUERY_TERM_LIMIT = 500_000
@@ -83,7 +83,8 @@ def _bm25_by_join(index: InvertedIndex, queries: DataFrame, k1: float, b: float)
     tf = F.col("tf")
     part = F.col("weight") * tf / (tf + k1 * (1 - b + b * F.col("dl") / avg_len))
     joined = index.postings.join(weighted, "term").groupBy("query_id", "chunk_id")
-    return joined.agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    # As in the scan: a score that rounds to nothing is no hit.
+    return joined.agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).filter("score > 0")
 
 
 def _term_statistics(words: DataFrame, vocabulary: pa.Table) -> tuple[dict[str, int], int, float]:
@@ -164,38 +165,53 @@ def _bm25_scores(token_lists, value_set, weights, n_queries: int, avg_len: float
     return scores
 
 
+def rejected_vectors(vectors: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """``(side, id, reason)`` of the rows that ``vector_topk`` cannot score.
+
+    Reasons: ``missing`` (a null vector, as a failed embedding leaves it),
+    ``dimension`` (not ``dim`` numbers) and ``not_finite`` (a null, NaN or
+    infinite number).
+    """
+    found = None
+    for side, df, key, vec in (("chunk", vectors, "chunk_id", "embedding"), ("query", queries, "query_id", "query_vec")):
+        part = df.select(F.lit(side).alias("side"), F.col(key).alias("id"), _vector_problem(F.col(vec), dim).alias("reason"))
+        found = part if found is None else found.unionByName(part)
+    return found.filter("reason is not null")
+
+
+def _vector_problem(vec: Column, dim: int) -> Column:
+    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    return F.when(vec.isNull(), "missing").when(F.size(vec) != dim, "dimension").when(bad, "not_finite")
+
+
 def vector_topk(
     vectors: DataFrame,
     queries: DataFrame,
+    dim: int,
     k: int = TOP_K,
     where: dict[str, object] | None = None,
     block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Exact cosine search ``(query_id, chunk_id, score, rank)``; negative cosines count as 0.
 
-    ``vectors(chunk_id, embedding, ...)``, ``queries(query_id, query_vec)``.
-    Every task keeps a running best-k per query, so only ``k`` rows per query
-    and task are shuffled, never one row per pair.  Up to ``block`` queries
-    travel to the tasks as one matrix; a larger query table is cut into blocks
-    that are joined to packed vector blocks on a part number instead.
+    ``vectors(chunk_id, embedding, ...)``, ``queries(query_id, query_vec)``,
+    all of ``dim`` numbers; what is not is listed by ``rejected_vectors``.
+    Queries are cut into blocks of at most ``block`` rows and
+    ``BROADCAST_BYTES``, vectors into packed blocks dealt to parts, and every
+    part meets every query block: a stated query set against all rows.  A task
+    walks its part one query block at a time and keeps the best ``k`` per
+    query over all vectors it sees, so ``k`` rows per query and task are
+    shuffled, never one per pair.
     """
     for name, value in (where or {}).items():
         vectors = vectors.filter(F.col(name) == F.lit(value))
-    vectors = vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    queries = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
+    vectors = vectors.filter(_vector_problem(F.col("embedding"), dim).isNull()).select("chunk_id", "embedding")
+    queries = queries.filter(_vector_problem(F.col("query_vec"), dim).isNull()).select("query_id", "query_vec")
     schema = T.StructType(
         [queries.schema["query_id"], vectors.schema["chunk_id"], T.StructField("score", T.DoubleType())]
     )
-    head = queries.limit(block + 1).toArrow()
-    if head.num_rows:
-        same_length = F.lit(len(head.column(1)[0]))
-        vectors = vectors.filter(F.size("embedding") == same_length)
-        queries = queries.filter(F.size("query_vec") == same_length)
-    if head.num_rows <= block and head.nbytes <= BROADCAST_BYTES:
-        partial = _scan_with_matrix(vectors, head, k, schema)
-    else:
-        rows = min(block, max(1, BROADCAST_BYTES * head.num_rows // head.nbytes))
-        partial = _scan_with_blocks(vectors, queries, k, rows, schema)
+    rows = max(1, min(block, BROADCAST_BYTES // (8 * dim)))
+    partial = _scan_with_blocks(vectors, queries, k, rows, schema)
     return top_k(partial, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -221,29 +237,6 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.typeName()]) for f in schema.fields])
 
 
-def _scan_with_matrix(vectors: DataFrame, queries: pa.Table, k: int, schema: T.StructType) -> DataFrame:
-    """One pass over the vectors; the bounded query matrix is a broadcast variable."""
-    table = queries.combine_chunks()
-    payload = None
-    if table.num_rows:
-        ids, vecs = table.column(0).combine_chunks(), table.column(1).combine_chunks()
-        payload = (_ids(ids), unit_rows(_matrix(vecs)))
-    shared = vectors.sparkSession.sparkContext.broadcast(payload)
-    arrow = _arrow_schema(schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value is None:
-            return
-        query_ids, matrix = shared.value
-        running = RunningTopK(len(query_ids), k)
-        for batch in batches:
-            if batch.num_rows:
-                running.add(_ids(batch.column(0)), cosines(matrix, _matrix(batch.column(1))))
-        yield from _hits(query_ids, running, arrow)
-
-    return vectors.mapInArrow(scan, schema)
-
-
 def _packed(df: DataFrame, rows: int, prefix: str) -> DataFrame:
     """Pack rows into blocks: ids as an array, vectors as one float64 buffer."""
     id_field = df.schema.fields[0]
@@ -272,23 +265,31 @@ def _packed(df: DataFrame, rows: int, prefix: str) -> DataFrame:
 def _scan_with_blocks(
     vectors: DataFrame, queries: DataFrame, k: int, block: int, schema: T.StructType
 ) -> DataFrame:
-    """Beyond one matrix: query blocks copied to every part of the packed vectors."""
+    """Query blocks copied to every part of the packed vectors."""
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = _packed(vectors, VECTOR_BLOCK, "v").withColumn("part", F.pmod(F.xxhash64("v_ids"), F.lit(parts)))
-    blocks = _packed(queries, block, "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    blocks = _packed(queries, block, "q").withColumn("q_no", F.xxhash64("q_ids"))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     arrow = _arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, query_ids, matrix, running = None, None, None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                query_ids, ids = np.array(row["q_ids"]), np.array(row["v_ids"])
-                matrix = np.frombuffer(row["q_data"]).reshape(len(query_ids), -1)
-                running = RunningTopK(len(query_ids), k)
-                running.add(ids, cosines(matrix, np.frombuffer(row["v_data"]).reshape(len(ids), -1)))
-                yield from _hits(query_ids, running, arrow)
-
-    pairs = packed.join(blocks, "part").select("v_ids", "v_data", "q_ids", "q_data")
-    return pairs.mapInArrow(scan, schema)
+            for i in range(batch.num_rows):
+                q_no, ids = batch.column(0)[i].as_py(), np.array(batch.column(3)[i].as_py())
+                if q_no != current:
+                    if running is not None:
+                        yield from _hits(query_ids, running, arrow)
+                    current, query_ids = q_no, np.array(batch.column(1)[i].as_py())
+                    matrix = np.frombuffer(batch.column(2)[i].as_buffer()).reshape(len(query_ids), -1)
+                    running = RunningTopK(len(query_ids), k)
+                vecs = np.frombuffer(batch.column(4)[i].as_buffer()).reshape(len(ids), -1)
+                running.add(ids, cosines(matrix, vecs))
+        if running is not None:
+            yield from _hits(query_ids, running, arrow)
+
+    pairs = packed.join(blocks, "part").select("q_no", "q_ids", "q_data", "v_ids", "v_data")
+    return pairs.sortWithinPartitions("q_no").mapInArrow(scan, schema)
 
 
 def rrf(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -333,6 +334,7 @@ def retrieve(
     queries: DataFrame,
     text: DataFrame | InvertedIndex,
     vectors: DataFrame,
+    dim: int,
     top: int = TOP_K,
     final: int = FINAL_K,
     threshold: float = SCOPE_THRESHOLD,
@@ -343,7 +345,7 @@ def retrieve(
     chunk.
     """
     # At most `top` rows per query, read by the gate and by the fusion.
-    by_vector = staged(vector_topk(vectors, queries, top), "vector-hits")
+    by_vector = staged(vector_topk(vectors, queries, dim, top), "vector-hits")
     by_text = staged(bm25_topk(text, queries, top), "text-hits")
     gate = scope_gate(queries, by_vector, by_text, threshold)
     fused = top_k(rrf(by_vector, by_text), ["query_id"], [F.desc("score"), F.asc("chunk_id")], final)
@@ -412,13 +414,13 @@ def exact_cache_lookup(queries: DataFrame, cache: DataFrame, version: str) -> Da
 
 
 def semantic_cache_lookup(
-    queries: DataFrame, cache: DataFrame, version: str, threshold: float = SEMANTIC_THRESHOLD
+    queries: DataFrame, cache: DataFrame, version: str, dim: int, threshold: float = SEMANTIC_THRESHOLD
 ) -> DataFrame:
     """Nearest cached query of the same version, if its cosine is above the threshold."""
     entries = cache.filter(F.col("corpus_version") == version).select(
         F.col("cached_id").alias("chunk_id"), F.col("cached_vec").alias("embedding")
     )
-    nearest = vector_topk(entries, queries, k=1)
+    nearest = vector_topk(entries, queries, dim, k=1)
     return nearest.filter(F.col("score") > threshold).select(
         "query_id", F.col("chunk_id").alias("cached_id"), "score"
     )

@@ -156,11 +156,30 @@ def vector_table_report(spark, sf):
 
 
 def cosine(spark, sf):
-    return retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), 20)
+    return retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), fx.DIM, 20)
 
 
 def cosine_filtered(spark, sf):
-    return retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), 5, where={"label": 2})
+    return retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), fx.DIM, 5, where={"label": 2})
+
+
+def mixed_vectors(spark, sf):
+    """All vectors, and next to them one in five cut short, null or with a NaN."""
+    vecs, queries = vectors(spark, sf).select("chunk_id", "embedding"), fx.vec_queries(spark, sf).select("query_id", "query_vec")
+    broken = vecs.filter("chunk_id % 5 = 0").selectExpr(
+        "-1 - chunk_id as chunk_id",
+        "case chunk_id % 3 when 0 then slice(embedding, 1, 7) when 1 then cast(null as array<float>) else concat(slice(embedding, 2, 63), array(float('nan'))) end as embedding",
+    )
+    short = queries.selectExpr("-1 - query_id as query_id", "slice(query_vec, 1, 3) as query_vec")
+    return vecs.unionByName(broken), queries.unionByName(short)
+
+
+def cosine_mixed(spark, sf):
+    return retrieve.vector_topk(*mixed_vectors(spark, sf), fx.DIM, 20)
+
+
+def rejected(spark, sf):
+    return retrieve.rejected_vectors(*mixed_vectors(spark, sf), fx.DIM)
 
 
 def metadata_rows(spark, sf):
@@ -203,8 +222,8 @@ def smoke(spark, sf):
 
 def ranked_pair(spark, sf):
     """Two overlapping rankings of vectors: all of them, and one label only."""
-    everything = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), 20)
-    labelled = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), 20, where={"label": 2})
+    everything = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), fx.DIM, 20)
+    labelled = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), fx.DIM, 20, where={"label": 2})
     return (
         everything.withColumn("payload", F.lit("all")),
         labelled.withColumn("payload", F.lit("label")),
@@ -216,7 +235,7 @@ def fusion(spark, sf):
 
 
 def gate(spark, sf):
-    by_vector = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), 20)
+    by_vector = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), fx.DIM, 20)
     by_text = retrieve.bm25_topk(chunks(spark, sf), fx.text_queries(spark, sf), 20)
     queries = fx.text_queries(spark, sf).select("query_id").unionByName(
         spark.range(100_000, 100_003).select(F.col("id").alias("query_id"))
@@ -229,11 +248,11 @@ def hybrid(spark, sf):
     texts = fx.text_queries(spark, sf)
     query_vecs = embed.embed_batches(texts, "query_id", "query").select("query_id", F.col("embedding").alias("query_vec"))
     queries = texts.join(query_vecs, "query_id")
-    return retrieve.retrieve(queries, chunks(spark, sf), vecs)
+    return retrieve.retrieve(queries, chunks(spark, sf), vecs, fx.DIM)
 
 
 def class_scores(spark, sf):
-    best = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), 1)
+    best = retrieve.vector_topk(vectors(spark, sf), fx.vec_queries(spark, sf), fx.DIM, 1)
     labels = fx.vec_queries(spark, sf).select("query_id", (F.col("label") % 2 == 0).alias("in_scope"))
     return labels.join(best.select("query_id", "score"), "query_id")
 
@@ -279,7 +298,7 @@ def semantic_lookup(spark, sf):
         F.col("chunk_id").alias("query_id"),
         F.transform("embedding", lambda x: F.round(x.cast("double") * 5, 0) / 5).alias("query_vec"),
     )
-    return retrieve.semantic_cache_lookup(queries, entries, VERSION)
+    return retrieve.semantic_cache_lookup(queries, entries, VERSION, fx.DIM)
 
 
 def answer_writes(spark, sf):
@@ -401,6 +420,12 @@ PLANS = {
  union all select doc_id, 'no_vector', 1 from documents where doc_id not in (select vec_id from embeddings)""",
     ),
     "f5_vector_topk": (cosine, fx.duck("vec_queries", body=cos_sql())),
+    "f5_vector_mixed_dims": (cosine_mixed, fx.duck("vec_queries", body=cos_sql())),
+    "f5_rejected_vectors": (
+        rejected,
+        """select 'chunk' as side, -1 - vec_id as id, case vec_id % 3 when 0 then 'dimension' when 1 then 'missing' else 'not_finite' end as reason from embeddings where vec_id % 5 = 0
+ union all select distinct 'query', -1 - label::bigint, 'dimension' from embeddings""",
+    ),
     "f6_vector_topk_filtered": (cosine_filtered, fx.duck("vec_queries", body=cos_sql("where e.label = 2", 5))),
     "f7_flatten_metadata": (
         metadata_rows,

@@ -12,48 +12,83 @@ from folioflow.session import stage_path
 from folioflow.streaming import jobs
 
 
-def log_stream(spark, sf):
-    """The log as a file stream over the events table."""
-    schema = fx.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
-    return fx.project_query_log(events).withColumn("ts", F.col("ts").cast("timestamp"))
+# Slices of the log, in time order; each arrives as a micro-batch of its own.
+SLICES = 4
+
+
+def in_slices(spark, sf, run) -> None:
+    """Let the events table arrive slice by slice: ``run(log, checkpoint)`` after each, as one job that goes on."""
+    events = fx.table(spark, sf, "events")
+    path, checkpoint = stage_path(spark, "events-in"), stage_path(spark, "stream-checkpoint")
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    events.limit(0).write.parquet(path)
+    source = spark.readStream.schema(events.schema).parquet(path)
+    log = fx.project_query_log(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(SLICES):
+        low, high = (first + (last + 1 - first) * k // SLICES for k in (i, i + 1))
+        events.filter((at >= low) & (at < high)).write.mode("append").parquet(path)
+        run(log, checkpoint)
 
 
 def daily(spark, sf):
-    path = stage_path(spark, "daily")
-    days = jobs.stream_daily(la.with_cost(log_stream(spark, sf)))
-    jobs.upsert_stream(days, path, ["log_date"], mode="update")
-    return rounded(jobs.read_upserts(spark, path, days.schema, ["log_date"]), estimated_cost_usd=8)
+    path, kept = stage_path(spark, "daily"), {}
+
+    def run(log, checkpoint):
+        days = jobs.stream_daily(la.with_cost(log))
+        jobs.upsert_stream(days, path, ["log_date"], mode="update", checkpoint=checkpoint)
+        kept["schema"] = days.schema
+
+    in_slices(spark, sf, run)
+    return rounded(jobs.read_upserts(spark, path, kept["schema"], ["log_date"]), estimated_cost_usd=8)
+
+
+def drained(spark, sf, name, build):
+    path, kept = stage_path(spark, name), {}
+
+    def run(log, checkpoint):
+        rows = build(log)
+        jobs.drain(rows, path, checkpoint=checkpoint)
+        kept["schema"] = rows.schema
+
+    in_slices(spark, sf, run)
+    return spark.read.schema(kept["schema"]).parquet(path)
 
 
 def quota(spark, sf):
-    path = stage_path(spark, "quota")
-    admitted = jobs.stream_quota(log_stream(spark, sf))
-    jobs.drain(admitted, path)
-    return spark.read.schema(admitted.schema).parquet(path).select("request_id", "log_date", "hashed_ip")
+    return drained(spark, sf, "quota", jobs.stream_quota).select("request_id", "log_date", "hashed_ip")
 
 
 def quota_by_batch(spark, sf):
-    admitted = jobs.quota_batches(log_stream(spark, sf), stage_path(spark, "quota"))
-    return admitted.select("request_id", "log_date", "hashed_ip")
+    path, kept = stage_path(spark, "quota"), {}
+
+    def run(log, checkpoint):
+        kept["rows"] = jobs.quota_batches(log, path, checkpoint=checkpoint)
+
+    in_slices(spark, sf, run)
+    return kept["rows"].select("request_id", "log_date", "hashed_ip")
 
 
 def dedup(spark, sf):
-    path = stage_path(spark, "dedup")
-    repeated = log_stream(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("request_id") % 3).cast("int"))))
-    once = jobs.stream_dedup(repeated.drop("copy"))
-    jobs.drain(once, path)
-    return spark.read.schema(once.schema).parquet(path).select("request_id", "log_date", "question")
+    def once(log):
+        repeated = log.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("request_id") % 3).cast("int"))))
+        return jobs.stream_dedup(repeated.drop("copy"))
+
+    return drained(spark, sf, "dedup", once).select("request_id", "log_date", "question")
 
 
 def upsert(spark, sf):
-    path = stage_path(spark, "answers")
-    log = log_stream(spark, sf).filter("not rejected")
-    answers = retrieve.with_cache_key(log, "question").select(
-        "cache_key", F.concat(F.lit("a"), F.col("request_id").cast("string")).alias("answer_text"), "ts", "request_id"
-    )
-    jobs.upsert_stream(answers, path, ["cache_key"], ["ts", "request_id"])
-    current = jobs.read_upserts(spark, path, answers.schema, ["cache_key"], ["ts", "request_id"])
+    path, kept = stage_path(spark, "answers"), {}
+
+    def run(log, checkpoint):
+        answers = retrieve.with_cache_key(log.filter("not rejected"), "question").select(
+            "cache_key", F.concat(F.lit("a"), F.col("request_id").cast("string")).alias("answer_text"), "ts", "request_id"
+        )
+        jobs.upsert_stream(answers, path, ["cache_key"], ["ts", "request_id"], checkpoint=checkpoint)
+        kept["schema"] = answers.schema
+
+    in_slices(spark, sf, run)
+    current = jobs.read_upserts(spark, path, kept["schema"], ["cache_key"], ["ts", "request_id"])
     return current.select("cache_key", "answer_text")
 
 

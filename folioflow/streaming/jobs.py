@@ -91,7 +91,10 @@ def quota_batches(
     spark.createDataFrame([], rows.drop("log_date").schema).write.mode("overwrite").parquet(f"{path}/batch_id=-1/log_date=1970-01-01")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        earlier = batch.sparkSession.read.schema(full).parquet(path).filter(F.col("batch_id") < batch_id)
+        # The few days of this batch prune the folders of all others.
+        days = [r[0] for r in batch.select("log_date").distinct().collect()]
+        earlier = batch.sparkSession.read.schema(full).parquet(path)
+        earlier = earlier.filter((F.col("batch_id") < batch_id) & F.col("log_date").isin(days))
         used = earlier.groupBy(*keys).agg(F.count("*").alias("__used"))
         firsts = top_k(batch, keys, [F.asc("ts"), F.asc("request_id")], limit)
         free = F.lit(limit) - F.coalesce("__used", F.lit(0))
@@ -113,9 +116,9 @@ def stream_dedup(log: DataFrame, key: str = "request_id", delay: str = "1 day")
     return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> None:
+def drain(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> None:
     """Append a stream to a Parquet folder until its input is used up."""
-    checkpoint = stage_path(stream.sparkSession, "stream-checkpoint")
+    checkpoint = checkpoint or stage_path(stream.sparkSession, "stream-checkpoint")
     query = (
         stream.writeStream.outputMode(mode)
         .format("parquet")

@@ -229,6 +229,8 @@ def test_window_errors():
 
 
 def test_passages_are_found_whole(spark):
-    docs = spark.createDataFrame([(1, "x the quick brown fox y"), (2, "the quick brown foxes"), (3, "quick brown only")], "doc_id int, text string")
-    passages = spark.createDataFrame([(7, "the quick brown fox"), (8, "quick brown only ones")], "query_id int, passage string")
-    assert sorted(map(tuple, evaluate.contains_passage(passages, docs).collect())) == [(7, 1), (7, 2)]
+    docs = spark.createDataFrame([(1, "x the quick brown fox y"), (2, "the quick brown foxes"), (3, "quick brown only"), (4, None), (5, "!?")], "doc_id int, text string")
+    passages = [(7, "the quick brown fox"), (8, "quick brown only ones"), (9, "ick bro"), (10, "fox"), (11, "!"), (12, "own fox y"), (13, "y"), (14, None), (15, "nly")]
+    frame = spark.createDataFrame(passages, "query_id int, passage string")
+    want = sorted((q, r.doc_id) for q, p in passages for r in docs.collect() if p is not None and p in (r.text or "\0"))
+    assert sorted(map(tuple, evaluate.contains_passage(frame, docs).collect())) == want

@@ -167,13 +167,25 @@ def test_bm25_scan_equals_join(spark, sf, monkeypatch):
     assert as_rows(retrieve.bm25_topk(docs, queries, 7)) == by_scan
 
 
-def test_vector_blocks_equal_matrix(spark, sf):
+def test_vector_blocks(spark, sf):
     from folioflow import fixtures as fx
     from folioflow.plans.retrieval import vectors
 
     queries = fx.vec_queries(spark, sf)
-    small = as_rows(retrieve.vector_topk(vectors(spark, sf), queries, 5))
-    assert small == as_rows(retrieve.vector_topk(vectors(spark, sf), queries, 5, block=3))
+    small = as_rows(retrieve.vector_topk(vectors(spark, sf), queries, fx.DIM, 5))
+    for block in (1, 7, 4096):
+        assert small == as_rows(retrieve.vector_topk(vectors(spark, sf), queries, fx.DIM, 5, block=block))
+
+
+def test_rejected_vectors(spark):
+    nan = float("nan")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [nan, 1.0]), (5, [0.0, 2.0])], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(10, [1.0]), (11, [1.0, 0.0])], "query_id long, query_vec array<double>")
+    for block in (1, 5):
+        rows = retrieve.vector_topk(vectors, queries, 2, block=block).collect()
+        assert [(r.query_id, r.chunk_id, r.score) for r in sorted(rows, key=lambda r: r.rank)] == [(11, 1, 1.0), (11, 5, 0.0)]
+    found = {(r.side, r.id): r.reason for r in retrieve.rejected_vectors(vectors, queries, 2).collect()}
+    assert found == {("chunk", 2): "dimension", ("chunk", 3): "missing", ("chunk", 4): "not_finite", ("query", 10): "dimension"}
 
 
 def test_index_round_trip(spark, sf, tmp_path):
