@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import is_blank, is_placeholder, normalize_filename
+from folioflow.sources.manifest import OUTCOMES, STATUSES
 
 # Fixed values of the manifest contract.
 FILENAME_PATTERN = r"^[a-z0-9_]+\.(html|pdf)$"
 FOLDER_PATTERN = r"^\d{2,}$"
 SHA256_PATTERN = r"^[a-f0-9]{64}$"
+ACT_ID_PATTERN = r"^[a-z0-9_]+$"
 FIRST_YEAR, LAST_YEAR = 1860, 2100
+TEXT_LIMITS = {"case_id": 100, "case_name": 300, "citation": 300, "court": 100, "primary_section": 50}
 CHECKS = ("schema", "missing", "pairing", "normalization", "orphan", "hash_drift")
 CONFIDENCE = ("low", "medium", "high")
 APPROVE_AT, REVIEW_AT = 0.6, 0.4
@@ -29,6 +32,50 @@ def length_between(col: Column, low: int, high: int) -> Column:
     return F.length(col).between(low, high)
 
 
+def file_rules(name: str, ending: str) -> dict[str, Column]:
+    col = F.col(name)
+    return {
+        f"{name}_length": length_between(col, 1, 200),
+        f"{name}_pattern": col.rlike(FILENAME_PATTERN),
+        f"{name}_ending": col.endswith(ending),
+    }
+
+
+def act_rules() -> dict[str, Column]:
+    """Field rules of a declared act."""
+    return {
+        "act_id_length": length_between(F.col("act_id"), 1, 50),
+        "act_id_pattern": F.col("act_id").rlike(ACT_ID_PATTERN),
+        "act_name": length_between(F.col("act_name"), 1, 200),
+        "short_name": length_between(F.col("short_name"), 1, 20),
+        **file_rules("filename", ".pdf"),
+        "source_url": F.length("source_url") >= 1,
+        "retrieved_date": F.col("retrieved_date").isNotNull(),
+        "sha256": sha_or_null(F.col("sha256")),
+    }
+
+
+def judgment_rules() -> dict[str, Column]:
+    """Field rules of a declared judgment."""
+    score = F.col("relevance_score")
+    return {
+        "folder_length": length_between(F.col("folder"), 2, 4),
+        "folder_number": F.col("folder").rlike(FOLDER_PATTERN),
+        **{c: length_between(F.col(c), 1, n) for c, n in TEXT_LIMITS.items()},
+        "year": F.col("year").between(FIRST_YEAR, LAST_YEAR),
+        "other_sections": F.col("other_sections").isNotNull(),
+        "outcome": F.col("outcome").isin(*OUTCOMES),
+        "source_url": F.length("source_url") >= 1,
+        **file_rules("html_filename", ".html"),
+        **file_rules("pdf_filename", ".pdf"),
+        "retrieved_date": F.col("retrieved_date").isNotNull(),
+        "html_sha256": sha_or_null(F.col("html_sha256")),
+        "pdf_sha256": sha_or_null(F.col("pdf_sha256")),
+        "status": F.col("status").isin(*STATUSES),
+        "relevance_score": score.isNull() | score.between(0.0, 1.0),
+    }
+
+
 def validate_rules(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """``(key, rule)`` per broken rule; a rule that yields null counts as broken."""
     broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]

@@ -177,13 +177,28 @@ PARAGRAPHS_SQL = """arts as (select page_id, regexp_extract(html, '(?s)<article>
  cnt as (select p.page_id, count(par.page_id) as n from pages p left join par on par.page_id = p.page_id group by 1)"""
 
 
+# The patterns once more, for the second engine.
+CITATIONS = (
+    r"(?i)[(]\s*([0-9]{4})\s*[)]\s*[0-9]+\s*SCC\s*[0-9]+",
+    r"(?i)AIR\s+([0-9]{4})\s+SC\s+[0-9]+",
+    r"(?i)[(]\s*([0-9]{4})\s*[)]\s*[0-9]+\s*SCC\s*[(]Cri[)]\s*[0-9]+",
+    r"(?i)([0-9]{4})\s*Cri[.]?\s*LJ\s*[0-9]+",
+    r"(?i)MANU/[A-Z]{2}/[0-9]+/([0-9]{4})",
+)
+YEAR_IN_NAME = "(?i)_on_(?:[0-9]+_)?[a-z]+_([0-9]{4})[.]html?$"
+SECTION = (
+    r"(?i)(?:section|sec[.]?|s[.]|§)\s*([0-9]{1,4})"
+    r"|\b([0-9]{1,4})\s*(?:IPC|BNS|of\s+the\s+(?:Indian\s+Penal\s+Code|Bharatiya\s+Nyaya\s+Sanhita))"
+)
+
+
 def first_match_sql(text: str, group: int) -> str:
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, '{p}', {group}), '')" for p in extract.CITATION_PATTERNS) + ")"
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, '{p}', {group}), '')" for p in CITATIONS) + ")"
 
 
 CITATION_CTES = f"""d as (select doc_id, {CITED}, {NAMED.format(t='varchar')} from documents),
  m as (select doc_id, {first_match_sql('substr(text, 1, 3000)', 0)} as hc, {first_match_sql('substr(text, 1, 3000)', 1)} as hy,
-   {first_match_sql('text', 0)} as bc, {first_match_sql('text', 1)} as bym, nullif(regexp_extract(filename, '{extract.FILENAME_YEAR}', 1), '') as ny from d),
+   {first_match_sql('text', 0)} as bc, {first_match_sql('text', 1)} as bym, nullif(regexp_extract(filename, '{YEAR_IN_NAME}', 1), '') as ny from d),
  cit as (select doc_id, coalesce(hc, bc) as citation, case when hc is not null then 'high' when bc is not null then 'medium' else 'low' end as citation_confidence,
    cast(coalesce(case when hc is not null then hy else bym end, ny) as int) as year,
    case when hc is not null then 'high' when bc is not null or ny is not null then 'medium' else 'low' end as year_confidence from m)"""
@@ -230,8 +245,8 @@ PLANS = {
     "c14_dominant_section": (
         dominant,
         fx.duck("act_lines", body=f"""with x as (select act_id, line_no, case when line_no % 50 = 7 then line || ' s. 309 and 310 BNS, §999' else line end as line from act_lines),
- y as (select act_id, line_no, unnest(regexp_extract_all(line, '{extract.SECTION_REF}', 1)) as a, unnest(regexp_extract_all(line, '{extract.SECTION_REF}', 2)) as b,
-   unnest(range(len(regexp_extract_all(line, '{extract.SECTION_REF}', 1)))) as nth from x),
+ y as (select act_id, line_no, unnest(regexp_extract_all(line, '{SECTION}', 1)) as a, unnest(regexp_extract_all(line, '{SECTION}', 2)) as b,
+   unnest(range(len(regexp_extract_all(line, '{SECTION}', 1)))) as nth from x),
  z as (select act_id, line_no, nth, cast(coalesce(nullif(a, ''), b) as int) as section from y),
  g as (select act_id, section, count(*) as mentions, min(line_no * 1000 + nth) as f from z where section between 378 and 402 or section between 303 and 313 group by 1, 2),
  r as (select *, row_number() over (partition by act_id order by mentions desc, f) as rk, lead(mentions) over (partition by act_id order by mentions desc, f) as nextm from g)

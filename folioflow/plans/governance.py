@@ -78,6 +78,61 @@ def rule_violations(spark, sf):
     return q.validate_rules(fx.manifest(spark, sf), "folder", rules())
 
 
+# Views of both record types, in words that both engines understand.
+ACTS = """lower(replace(p_name, ' ', case when p_partkey % 9 = 0 then ' ' else '_' end)) as act_id,
+  case when p_partkey % 8 = 0 then repeat('n', 201) else p_name end as act_name,
+  case when p_partkey % 7 = 0 then concat(p_brand, ' ', p_brand, ' and more') else p_brand end as short_name,
+  case p_partkey % 10 when 0 then 'Act.PDF' when 1 then concat('act_', cast(p_partkey as {t}), '.html') else concat('act_', cast(p_partkey as {t}), '.pdf') end as filename,
+  case when p_partkey % 6 = 0 then '' else concat('https://example.org/', cast(p_partkey as {t})) end as source_url,
+  case when p_partkey % 25 <> 0 then date '2024-01-01' + cast(p_partkey % 300 as int) end as retrieved_date,
+  case p_partkey % 4 when 0 then null when 1 then upper({sha}(p_name{bits})) else {sha}(p_name{bits}) end as sha256"""
+JUDGMENTS = """case when page_id % 11 = 0 then concat('f', cast(page_id as {t})) when page_id < 10 then concat('0', cast(page_id as {t})) else cast(page_id as {t}) end as folder,
+  case when page_id % 31 = 0 then '' else concat('case_', cast(page_id as {t})) end as case_id,
+  case when page_id % 14 = 0 then repeat('n', 301) else concat('A', cast(page_id as {t}), ' v. B') end as case_name,
+  case when page_id % 13 = 0 then '' else concat('(2020) 1 SCC ', cast(page_id as {t})) end as citation,
+  case when page_id % 19 = 0 then repeat('c', 101) else 'High Court' end as court, cast(1850 + page_id % 260 as int) as year,
+  case when page_id % 23 = 0 then null else cast(378 + page_id % 25 as {t}) end as primary_section,
+  case when page_id % 29 <> 0 then {array} end as other_sections,
+  case page_id % 6 when 0 then 'conviction-upheld' when 1 then 'conviction-set-aside' when 2 then 'bail-granted' when 3 then 'bail-denied' when 4 then 'other' else 'unknown' end as outcome,
+  url as source_url, case when page_id % 2 = 0 then cast(page_id as {t}) end as source_doc_id,
+  case page_id % 16 when 0 then 'Bad Name.HTML' when 1 then concat('page_', cast(page_id as {t}), '.pdf') else concat('page_', cast(page_id as {t}), '.html') end as html_filename,
+  case page_id % 18 when 0 then '' when 1 then concat('page_', cast(page_id as {t}), '.html') else concat('page_', cast(page_id as {t}), '.pdf') end as pdf_filename,
+  case when page_id % 37 <> 0 then date '2024-01-01' + cast(page_id % 300 as int) end as retrieved_date,
+  case page_id % 5 when 0 then null when 1 then 'abc' else {sha}(html{bits}) end as html_sha256,
+  case page_id % 4 when 0 then null when 1 then upper({sha}(url{bits})) else {sha}(url{bits}) end as pdf_sha256,
+  case page_id % 5 when 0 then 'pending' when 1 then 'approved' when 2 then 'rejected' when 3 then 'needs-review' else 'done' end as status,
+  case when page_id % 3 <> 0 then cast(page_id % 13 as double) / 10 end as relevance_score,
+  cast(null as {t}) as classifier_reasoning, case when page_id % 4 = 0 then 'seen' end as manual_review_notes"""
+SPARK_WORDS = {"t": "string", "sha": "sha2", "bits": ", 256", "array": "array('379', cast(page_id % 9 as string))"}
+DUCK_WORDS = {"t": "varchar", "sha": "sha256", "bits": "", "array": "['379', cast(page_id % 9 as varchar)]"}
+
+
+def declared_acts(spark, sf):
+    fx.table(spark, sf, "part").createOrReplaceTempView("governance_part")
+    return spark.sql(f"select p_partkey, {ACTS.format(**SPARK_WORDS)} from governance_part")
+
+
+def judgments(spark, sf):
+    fx.table(spark, sf, "pages").createOrReplaceTempView("governance_pages")
+    return spark.sql(f"select page_id, {JUDGMENTS.format(**SPARK_WORDS)} from governance_pages")
+
+
+def act_violations(spark, sf):
+    return q.validate_rules(declared_acts(spark, sf), "p_partkey", q.act_rules())
+
+
+def judgment_violations(spark, sf):
+    return q.validate_rules(judgments(spark, sf), "page_id", q.judgment_rules())
+
+
+def stored_judgments(spark, sf):
+    """Written with padding, read back under the closed schema."""
+    path = stage_path(spark, "judgments")
+    rows = judgments(spark, sf).drop("page_id").withColumn("citation", F.concat(F.lit(" \t"), "citation", F.lit("\n")))
+    rows.withColumn("unknown_field", F.lit(1)).write.json(path)
+    return mf.read_manifest(spark, path, mf.JUDGMENT_SCHEMA)
+
+
 def repeated_names(spark, sf):
     return duplicate_keys(fx.manifest(spark, sf), "html_filename")
 
@@ -231,9 +286,9 @@ def verdicts(spark, sf):
 
 
 RULES_SQL = f"""v as (
- select folder, 'filename' as rule from manifest where not regexp_matches(html_filename, '{q.FILENAME_PATTERN}')
- union all select folder, 'folder' from manifest where not regexp_matches(folder, '{q.FOLDER_PATTERN}')
- union all select folder, 'sha256' from manifest where stored_sha256 is not null and not regexp_matches(stored_sha256, '{q.SHA256_PATTERN}')
+ select folder, 'filename' as rule from manifest where not regexp_matches(html_filename, '^[a-z0-9_]+[.](html|pdf)$')
+ union all select folder, 'folder' from manifest where not regexp_matches(folder, '^[0-9]{{2,}}$')
+ union all select folder, 'sha256' from manifest where stored_sha256 is not null and not regexp_matches(stored_sha256, '^[a-f0-9]{{64}}$')
  union all select folder, 'status' from manifest where status not in ('pending', 'approved', 'rejected', 'needs-review')
  union all select folder, 'year' from manifest where year not between 1860 and 2100
  union all select folder, 'citation_length' from manifest where length(citation) not between 1 and 300
@@ -261,7 +316,32 @@ def outcome_sql(min_rank: int, force: bool) -> str:
  when old_value is not distinct from value then 'unchanged' when {keep} then 'existing' else 'applied' end"""
 
 
+FILE_RULES = """{f}_length: length({f}) between 1 and 200; {f}_pattern: regexp_matches({f}, '^[a-z0-9_]+[.](html|pdf)$'); {f}_ending: ends_with({f}, '.{e}')"""
+ACT_RULES = f"""act_id_length: length(act_id) between 1 and 50; act_id_pattern: regexp_matches(act_id, '^[a-z0-9_]+$');
+ act_name: length(act_name) between 1 and 200; short_name: length(short_name) between 1 and 20; {FILE_RULES.format(f='filename', e='pdf')};
+ source_url: length(source_url) >= 1; retrieved_date: retrieved_date is not null; sha256: sha256 is null or regexp_matches(sha256, '^[a-f0-9]{{64}}$')"""
+JUDGMENT_RULES = f"""folder_length: length(folder) between 2 and 4; folder_number: regexp_matches(folder, '^[0-9]{{2,}}$');
+ case_id: length(case_id) between 1 and 100; case_name: length(case_name) between 1 and 300; citation: length(citation) between 1 and 300;
+ court: length(court) between 1 and 100; primary_section: length(primary_section) between 1 and 50; year: year between 1860 and 2100;
+ other_sections: other_sections is not null; outcome: outcome in ('conviction-upheld', 'conviction-set-aside', 'bail-granted', 'bail-denied', 'other');
+ source_url: length(source_url) >= 1; {FILE_RULES.format(f='html_filename', e='html')}; {FILE_RULES.format(f='pdf_filename', e='pdf')};
+ retrieved_date: retrieved_date is not null; html_sha256: html_sha256 is null or regexp_matches(html_sha256, '^[a-f0-9]{{64}}$');
+ pdf_sha256: pdf_sha256 is null or regexp_matches(pdf_sha256, '^[a-f0-9]{{64}}$'); status: status in ('pending', 'approved', 'rejected', 'needs-review');
+ relevance_score: relevance_score is null or relevance_score between 0 and 1"""
+
+
+def violations_sql(view: str, key: str, rules: str) -> str:
+    named = [r.strip().split(": ", 1) for r in rules.split(";")]
+    return f"with v as ({view}) " + " union all ".join(f"select {key}, '{n}' as rule from v where not coalesce({c}, false)" for n, c in named)
+
+
+ACTS_VIEW = f"select p_partkey, {ACTS.format(**DUCK_WORDS)} from part"
+JUDGMENTS_VIEW = f"select page_id, {JUDGMENTS.format(**DUCK_WORDS)} from pages"
+
 PLANS = {
+    "a1_read_judgments": (stored_judgments, f"select * exclude (page_id) from ({JUDGMENTS_VIEW})"),
+    "b1_act_rules": (act_violations, violations_sql(ACTS_VIEW, "p_partkey", ACT_RULES)),
+    "b1_judgment_rules": (judgment_violations, violations_sql(JUDGMENTS_VIEW, "page_id", JUDGMENT_RULES)),
     "a1_read_manifest": (trimmed_manifest, fx.duck("manifest", body="select * replace (regexp_replace(citation, '^\\s+|\\s+$', '', 'g') as citation) from manifest")),
     "a2_list_corpus": (
         corpus_listing,
