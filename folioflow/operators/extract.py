@@ -141,13 +141,23 @@ def extract_citation(df: DataFrame, text: str = "text", filename: str = "filenam
     )
 
 
+# A reference is never longer than this, so no more of the next line is needed.
+REFERENCE_CHARS = 80
+
+
 def section_references(df: DataFrame, key: str, position: str, text: str = "line") -> DataFrame:
-    """In-range section numbers ``(key, position, nth, section)`` found in a text column."""
-    named = F.regexp_extract_all(text, F.lit(SECTION_REF), F.lit(1))
-    coded = F.regexp_extract_all(text, F.lit(SECTION_REF), F.lit(2))
-    found = df.select(key, position, F.posexplode_outer(F.arrays_zip(named.alias("a"), coded.alias("b"))).alias("nth", "m"))
-    number = F.when(F.col("m.a") != "", F.col("m.a")).otherwise(F.col("m.b")).try_cast("int")
-    numbered = found.select(key, position, "nth", number.alias("section"))
+    """In-range section numbers ``(key, position, nth, section)`` found in a text column.
+
+    ``position`` counts lines without gaps.  A reference that goes on in the
+    next line belongs to the line in which it starts, after those within it.
+    """
+    heads = df.select(key, (F.col(position) - 1).alias(position), F.substring(text, 1, REFERENCE_CHARS).alias("__head"))
+    lines = df.select(key, position, F.col(text).alias("__line")).join(heads, [key, position], "left")
+    joined = F.concat(F.substring("__line", -REFERENCE_CHARS, REFERENCE_CHARS), F.lit("\n"), F.coalesce("__head", F.lit("")))
+    within = F.regexp_extract_all("__line", F.lit(SECTION_REF), F.lit(0))
+    over = F.filter(F.regexp_extract_all(joined, F.lit(SECTION_REF), F.lit(0)), lambda m: F.contains(m, F.lit("\n")))
+    found = lines.select(key, position, F.posexplode_outer(F.concat(F.coalesce(within, F.array()), F.coalesce(over, F.array()))).alias("nth", "m"))
+    numbered = found.select(key, position, "nth", F.regexp_extract("m", r"\d{1,4}", 0).try_cast("int").alias("section"))
     return numbered.filter(F.col("section").between(*FIRST_CODE) | F.col("section").between(*SECOND_CODE))
 
 

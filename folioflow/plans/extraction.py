@@ -86,10 +86,13 @@ def citations_found(spark, sf):
     return extract.extract_citation(docs).drop("text", "filename")
 
 
+# References within a line, and some that go on in the next one.
+REFERRING = """case line_no % 50 when 7 then concat(line, ' s. 309 and 310 BNS, §999') when 9 then concat(line, ' under Section')
+   when 10 then concat('379 and ', line, ' or 305') when 11 then concat('  BNS ', line, ' 306 of the') when 12 then concat('Indian Penal Code. ', line) else line end as line"""
+
+
 def dominant(spark, sf):
-    lines = fx.act_lines(spark, sf).withColumn(
-        "line", F.when(F.col("line_no") % 50 == 7, F.concat("line", F.lit(" s. 309 and 310 BNS, §999"))).otherwise(F.col("line"))
-    )
+    lines = fx.act_lines(spark, sf).selectExpr("act_id", "line_no", REFERRING)
     # Every act has a companion without any line.
     acts = lines.select(F.explode(F.array("act_id", -1 - F.col("act_id"))).alias("act_id"))
     refs = extract.section_references(lines, "act_id", "line_no")
@@ -244,10 +247,12 @@ PLANS = {
     "c13_extract_citation": (citations_found, f"with {CITATION_CTES} select * from cit"),
     "c14_dominant_section": (
         dominant,
-        fx.duck("act_lines", body=f"""with x as (select act_id, line_no, case when line_no % 50 = 7 then line || ' s. 309 and 310 BNS, §999' else line end as line from act_lines),
- y as (select act_id, line_no, unnest(regexp_extract_all(line, '{SECTION}', 1)) as a, unnest(regexp_extract_all(line, '{SECTION}', 2)) as b,
-   unnest(range(len(regexp_extract_all(line, '{SECTION}', 1)))) as nth from x),
- z as (select act_id, line_no, nth, cast(coalesce(nullif(a, ''), b) as int) as section from y),
+        fx.duck("act_lines", body=f"""with x as (select act_id, line_no, {REFERRING} from act_lines),
+ h as (select *, right(line, 80) || chr(10) || coalesce(left(lead(line) over (partition by act_id order by line_no), 80), '') as joined from x),
+ l as (select act_id, line_no, list_concat(regexp_extract_all(line, '{SECTION}'),
+   list_filter(regexp_extract_all(joined, '{SECTION}'), lambda m: contains(m, chr(10)))) as ms from h),
+ y as (select act_id, line_no, regexp_extract(unnest(ms), '[0-9]{{1,4}}') as a, unnest(range(len(ms))) as nth from l),
+ z as (select act_id, line_no, nth, cast(a as int) as section from y),
  g as (select act_id, section, count(*) as mentions, min(line_no * 1000 + nth) as f from z where section between 378 and 402 or section between 303 and 313 group by 1, 2),
  r as (select *, row_number() over (partition by act_id order by mentions desc, f) as rk, lead(mentions) over (partition by act_id order by mentions desc, f) as nextm from g)
  select a.act_id, cast(section as varchar) || case when section between 303 and 313 then ' BNS' else ' IPC' end as primary_section, mentions, nextm as runner_up,
