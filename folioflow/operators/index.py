@@ -14,11 +14,12 @@ from folioflow.sources.files import staged
 
 @dataclass(frozen=True)
 class InvertedIndex:
-    """``postings(term, chunk_id, tf, dl)``, ``terms(term, df)``, one-row ``stats(n_docs, avg_len)``."""
+    """``postings(term, chunk_id, tf, dl)``, ``terms(term, df)``, one-row ``stats(n_docs, avg_len)``, ``docs(chunk_id, dl)``."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    docs: DataFrame
 
 
 def tokenize(df: DataFrame, text: str = "text") -> DataFrame:
@@ -41,13 +42,13 @@ def build_postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> In
     # A chunk's tokens sit in one map task, so partial aggregation already
     # gives one row per (term, chunk).
     postings = words.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    return InvertedIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+    return InvertedIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats, docs.select("chunk_id", "dl"))
 
 
 def stage_index(index: InvertedIndex) -> InvertedIndex:
     """The index over postings written once; document frequencies are read from them."""
     postings = staged(index.postings, "postings")
-    return InvertedIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), index.stats)
+    return InvertedIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), index.stats, index.docs)
 
 
 def write_index(index: InvertedIndex, path: str) -> None:
@@ -61,11 +62,13 @@ def write_index(index: InvertedIndex, path: str) -> None:
     spark = index.postings.sparkSession
     written = spark.read.parquet(f"{path}/postings")
     written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    lengths = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
+    lengths.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> InvertedIndex:
-    return InvertedIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")))
+    return InvertedIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats", "docs")))
 
 
 def build_vector_table(chunks: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -100,13 +103,13 @@ def flatten_metadata(chunks: DataFrame, metadata: str = "metadata") -> DataFrame
     return chunks.withColumn(metadata, F.map_filter(pairs, lambda _, v: v.isNotNull()))
 
 
-def verify_indexes(vectors: DataFrame, postings: DataFrame) -> DataFrame:
-    """Findings ``(severity, finding, n)`` over the ids of the two indexes.
+def verify_indexes(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Findings ``(severity, finding, n)`` over the ids of the vector table and the text index's ``docs``.
 
     Ids only in the vector table are an error, ids only in the text index are
     pending vectors, an empty index fails.
     """
-    vec_ids, text_ids = vectors.select("chunk_id").distinct(), postings.select("chunk_id").distinct()
+    vec_ids, text_ids = vectors.select("chunk_id").distinct(), docs.filter("dl > 0").select("chunk_id").distinct()
     both = vec_ids.withColumn("__v", F.lit(1)).join(text_ids.withColumn("__t", F.lit(1)), "chunk_id", "full_outer")
     counts = both.agg(
         F.count_if(F.col("__t").isNull()).alias("only_vectors"),

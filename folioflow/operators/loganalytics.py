@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.ranking import nearest_rank, top_k
 from folioflow.functions.text import hashed_address, question_key, strip
 from folioflow.sources.log_store import LOG_TTL_DAYS, scan_log, with_expiry
+from folioflow.sources.files import staged
 
 # Notional price per token, window limits, daily quotas.
 INPUT_USD_PER_TOKEN = 1e-7
@@ -221,7 +222,8 @@ def admission(
         F.col("__quota").isNull() | (F.col("__at") <= F.col("__quota"))
     )
     # At most `global_cap` rows per day are left from here on.
-    heads = top_k(passed, ["log_date"], [F.col("__at")], global_cap).drop("rank", "__quota")
+    # Written once, since all gates are derived from them.
+    heads = staged(top_k(passed, ["log_date"], [F.col("__at")], global_cap).drop("rank", "__quota"), "admission-heads")
     is_call = in_scope & ~F.col("cache_hit")
     budget = closing(heads.filter(is_call), ["log_date"], call_limit, "__budget")
     served = (

@@ -206,7 +206,7 @@ def index_check(spark, sf):
         F.when(F.col("label") < 5, "act").when(F.col("label") < 9, "judgment").alias("source_type"),
     )
     built = index.build_postings(chunks(spark, sf))
-    return index.verify_indexes(vecs, built.postings)
+    return index.verify_indexes(vecs, built.docs)
 
 
 def smoke(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -49,9 +51,9 @@ def local_session(cpus: int = 8, app: str = "folioflow") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can see, named by ``spark.checkpoint.dir``.
 
-    A local master may fall back to a temporary folder; on a cluster the
-    setting is required, since a machine-local folder would lose stage files
-    together with its executor.
+    Where it is unset a local master gets a folder of its own, which goes with
+    the process; on a cluster the setting is required, since a machine-local
+    folder would lose stage files together with its executor.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -59,6 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     base = tempfile.mkdtemp(prefix="folioflow-", dir="/tmp")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
