@@ -86,25 +86,27 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, runs: int, width: int
 
 
 def leaf_buckets(nodes: DataFrame, runs: int) -> DataFrame:
-    """(bucket, digest, n, sketch): members of all buckets with partners, each small or cut into pairs of blocks."""
-    rows = nodes.select("digest", "n", "sketch", "paths", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    """(unit, half, digest, n, sketch): members of all buckets with partners, each small or cut into pairs of blocks.
+
+    What meets by bucket are ids; sketches are joined to the few rows that have partners.
+    """
+    rows = nodes.select("digest", "paths", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
 
     def key(depth: int) -> Column:
         return F.xxhash64("run", F.substring("paths", F.col("run") * (4 * DEPTH) + 1, F.lit(4 * depth)))
 
     leaves = []
     for depth in range(1, DEPTH + 1):
-        keyed = rows.drop("size", "bucket").withColumn("bucket", key(depth))
+        keyed = rows.select("digest", "run", key(depth).alias("bucket"))
         sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        rows = staged(keyed.join(sizes, "bucket"), "join-paths")
-        last = depth == DEPTH
-        small = rows if last else rows.filter(F.col("size") <= BUCKET)
-        leaves.append(small.select("bucket", "size", "digest", "n", "sketch"))
-        rows = rows.filter(F.col("size") > BUCKET)
+        met = staged(keyed.join(sizes, "bucket"), "join-paths")
+        small = met if depth == DEPTH else met.filter(F.col("size") <= BUCKET)
+        leaves.append(small.select("bucket", "size", "digest"))
+        rows = met.filter(F.col("size") > BUCKET).select("digest", "run").join(nodes.select("digest", "paths"), "digest")
     found = leaves[0]
     for more in leaves[1:]:
         found = found.unionByName(more)
-    return in_blocks(found, "bucket")
+    return in_blocks(found, "bucket").join(nodes.select("digest", "n", "sketch"), "digest")
 
 
 def in_blocks(rows: DataFrame, group: str) -> DataFrame:
@@ -139,7 +141,9 @@ def by_unit(rows: DataFrame, columns: list[str], work: Callable[[dict], Iterator
         if held:
             yield from work(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = rows.select("unit", *columns).repartition("unit").sortWithinPartitions("unit", "digest")
+    # A fixed number of parts: units are small in bytes and large in work.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("unit", *columns).repartition(parts, "unit").sortWithinPartitions("unit", "digest")
     return dealt.mapInArrow(walk, schema)
 
 
@@ -271,7 +275,7 @@ def similar_classes(
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_t1"), F.xxhash64(text_or_empty(text_col), F.lit(1)).alias("_t2"), F.lower(text_or_empty(text_col)).alias("text"))
     same = F.col("_id").eqNullSafe(F.col("text_of.id")) & (F.col("_t1") == F.col("text_of.t1")) & (F.col("_t2") == F.col("text_of.t2"))
     # Rows that repeat id and text meet again here and are merged ahead of the shuffle.
-    read = texts.join(members, same).groupBy("digest", "label", "size", "copies").agg(F.min("text").alias("text"))
+    read = texts.join(members.hint("shuffle_merge"), same).groupBy("digest", "label", "size", "copies").agg(F.min("text").alias("text"))
     links = staged(exact_links(in_blocks(read, "label"), similarity, width), "join-links")
     counts = links.groupBy("digest").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     labels = components(links.select(F.col("digest").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "digest")
@@ -294,7 +298,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of ``docs`` for each class: that of the smallest id; rows without words all stay."""
     classes = similar_classes(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "class_id", "n_shingles")
     gone = classes.filter(~F.col("_id").eqNullSafe(F.col("class_id"))).select("_id").distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(gone.hint("shuffle_merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
