@@ -48,11 +48,14 @@ def repeating_lines(lines: DataFrame, group: str, page: str, min_repeats: int =
 
 def clean_lines(lines: DataFrame, repeating: DataFrame, group: str) -> DataFrame:
     """Lines without page numbers and repeating lines; blanks and tabs squeezed."""
-    keyed = lines.withColumn("__key", strip(F.col("line"))).filter(~F.col("line").rlike(PAGE_NUMBER))
+    stripped = strip(F.col("line"))
+    # Blank lines never repeat; a key of their own each keeps them from meeting in one task.
+    own = F.concat(F.lit(" "), F.col("line_no").cast("string"))
+    keyed = lines.withColumn("__key", F.when(stripped == "", own).otherwise(stripped)).filter(~F.col("line").rlike(PAGE_NUMBER))
     drop = repeating.select(group, F.col("line").alias("__key"))
     kept = keyed.join(drop, [group, "__key"], "left_anti")
     squeezed = F.rtrim(F.regexp_replace("line", r"[ \t]+", " "), F.lit(WHITE_SPACE))
-    return kept.withColumn("line", F.when(F.col("__key") == "", "").otherwise(squeezed)).drop("__key").select(*lines.columns)
+    return kept.withColumn("line", F.when(F.col("__key").startswith(" "), "").otherwise(squeezed)).drop("__key").select(*lines.columns)
 
 
 def clean_pages(lines: DataFrame, repeating: DataFrame, group: str, page: list[str]) -> DataFrame:

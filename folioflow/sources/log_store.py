@@ -18,12 +18,10 @@ COUNTER_TTL_HOURS = 48
 def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
     """Store the log partitioned by UTC day, so date windows prune folders.
 
-    Rows are spread over several files per day by request, so one busy day is
-    not written by one task.
+    Rows are dealt by ranges of day and request whose sizes follow the data, so
+    a busy day is written by as many tasks as it needs.
     """
-    log.repartition("log_date", F.pmod(F.xxhash64("request_id"), F.lit(16))).write.mode(mode).partitionBy(
-        "log_date"
-    ).parquet(path)
+    log.repartitionByRange("log_date", "request_id").write.mode(mode).partitionBy("log_date").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, start: dt.date, end: dt.date) -> DataFrame:

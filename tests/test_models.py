@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,8 +42,12 @@ def test_running_matches_sequential(spark):
 
 
 def nearest(values, p):
-    values = sorted(values)
-    return values[max(0, min(len(values) - 1, int(round(p / 100 * (len(values) - 1)))))]
+    """The value that has at most as many smaller ones as its rank says, and with its equals more."""
+    rank, counts, below = round(p / 100 * (len(values) - 1)), Counter(values), 0
+    for value in sorted(counts):
+        below += counts[value]
+        if rank < below:
+            return value
 
 
 @pytest.mark.parametrize("accuracy", [20_000, 60])

@@ -32,7 +32,9 @@ def test_recent_page_is_a_bounded_sort(spark, sf):
 
 def test_quota_replay_sorts_no_whole_client(spark, sf):
     plan = plan_of(logs.replay(spark, sf))
-    assert "row_number(), 5, Partial" in plan and "row_number(), 200, Partial" in plan
+    assert "row_number(), 5, Partial" in plan
+    # The log itself is read once; the gates come from the staged first requests of each day.
+    assert plan.count("events.parquet") <= 2
 
 
 def test_packing_is_evaluated_once(spark, sf):
