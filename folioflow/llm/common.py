@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark = configure(df.sparkSession)
     path = stage_path(spark, name)
     before = {key: spark.conf.get(key, None) for key in STAGE_CONF}
     for key, value in STAGE_CONF.items():
