@@ -6,9 +6,11 @@ other ASCII as a space, bytes of other characters as they are), hashed to
 Every language has several centroids, found by spherical k-means over its
 training vectors, so a language whose texts differ in kind is not averaged
 into one point.  A text takes the language of the nearest centroid by cosine.
-Its distance also decides whether it belongs to any: below ``REJECT_BELOW``, or
-below ``REJECT_SHARE`` of the lowest similarity that the language's training
-texts have if that is less, the text is rejected.
+Its distance also decides whether it belongs to any.  Similarity grows with the
+number of different trigrams, in real text much faster than in noise, so the
+bound does too: a text with less similarity than ``REJECT`` has for its number
+of trigrams, or less than ``REJECT_SHARE`` of the lowest similarity of training
+texts of that size if that is less, is rejected.
 
 The model is fitted on a bounded sample: at most ``sample`` labelled rows,
 spread evenly over the languages and chosen by a hash of the id.  It is
@@ -36,8 +38,10 @@ SAMPLE = 4000
 ROUNDS = 8
 PIECE = 1 << 20
 UNKNOWN = "und"
-# A text with less similarity to every centroid is too far from all languages.
-REJECT_BELOW, REJECT_SHARE = 0.05, 0.5
+# (different trigrams from, least similarity): closer to no centroid than that is
+# too far from all languages.
+REJECT = ((0, 0.03), (100, 0.06), (300, 0.12))
+REJECT_SHARE = 0.5
 
 # Byte classes: A-Z to a-z, letters and bytes of longer characters stay, the rest is a space.
 FOLD = np.full(256, 32, np.uint32)
@@ -76,9 +80,14 @@ def spherical_kmeans(vectors: np.ndarray, clusters: int, rounds: int = ROUNDS) -
     return centres.astype(np.float32)
 
 
+def size_class(counts: np.ndarray) -> np.ndarray:
+    """Index into REJECT by the number of different trigrams."""
+    return np.searchsorted([n for n, _ in REJECT], (counts > 0).sum(axis=1), side="right") - 1
+
+
 @dataclass(frozen=True)
 class Model:
-    """Centroids, the language of each and the least similarity it accepts."""
+    """Centroids, the language of each and the least similarity accepted by size of the text."""
 
     languages: tuple[str, ...]
     owner: np.ndarray
@@ -93,7 +102,7 @@ class Model:
         scores = weigh(counts, self.idf) @ self.centroids.T
         best = scores.argmax(axis=1)
         score = np.clip(scores[np.arange(len(best)), best], 0, 1).astype(float)
-        return [self.languages[self.owner[b]] for b in best], score, score < self.least[best]
+        return [self.languages[self.owner[b]] for b in best], score, score < self.least[size_class(counts)]
 
 
 def padded(text_col: str) -> Column:
@@ -142,15 +151,17 @@ def fit(
     counts = np.stack([np.frombuffer(r.counts, np.uint16) for r in rows]).astype(np.float32) if rows else np.zeros((0, dimensions), np.float32)
     idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
     vectors = weigh(counts, idf)
-    languages, owner, centroids, least = tuple(sorted(set(labels.tolist()))), [], [], []
+    languages, owner, centroids = tuple(sorted(set(labels.tolist()))), [], []
     for i, language in enumerate(languages):
         own = vectors[labels == language]
         centres = spherical_kmeans(own, clusters)
-        lowest = float((own @ centres.T).max(axis=1).min())
-        least += [min(REJECT_BELOW, REJECT_SHARE * lowest)] * len(centres)
         owner += [i] * len(centres)
         centroids.append(centres)
     stacked = np.concatenate(centroids) if centroids else np.zeros((0, dimensions), np.float32)
+    least = [bound for _, bound in REJECT]
+    if len(stacked):
+        near, sizes = (vectors @ stacked.T).max(axis=1), size_class(counts)
+        least = [min(bound, REJECT_SHARE * near[sizes == b].min(initial=1)) for b, bound in enumerate(least)]
     return Model(languages, np.array(owner, int), stacked, np.array(least), idf)
 
 
