@@ -45,8 +45,11 @@ from folioflow.llm.shingles import mix, powers
 
 LENGTH = 400
 GRAM = 64
-# Different surroundings of one anchor that a task compares at once.
-GROUP = 4096
+# Different surroundings of one anchor that a task compares at once: at most
+# GROUP + HOLD of them, some 6 KB each with their classes.
+GROUP = 32_768
+# Smaller groups are compared together once so many surroundings are held.
+HOLD = 4096
 CHUNK = 1 << 20
 
 
@@ -87,7 +90,8 @@ def refine(classes: np.ndarray, symbols: np.ndarray, inside: np.ndarray) -> list
     has; a suffix that has ended is alone, with a class below 0.  Each step
     splits the blocks that still hold several suffixes by their next symbol.
     """
-    out, current = [classes], classes
+    current = classes.astype(np.int32)
+    out = [current]
     active = np.arange(len(classes))
     fresh = int(classes.max(initial=-1)) + 1
     for step in range(symbols.shape[1]):
@@ -95,7 +99,7 @@ def refine(classes: np.ndarray, symbols: np.ndarray, inside: np.ndarray) -> list
         ended = active[inside[active] <= step]
         current[ended] = -1 - ended
         active = active[inside[active] > step]
-        keys = current[active] * 256 + symbols[active, step]
+        keys = current[active].astype(np.int64) * 256 + symbols[active, step]
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
@@ -124,10 +128,10 @@ def repeated_offsets(group: np.ndarray, left: np.ndarray, contexts: list[bytes],
     most, least = np.full(n, -1), np.full(n, -1)
     for offset in range(reach + 1):
         valid = np.flatnonzero((left >= offset) & (right >= length - offset))
-        keys = np.stack([rights[length - offset][valid], lefts[offset][valid]])
-        order = np.lexsort(keys)
-        keys = keys[:, order]
-        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, bool)
+        keys = rights[length - offset][valid].astype(np.int64) << 32 | lefts[offset][valid].astype(np.int64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(order) else np.zeros(0, bool)
         block = np.cumsum(new) - 1
         total = np.bincount(block, weights=counts[valid][order]) if len(order) else np.zeros(0)
         hit = valid[order][total[block] >= 2] if len(order) else valid
@@ -211,7 +215,7 @@ def compared(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                 batch = whole.slice(at, 1024)
                 h = batch.column(0).to_numpy()
                 # Once enough is held, it goes at the next change of group.
-                if size >= GROUP:
+                if size >= HOLD:
                     cut = int(np.argmax(h != last)) if (h != last).any() else len(h)
                     held.append(batch.slice(0, cut))
                     size += cut

@@ -42,8 +42,9 @@ def corpus(length, seed):
     return [(i if i % 13 else None, t) for i, t in enumerate(rows)] + [(77, rows[5]), (77, rows[5])]
 
 
-@pytest.mark.parametrize(("length", "gram", "group"), [(24, 5, 4096), (24, 5, 3), (400, 64, 4096)])
-def test_repeats(spark, length, gram, group):
+@pytest.mark.parametrize(("length", "gram", "group"), [(24, 5, 32_768), (24, 5, 3), (400, 64, 32_768)])
+def test_repeats(spark, monkeypatch, length, gram, group):
+    monkeypatch.setattr(suffix_dedup, "HOLD", 16)
     rows = corpus(length, length + group)
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, key int").repartition(4)
     got = without_repeats(docs, length=length, gram=gram, group=group)
