@@ -6,12 +6,14 @@ byte; here one suffix per *anchor* is enough.  Anchors are the positions whose
 ``GRAM``-byte hash is the least of some ``LENGTH``-byte window, so equal windows
 hold the same anchor at the same offset.
 
-1. Anchors of all documents; those whose hash occurs once cannot lie in a
-   repeated window and go.
+1. Anchors of all documents.  A window holds its anchor's gram and, to the side
+   that it reaches further, a block of more than half its length.  Anchors go
+   unless their gram and one of these blocks occur twice, so a line that many
+   documents share is not enough.
 2. Every remaining anchor stands for the suffix that starts at it, with the
    bytes before it as the symbols of the transform, both bounded by the window.
    Equal surroundings are counted once, ahead of the shuffle.
-3. Suffixes that share an anchor meet.  Each task interleaves the shards of
+3. Suffixes that share a block meet.  Each task interleaves the shards of
    suffixes it gets and refines the interleave byte by byte: a block of
    suffixes with equal prefixes splits by the next byte, suffixes alone in
    their block are done.  The block numbers after i steps are the equality
@@ -62,25 +64,39 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - reach)], values[width - reach :])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are least in some window of ``length`` bytes."""
-    width = length - gram + 1
-    found, hashes = [], []
-    for at in range(0, max(0, len(data) - length + 1), CHUNK):
-        part = data[at : at + CHUNK + length - 1]
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the grams that are least in some window of ``length`` bytes, their hashes and those of two blocks.
+
+    A window around an anchor reaches at least half of its other bytes to one
+    side, so it holds the block from there to the gram's end (left) or from the
+    gram's start (right); 0 where the text is too short for the block.
+    """
+    width, half, n = length - gram + 1, (length - gram) // 2, len(data)
+    found: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, max(0, n - length + 1), CHUNK):
+        low, last = max(0, at - half), min(at + CHUNK, n - length + 1)
+        part = data[low : min(n, last + 2 * length)]
         up, down = powers(len(part) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])])
-        h = mix((total[gram:] - total[:-gram]) * down[: len(total) - gram])
+        h = mix((total[gram:] - total[:-gram]) * down[: len(total) - gram])[at - low : last - low + width - 1]
         least = sliding(h, width, np.minimum)
         # A gram is least somewhere if the largest minimum among its windows is its own value.
         edge = np.zeros(width - 1, np.uint64)
         chosen = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h)
-        found.append(chosen + at)
-        hashes.append(h[chosen])
+        place = chosen + at - low
+        blocks = []
+        for begin, end, side in ((place - half, place + gram, 1), (place, place + length - half, 2)):
+            whole = (begin >= 0) & (end <= len(part))
+            b, e = begin[whole], end[whole]
+            value = np.zeros(len(place), np.uint64)
+            value[whole] = mix((total[e] - total[b]) * down[b] ^ np.uint64(side)) | np.uint64(1)
+            blocks.append(value)
+        found.append((place + low, h[chosen], *blocks))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    where, first = np.unique(np.concatenate(found), return_index=True)
-    return where, np.concatenate(hashes)[first]
+        return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3
+    where, *values = (np.concatenate(x) for x in zip(*found, strict=True))
+    where, first = np.unique(where, return_index=True)
+    return where, *[v[first] for v in values]
 
 
 def refine(classes: np.ndarray, symbols: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
@@ -145,32 +161,35 @@ def _lists(offsets: list[int], values: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def text_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, pos, hash) arrays per row of (key, text)."""
-    schema = T.StructType.fromDDL("key binary, pos array<int>, hash array<long>")
+    """(key, pos, hash, left, right) arrays per row of (key, text)."""
+    schema = T.StructType.fromDDL("key binary, pos array<int>, hash array<long>, left array<long>, right array<long>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            ends, positions, hashes = [0], [], []
+            ends, parts = [0], [[], [], [], []]
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                where, h = anchors(data[a:b], length, gram)
-                ends.append(ends[-1] + len(where))
-                positions.append(where)
-                hashes.append(h)
-            cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-            yield pa.record_batch(
-                [batch.column(0), _lists(ends, cat(positions, np.int32), pa.int32()), _lists(ends, cat(hashes, np.uint64).view(np.int64), pa.int64())],
-                schema.names,
-            )
+                for column, values in zip(parts, anchors(data[a:b], length, gram), strict=True):
+                    column.append(values)
+                ends.append(ends[-1] + len(parts[0][-1]))
+            where, *hashes = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in parts)
+            columns = [batch.column(0), _lists(ends, where.astype(np.int32), pa.int32())]
+            yield pa.record_batch([*columns, *[_lists(ends, h.view(np.int64), pa.int64()) for h in hashes]], schema.names)
 
     return texts.select("key", "text").mapInArrow(scan, schema)
 
 
 def surroundings(shared: DataFrame, length: int, gram: int, with_bytes: bool) -> DataFrame:
-    """(key, pos, hash, c1, c2, left[, context]) per shared anchor; (c1, c2) names the surroundings."""
+    """(key, pos, hash, c1, c2, left[, context]) per anchor and shared block; (c1, c2) names the surroundings.
+
+    With the left block go the windows that reach half or more to the left,
+    with the right block the others; the bytes kept around the anchor are those
+    of these windows, ``left`` of them before it.
+    """
     names = "key binary, pos int, hash long, c1 long, c2 long, left int" + (", context binary" if with_bytes else "")
     schema = T.StructType.fromDDL(names)
-    reach = length - gram
+    half = (length - gram) // 2
+    reach = {0: (length - gram, length - half), 1: (half - 1, length)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -180,9 +199,10 @@ def surroundings(shared: DataFrame, length: int, gram: int, with_bytes: bool) ->
                 rows = ([], [], [], [], [], [], [])
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                     text, key = data[a:b].tobytes(), batch.column(0)[i].as_py()
-                    for pos, h in zip(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), strict=True):
-                        context = text[max(0, pos - reach) : pos + length]
-                        left = min(reach, pos)
+                    for pos, side, h in zip(*(batch.column(c)[i].as_py() for c in (2, 3, 4)), strict=True):
+                        before, after = reach[side]
+                        left = min(before, pos)
+                        context = text[pos - left : pos + after]
                         name = hashlib.blake2b(context, digest_size=16, salt=left.to_bytes(4, "big")).digest()
                         row = (key, pos, h, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), left, context)
                         for column, value in zip(rows, row, strict=True):
@@ -191,7 +211,7 @@ def surroundings(shared: DataFrame, length: int, gram: int, with_bytes: bool) ->
                 columns = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
                 yield pa.record_batch(columns[: len(schema.names)], schema.names)
 
-    return shared.select("key", "text", "pos", "hash").mapInArrow(cut, schema)
+    return shared.select("key", "text", "pos", "side", "block").mapInArrow(cut, schema)
 
 
 RANGE = T.StructType().add("hash", "long").add("c1", "long").add("c2", "long").add("most", "integer").add("least", "integer")
@@ -311,13 +331,18 @@ def without_repeats(
     texts = base.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("rep"))
     found = text_anchors(keyed.filter(F.octet_length("text") >= length), length, gram)
     found = staged(found.dropDuplicates(["key"]), "sa-anchors")
-    rows = found.select("key", F.explode(F.arrays_zip("pos", "hash")).alias("a")).select("key", "a.pos", "a.hash")
+    rows = found.select("key", F.explode(F.arrays_zip("pos", "hash", "left", "right")).alias("a")).select("key", "a.*")
     shared = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    listed = rows.join(shared.hint("shuffle_merge"), "hash").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("a"))
-    listed = listed.join(texts, "key").select(F.col("key").alias("k"), "rep", F.col("a.pos").alias("pos"), F.col("a.hash").alias("hash"))
+    met = staged(rows.join(shared.hint("shuffle_merge"), "hash").drop("hash"), "sa-shared")
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("block")) for i, c in enumerate(("left", "right"))])
+    halves = met.select("key", "pos", F.explode(sides).alias("s")).select("key", "pos", "s.side", "s.block").filter("block <> 0")
+    twice = halves.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    halves = halves.join(twice.hint("shuffle_merge"), "block")
+    listed = halves.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "side", "block"))).alias("a"))
+    listed = listed.join(texts, "key").select(F.col("key").alias("k"), "rep", "a.pos", "a.side", "a.block")
     # One row of each text that has shared anchors, with its bytes.
     # Tables that grow with the texts are never broadcast.
-    met = keyed.join(listed.hint("shuffle_merge"), (F.col("key") == F.col("k")) & F.col("_id").eqNullSafe(F.col("rep"))).select("key", "text", "pos", "hash")
+    met = keyed.join(listed.hint("shuffle_merge"), (F.col("key") == F.col("k")) & F.col("_id").eqNullSafe(F.col("rep"))).select("key", "text", "pos", "side", "block")
     if not base.groupBy("_id", "key").count().filter("count > 1").isEmpty():
         # Rows that repeat id and text have all met the join.
         met = met.dropDuplicates(["key"])
