@@ -246,24 +246,18 @@ def exact_links(members: DataFrame, similarity: float, width: int = WIDTH) -> Da
     return by_unit(members, ["half", "digest", "copies", "text"], verify, schema)
 
 
-def similar_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    recall: float = TARGET_RECALL, width: int = WIDTH,
-) -> DataFrame:
-    """(id, class_id, n_links, n_text_links, n_shingles) for every row of ``docs``.
+def classified(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float, width: int) -> DataFrame:
+    """(id, t1, t2, digest, n, leader, text_links, links) for every row of ``docs``.
 
-    A class is a connected group of texts with a Jaccard similarity of at least
-    ``similarity``; ``class_id`` is its smallest id.  ``n_links`` counts the
-    other documents that are similar, copies included, ``n_text_links`` the
-    different shingle sets among them.  Texts shorter than ``width`` words have
-    one shingle, all their words.  Null texts and texts without words are in a
-    class of their own, with their id and no links.  Null ids take part; a
-    class of only null ids has a null class_id.
+    t1 and t2 hash the text.  ``leader`` is the (no_id, id, t1, t2) of the row
+    that stands for the class: the smallest id, null ids last, then the least
+    hashes.  Rows without words have neither digest nor leader.
     """
     runs = runs_for(recall, similarity, DEPTH)
     rows = staged(sketched(docs, id_col, text_col, runs, width), "join-sketches")
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "t1", "t2")
     nodes = rows.filter("digest is not null").groupBy("digest").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.min(F.struct("id", "t1", "t2")).alias("text_of"),
+        F.count(F.lit(1)).alias("copies"), F.min(row).alias("text_of"),
         F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"),
     )
     nodes = staged(nodes, "join-nodes")
@@ -279,26 +273,56 @@ def similar_classes(
     links = staged(exact_links(in_blocks(read, "label"), similarity, width), "join-links")
     counts = links.groupBy("digest").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     labels = components(links.select(F.col("digest").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "digest")
-    known = nodes.select("digest", "copies", "least_id").join(counts, "digest", "left").join(labels, "digest", "left")
+    known = nodes.select("digest", "copies", "text_of").join(counts, "digest", "left").join(labels, "digest", "left")
     known = staged(known.withColumn("label", F.coalesce("label", "digest")), "join-labels")
-    classes = known.groupBy("label").agg(F.min("least_id").alias("class_id"))
+    classes = known.groupBy("label").agg(F.min("text_of").alias("leader"))
     known = known.join(classes, "label").select(
-        "digest", F.col("class_id").alias("_class"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"),
-        (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("_links"),
+        "digest", "leader", F.coalesce("text_links", F.lit(0)).alias("text_links"),
+        (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("links"),
     )
-    out = rows.select("id", "digest", "n").join(known, "digest", "left")
+    return rows.select("id", "t1", "t2", "digest", "n").join(known, "digest", "left")
+
+
+def similar_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+    recall: float = TARGET_RECALL, width: int = WIDTH,
+) -> DataFrame:
+    """(id, class_id, n_links, n_text_links, n_shingles) for every row of ``docs``.
+
+    A class is a connected group of texts with a Jaccard similarity of at least
+    ``similarity``; ``class_id`` is its smallest id.  ``n_links`` counts the
+    other documents that are similar, copies included, ``n_text_links`` the
+    different shingle sets among them.  Texts shorter than ``width`` words have
+    one shingle, all their words.  Null texts and texts without words are in a
+    class of their own, with their id and no links.  Null ids take part; a
+    class of only null ids has a null class_id.
+    """
+    out = classified(docs, id_col, text_col, similarity, recall, width)
     return out.select(
-        F.col("id").alias(id_col), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("_class")).alias("class_id"),
-        F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"),
+        F.col("id").alias(id_col), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("leader.id")).alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("text_links", F.lit(0)).cast("long").alias("n_text_links"),
         F.col("n").alias("n_shingles"),
     )
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each class: that of the smallest id; rows without words all stay."""
-    classes = similar_classes(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "class_id", "n_shingles")
-    gone = classes.filter(~F.col("_id").eqNullSafe(F.col("class_id"))).select("_id").distinct()
-    return docs.join(gone.hint("shuffle_merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    """One row of ``docs`` for each class: its leader, that of the smallest id; rows without words all stay.
+
+    Rows are told apart by id and text, since ids may be null or repeated.  Of
+    rows that repeat the leader's id and text any one stays.
+    """
+    rows = classified(docs, id_col, text_col, SIMILARITY, TARGET_RECALL, WIDTH).filter("digest is not null")
+    leads = F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("t1") == F.col("leader.t1")) & (F.col("t2") == F.col("leader.t2"))
+    own = [F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")]
+    marked = staged(rows.groupBy("id", "t1", "t2", leads.alias("leads")).agg(F.count(F.lit(1)).alias("n")).filter("not leads or n > 1"), "join-marked")
+    text = text_or_empty(text_col)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t1")) & (F.xxhash64(text, F.lit(1)) == F.col("_t2"))
+    kept = docs.join(marked.select(*own).hint("shuffle_merge"), same, "left_anti")
+    repeated = marked.filter("leads").select(*own)
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, same).dropDuplicates(["_id", "_t1", "_t2"])
+    return kept.unionByName(once.select(*docs.columns))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,18 @@ def test_near_copies_go(spark):
     assert similar_classes(docs.filter("text is null")).count() == 2
 
 
+def test_near_copies_go_by_row(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    alone = [(None, text("a")), (None, text("b")), (5, text("c")), (None, None), (None, None), (5, "?!")]
+    rows = [*alone, (5, text("d")), (None, text("d") + " more"), (2, text("e")), (5, text("e") + " more"), (8, text("f")), (8, text("f"))]
+    twins = [[(None, text("g")), (None, text("g") + " more")], [(6, text("h")), (6, text("h") + " more"), (None, text("h"))]]
+    docs = spark.createDataFrame(rows + twins[0] + twins[1], "doc_id long, text string").repartition(3)
+    kept = Counter(tuple(r) for r in without_near_copies(docs).collect())
+    leaders = [next(r for r in group if r in kept) for group in twins]
+    assert kept == Counter([*alone, (5, text("d")), (2, text("e")), (8, text("f")), *leaders])
+    assert leaders[1][0] == 6
+
+
 def test_pieces(monkeypatch):
     texts = ["", "a b c d e f", "ab" * 300 + " x y", "É é z", "q r s t u v w x y z " * 20]
     whole = shingles.shingle_sets(*flat(pa.array(texts)), 5)
