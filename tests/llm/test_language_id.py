@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import random
 import zlib
 from collections import Counter
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import language_id
 from folioflow.llm.arrow_text import flat
-from folioflow.llm.language_id import accepted, fit, op9_language_id, predict, trigram_counts
+from folioflow.llm.language_id import accepted, fit, held_out, op9_language_id, predict, trigram_counts
 
 
 def plain_counts(text, dimensions):
@@ -61,6 +63,24 @@ def test_awkward_rows(spark):
     assert kept.filter("doc_id = 505").count() == 2
 
 
+def noise(n):
+    """Texts of ``n`` characters without a language."""
+    rng = random.Random(n)
+    draw = lambda first, last: "".join(chr(rng.randint(first, last)) for _ in range(n))
+    words = lambda first, last: "".join(" " if rng.random() < 0.17 else c for c in draw(first, last))
+    return {"latin": words(0x61, 0x7A), "base64": base64.b64encode(rng.randbytes(n)).decode()[:n], "cjk": draw(0x4E00, 0x9FA5),
+            "hangul": draw(0xAC00, 0xD7A3), "cyrillic": words(0x430, 0x44F), "arabic": words(0x621, 0x649), "greek": words(0x3B1, 0x3C9)}
+
+
+def test_noise_of_any_length_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(f"{name} {n}", text) for n in (1000, 3000, 10_000, 50_000) for name, text in noise(n).items()]
+    real = [r.text for r in docs.filter("length(text) > 500").orderBy("doc_id").limit(400).collect()]
+    rows += [(f"text {n}", " ".join(real[:n])) for n in (1, 10, 100, 400)]
+    got = predict(spark.createDataFrame(rows, "name string, text string"), fit(docs.filter(~held_out()))).collect()
+    assert [r.name for r in got if not r.rejected] == ["text 1", "text 10", "text 100", "text 400"]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert accepted(docs).count() == 0
