@@ -1,14 +1,17 @@
 """Licence scans: text units against licence templates by Dice over word bigrams.
 
-Units are the whole text, its paragraphs and its lines, lower-cased and without
-punctuation.  For sets of word bigrams A (unit) and B (template)
+Units are the whole text, its paragraphs, its lines and runs of adjacent lines,
+lower-cased and without punctuation.  For sets of word bigrams A (unit) and B
+(template)
 
     dice = 2 |A and B| / (|A| + |B|)
 
 can only reach ``threshold`` t when ``t / (2 - t) <= |A| / |B| <= (2 - t) / t``.
 These bounds prune: first units by their number of words (distinct words bound
-distinct bigrams from below), then templates per unit by the exact sizes.  All
-of it is one narrow pass of built-in expressions; the shuffle that follows
+distinct bigrams from below), then templates per unit by the exact sizes.
+A unit also shares ``t / (2 - t)`` of B at least.  Runs are only made where the
+whole text does so, have a number of words within the bounds, and at least that
+many bigrams of B, repeats included, in and between their lines.  All of it is one narrow pass of built-in expressions; the shuffle that follows
 carries one small row per document and task.
 """
 
@@ -53,6 +56,33 @@ TEMPLATES = (
     the Software."""),
 )
 
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+    WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+    PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+    INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+    GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+    LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+    OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+# Whole texts of the licences whose templates above are only their first part. The twin has the notices alone.
+WHOLE = (
+    ("BSD-2-Clause", dict(TEMPLATES)["BSD-2-Clause"] + " " + DISCLAIMER),
+    ("BSD-3-Clause", dict(TEMPLATES)["BSD-2-Clause"] + """ 3. Neither the name of the copyright holder nor the names of its
+    contributors may be used to endorse or promote products derived from this software without specific prior written
+    permission. """ + DISCLAIMER),
+    ("GPL-3.0", dict(TEMPLATES)["GPL-3.0"] + """ You should have received a copy of the GNU General Public License along
+    with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("ISC", dict(TEMPLATES)["ISC"] + """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+    REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
+    BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
+    OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+    CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", dict(TEMPLATES)["MIT"] + """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+    INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+    IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+    ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+    DEALINGS IN THE SOFTWARE."""),
+)
+
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANK_LINES = r"\n *(\n *)+"
 
@@ -66,9 +96,13 @@ def unit_words(unit: Column) -> Column:
     return F.filter(F.split(F.replace(unit, F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
 
 
+def pairs(words: Column) -> Column:
+    joined = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    return F.when(F.size(words) >= 2, joined).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.when(F.size(words) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(pairs(words))
 
 
 def template_rows(spark, templates) -> list[tuple[str, list[str]]]:
@@ -91,9 +125,55 @@ def text_units(norm: Column) -> Column:
     return F.concat(tagged("line", lines), parts, whole)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def literal(values: list[str]) -> Column:
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def running(values: Column) -> Column:
+    """Sums of the first 0, 1, 2, ... values."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda sums, v: F.concat(sums, F.array(F.element_at(sums, -1) + v)))
+
+
+def reaches(known: list[tuple[str, list[str]]], low: float) -> Column:
+    """Whether ``_shared`` has enough bigrams of a template."""
+    found = F.lit(False)
+    for _, b in known:
+        found |= (F.size("_shared") >= low * len(b)) & (F.size(F.array_intersect("_shared", literal(b))) >= low * len(b))
+    return found
+
+
+def run_units(known: list[tuple[str, list[str]]], low: float, high: float) -> Column:
+    """(unit, text) structs: runs of two lines with words and more that can reach a template, from ``_lines`` and ``_shared``."""
+    size = F.size("_lines")
+    words = running(F.transform("_lines", lambda line: F.size(line)))
+
+    def reached(template: list[str]) -> Column:
+        least, most = low * len(template), high * len(template)
+        hits = running(F.transform("_lines", lambda line: F.size(F.filter(pairs(line), lambda b: b.isin(template)))))
+
+        def ends(sums: Column) -> Column:
+            def fits(i: Column, j: Column) -> Column:
+                inside = lambda name: F.get(sums[name], j) - F.get(sums[name], i - 1)
+                return (inside("words") - 1 >= least) & (inside("words") - 1 <= most) & (inside("hits") + (j - i) >= least)
+
+            # Each line has a word at least, so no run has more lines than words.
+            last = lambda i: F.least(size, i + F.lit(int(most) + 1))
+            return F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.transform(F.filter(F.sequence(i + 1, last(i)), lambda j: fits(i, j)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+        found = F.flatten(F.transform(F.array(F.struct(words.alias("words"), hits.alias("hits"))), ends))
+        enough = (F.size("_shared") >= least) & (F.size(F.array_intersect("_shared", literal(template))) >= least)
+        return F.when((size >= 2) & enough, found).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+
+    spans = F.array_distinct(F.concat(*[reached(b) for _, b in known]))
+    text = lambda r: F.array_join(F.flatten(F.slice("_lines", r["i"], r["j"] - r["i"] + 1)), " ")
+    return F.transform(spans, lambda r: F.struct(F.lit("run").alias("unit"), text(r).alias("text")))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + WHOLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: its id, license_id, dice, unit and n_matches (units that reach the threshold).
 
+    Runs of lines overlap, so all that reach one license_id count as one match,
+    and as none where a line, paragraph or the document has it already.
     Null and empty texts, and texts without a licence, have a null license_id,
     unit and dice and no matches.  Of several matches the highest dice counts,
     then the smallest id, then the smallest unit name.
@@ -103,24 +183,36 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = min((low * len(b) for _, b in known), default=1)
     most = max((high * len(b) for _, b in known), default=0)
     units = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), normal(text_or_empty(text_col)).alias("_norm"))
-    units = units.select(id_col, "_row", F.explode(text_units(F.col("_norm"))).alias("u")).select(id_col, "_row", "u.unit", unit_words(F.col("u.text")).alias("_words"))
+    union = sorted({b for _, template in known for b in template})
+    units = units.withColumn("_words", unit_words(F.col("_norm")))
+    units = units.withColumn("_shared", F.array_distinct(F.filter(pairs(F.col("_words")), lambda b: b.isin(union))))
+    units = units.withColumn("_lines", F.when(reaches(known, low), F.filter(F.transform(F.split("_norm", "\n"), unit_words), lambda line: F.size(line) > 0)))
+    # Where the whole text shares too little with each template, no unit can reach one.
+    nothing = F.array(F.struct(F.lit("line").alias("unit"), F.lit("").alias("text")))
+    every = F.concat(text_units(F.col("_norm")), run_units(known, low, high)) if known else nothing
+    every = F.when(F.col("_lines").isNotNull(), every).otherwise(nothing)
+    units = units.select(id_col, "_row", F.explode_outer(every).alias("u")).select(id_col, "_row", "u.unit", unit_words(F.col("u.text")).alias("_words"))
     fits = (F.size("_words") - 1 >= least) & (F.size(F.array_distinct("_words")) - 1 <= most)
     units = units.withColumn("_bigrams", F.when(fits, bigrams(F.col("_words")))).drop("_words")
     size = F.size("_bigrams")
 
     def scored(license_id: str, template: list[str]) -> Column:
         n = len(template)
-        shared = F.size(F.array_intersect("_bigrams", F.split(F.lit("\n".join(template)), "\n")))
+        shared = F.size(F.array_intersect("_bigrams", literal(template)))
         dice = shared.cast("double") * 2 / (size + n)
         return F.when(size.between(low * n, high * n), F.struct((-dice).alias("miss"), F.lit(license_id).alias("license_id")))
 
     scores = F.array(*[scored(i, b) for i, b in known]) if known else F.array().cast("array<struct<miss:double,license_id:string>>")
     best = F.array_min(F.filter(scores, lambda s: s["miss"] <= -threshold))
     units = units.withColumn("_best", F.when(F.col("_bigrams").isNotNull(), best))
+    run = F.col("unit") == "run"
     found = units.groupBy("_row", id_col).agg(
-        F.min(F.when(F.col("_best").isNotNull(), F.struct("_best.miss", "_best.license_id", "unit"))).alias("_hit"), F.count("_best").alias("n_matches")
-    )
-    return found.select(id_col, F.col("_hit.license_id").alias("license_id"), (-F.col("_hit.miss")).alias("dice"), F.col("_hit.unit").alias("unit"), "n_matches")
+        F.min(F.when(F.col("_best").isNotNull(), F.struct("_best.miss", "_best.license_id", "unit"))).alias("_hit"),
+        F.count(F.when(~run, F.col("_best"))).alias("_single"),
+        F.collect_set(F.when(run, F.col("_best.license_id"))).alias("_by_run"), F.collect_set(F.when(~run, F.col("_best.license_id"))).alias("_by_single"),
+    )
+    matches = F.col("_single") + F.size(F.array_except("_by_run", "_by_single"))
+    return found.select(id_col, F.col("_hit.license_id").alias("license_id"), (-F.col("_hit.miss")).alias("dice"), F.col("_hit.unit").alias("unit"), matches.alias("n_matches"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from folioflow.llm.licenses import TEMPLATES, scan_licenses
+from folioflow.llm.licenses import DISCLAIMER, TEMPLATES, WHOLE, scan_licenses
 
 MIT = next(t for i, t in TEMPLATES if i == "MIT" and len(t) > 100)
 APACHE = "Licensed under the Apache License, Version 2.0."
@@ -41,6 +41,27 @@ def test_scan(spark):
     assert got == sorted(want)
 
 
+def best_run(text):
+    """Best Dice of runs of lines, from all of them."""
+    lines = [u for u in text.split("\n") if grams("a " + u)]
+    runs = ["\n".join(lines[i : j + 1]) for i in range(len(lines)) for j in range(i, len(lines))]
+    known = [(i, grams(t)) for i, t in TEMPLATES + WHOLE]
+    return min((-2 * len(r & t) / (len(r) + len(t)), i) for r in map(grams, runs) for i, t in known)
+
+
+def test_licences_of_several_paragraphs(spark):
+    code = "\n".join(f"value{i} = compute{i}(left{i}, right{i})" for i in range(40))
+    bsd = "Copyright (c) 2020, Someone\n\n" + dict(TEMPLATES)["BSD-2-Clause"].replace("1. ", "\n\n1. ").replace("2. ", "\n\n2. ") + "\n\n" + DISCLAIMER
+    gpl = "\n".join("# " + x.strip() for x in dict(TEMPLATES)["GPL-3.0"].replace("later version. ", "later version.\n\n").split("\n"))
+    texts = [bsd, bsd + "\n\n" + code, gpl + "\n\n" + code, code + "\n" + gpl + "\n" + APACHE + "\n" + code, code]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert [got[i].license_id for i in range(5)] == ["BSD-2-Clause", "BSD-2-Clause", "GPL-3.0", "Apache-2.0", None]
+    assert [got[i].unit for i in (1, 2, 3)] == ["run", "run", "line"]
+    assert [got[i].n_matches for i in (1, 2, 3, 4)] == [1, 1, 2, 0]
+    assert all((-got[i].dice, got[i].license_id) == best_run(texts[i]) for i in (1, 2))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert scan_licenses(docs).count() == 0
