@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioflow.llm.chat import OP5_SQL, op5_chat_format
+from folioflow.llm.collocations import OP12_SQL, op12_collocations
 from folioflow.llm.decontaminate import OP10_SQL, op10_decontaminate
 from folioflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from folioflow.llm.language_id import op9_language_id
@@ -24,4 +25,5 @@ PLANS: dict = {
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_decontaminate": (op10_decontaminate, OP10_SQL),
+    "op12_collocations": (op12_collocations, OP12_SQL),
 }
