@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioflow.llm.bpe import op13_bpe
+from folioflow.llm.centroids import OP11_SQL, op11_centroids
 from folioflow.llm.chat import OP5_SQL, op5_chat_format
 from folioflow.llm.collocations import OP12_SQL, op12_collocations
 from folioflow.llm.decontaminate import OP10_SQL, op10_decontaminate
@@ -26,6 +27,7 @@ PLANS: dict = {
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_decontaminate": (op10_decontaminate, OP10_SQL),
+    "op11_centroids": (op11_centroids, OP11_SQL),
     "op12_collocations": (op12_collocations, OP12_SQL),
     "op13_bpe": (op13_bpe, None),
 }
