@@ -65,11 +65,15 @@ class RunningTopK:
     def __init__(self, n_queries: int, k: int):
         self.k = k
         self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n_queries
+        # The k-th best score of each query, which a new hit has to reach.
+        self.floor = np.zeros(n_queries)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray, only_positive: bool = False) -> None:
-        """Merge rounded ``scores`` (queries by ids)."""
+    def add(self, ids: np.ndarray, scores: np.ndarray, only_positive: bool = False, rows: np.ndarray | None = None) -> None:
+        """Merge rounded ``scores`` (queries by ids); ``rows`` names the queries if they are not all."""
         scores = np.round(scores, SCORE_DIGITS)
-        for q, row in enumerate(scores):
+        rows = np.arange(len(scores)) if rows is None else rows
+        able = np.flatnonzero(scores.max(axis=1, initial=0) >= self.floor[rows])
+        for q, row in zip(rows[able], scores[able]):
             found, found_ids = row, ids
             if only_positive:
                 matched = np.flatnonzero(row > 0)
@@ -84,6 +88,8 @@ class RunningTopK:
                 keep = best_of(found, found_ids, self.k)
                 found, found_ids = found[keep], found_ids[keep]
             self.best[q] = (found, found_ids)
+            if len(found) == self.k:
+                self.floor[q] = found[-1]
 
 
 def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:

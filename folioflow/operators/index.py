@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.ranking import duplicate_keys, first_by_key, latest_by_key
 from folioflow.functions.text import tokens
-from folioflow.sources.files import staged
 
 
 @dataclass(frozen=True)
@@ -26,51 +25,22 @@ def tokenize(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tokens", tokens(F.col(text)))
 
 
-def build_postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> InvertedIndex:
+def build_postings(chunks: DataFrame) -> InvertedIndex:
     """Inverted index of ``chunks(chunk_id, text)``.
 
     The document length travels with each posting, so scoring needs no join
-    back to the chunks.  A ``vocabulary(term)`` keeps only its terms, ahead of
-    the shuffle; length statistics always cover all tokens.
+    back to the chunks.
     """
     docs = tokenize(chunks.select("chunk_id", "text")).select("chunk_id", "tokens", F.size("tokens").alias("dl"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
     # The outer form: below the plain one Catalyst would tokenize again in a filter.
     words = docs.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).filter("term is not null")
-    if vocabulary is not None:
-        words = words.join(vocabulary.select("term").distinct(), "term", "left_semi")
     # A chunk's tokens sit in one map task, so partial aggregation already
     # gives one row per (term, chunk).
     postings = words.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     return InvertedIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats, docs.select("chunk_id", "dl"))
 
 
-def stage_index(index: InvertedIndex) -> InvertedIndex:
-    """The index over postings written once; document frequencies are read from them."""
-    postings = staged(index.postings, "postings")
-    return InvertedIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), index.stats, index.docs)
-
-
-def write_index(index: InvertedIndex, path: str) -> None:
-    """Store the index sorted by term, so a lookup reads few row groups.
-
-    The range includes the chunk, which spreads a very frequent term over
-    several files.
-    """
-    ordered = index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-    ordered.write.mode("overwrite").parquet(f"{path}/postings")
-    spark = index.postings.sparkSession
-    written = spark.read.parquet(f"{path}/postings")
-    written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    lengths = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
-    lengths.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def read_index(spark: SparkSession, path: str) -> InvertedIndex:
-    return InvertedIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats", "docs")))
-
-
 def build_vector_table(chunks: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Join chunks and vectors on ``chunk_id``.
 

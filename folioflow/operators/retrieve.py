@@ -6,15 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions.ranking import median, top_k
-from folioflow.functions.text import normalize_query, tokens
+from folioflow.functions.text import normalize_query
 from folioflow.functions.vectors import SCORE_DIGITS, RunningTopK, cosines, unit_rows
-from folioflow.operators.index import InvertedIndex, build_postings, stage_index
+from folioflow.operators.bm25 import SegmentIndex, bm25_topk
 from folioflow.sources.files import staged
 from folioflow.sources.log_store import upsert_latest
 
@@ -24,145 +23,12 @@ FINAL_K = 5
 RRF_K = 60
 SCOPE_THRESHOLD = 0.60
 SEMANTIC_THRESHOLD = 0.92
-BM25_K1 = 1.5
-BM25_B = 0.75
 
 # Query rows that are scored together, and vectors in a packed block.
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 4096
-# No matrix of queries or words is larger than this.
+# No matrix of queries is larger than this.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Up to this many (query, word) rows are sent to the tasks.
-QUERY_TERM_LIMIT = 500_000
-# Chunks scored together; the score matrix is this by the number of queries.
-SCORE_ROWS = 1024
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, term, qtf)``: repeated words count repeatedly."""
-    words = queries.select("query_id", F.explode_outer(tokens(F.col("query"))).alias("term")).filter("term is not null")
-    return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-
-def bm25_topk(
-    source: DataFrame | InvertedIndex,
-    queries: DataFrame,
-    k: int = TOP_K,
-    k1: float = BM25_K1,
-    b: float = BM25_B,
-) -> DataFrame:
-    """Best ``k`` chunks per query ``(query_id, chunk_id, score, rank)``.
-
-    Only chunks that share a word with the query can be hits.  ``source`` is a
-    stored index, whose postings are joined on the query words, or the chunk
-    table itself, which is scanned twice without shuffling any posting.  The
-    scan needs the query words on every task; if there are too many of them
-    it falls back on an index built for those words.
-    """
-    if isinstance(source, InvertedIndex):
-        scored = _bm25_by_join(source, queries, k1, b)
-    else:
-        terms = query_terms(queries)
-        head = terms.limit(QUERY_TERM_LIMIT + 1).toArrow()
-        few_queries = len(pc.unique(head.column("query_id"))) <= QUERY_BLOCK
-        if head.num_rows <= QUERY_TERM_LIMIT and few_queries and head.nbytes <= BROADCAST_BYTES:
-            scored = _bm25_by_scan(source, queries, head, k, k1, b)
-        else:
-            scored = _bm25_by_join(stage_index(build_postings(source, terms.select("term"))), queries, k1, b)
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def _bm25_by_join(index: InvertedIndex, queries: DataFrame, k1: float, b: float) -> DataFrame:
-    """Scores by joining postings with term weights settled on the small query side."""
-    n_docs = index.stats.select("n_docs").scalar()
-    avg_len = index.stats.select("avg_len").scalar()
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = query_terms(queries).join(index.terms, "term").select(
-        "query_id", "term", (F.col("qtf") * idf).alias("weight")
-    )
-    tf = F.col("tf")
-    part = F.col("weight") * tf / (tf + k1 * (1 - b + b * F.col("dl") / avg_len))
-    joined = index.postings.join(weighted, "term").groupBy("query_id", "chunk_id")
-    # As in the scan: a score that rounds to nothing is no hit.
-    return joined.agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).filter("score > 0")
-
-
-def _term_statistics(words: DataFrame, vocabulary: pa.Table) -> tuple[dict[str, int], int, float]:
-    """Document frequency of the vocabulary, number of chunks and mean length, in one scan.
-
-    The empty term stands for the chunk itself and carries its length.  Each
-    chunk names a term once, so counting needs only a map-side combine.
-    """
-    spark = words.sparkSession
-    wanted = spark.createDataFrame(vocabulary).unionByName(spark.createDataFrame([("",)], "term string"))
-    marks = F.concat(
-        F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl"))),
-        F.array(F.struct(F.lit("").alias("term"), F.size("tokens").alias("dl"))),
-    )
-    named = words.select(F.explode_outer(marks).alias("m")).select("m.term", "m.dl")
-    counts = (
-        named.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
-    ).toArrow()
-    df = dict(zip(counts.column("term").to_pylist(), counts.column("df").to_pylist()))
-    n_docs = df.pop("", 0)
-    total = sum(n or 0 for n in counts.column("dl").to_pylist())
-    return df, n_docs, total / n_docs if n_docs else 0.0
-
-
-def _bm25_by_scan(
-    chunks: DataFrame, queries: DataFrame, terms: pa.Table, k: int, k1: float, b: float
-) -> DataFrame:
-    """Best ``k`` rows per query and task, from the chunk texts and a bounded set of query words."""
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("tokens"))
-    vocabulary = pa.table({"term": pc.unique(terms.column("term"))})
-    df, n_docs, avg_len = _term_statistics(words, vocabulary)
-    known = sorted(df)
-    position = {term: i for i, term in enumerate(known)}
-    query_ids = np.array(pc.unique(terms.column("query_id")).to_pylist())
-    query_position = {q: i for i, q in enumerate(query_ids.tolist())}
-    # Per known term: the queries that use it, and its weight in each.
-    users: list[tuple[list[int], list[float]]] = [([], []) for _ in known]
-    for query_id, term, qtf in zip(*(terms.column(c).to_pylist() for c in ("query_id", "term", "qtf"))):
-        if term in position:
-            idf = np.log(1 + (n_docs - df[term] + 0.5) / (df[term] + 0.5))
-            users[position[term]][0].append(query_position[query_id])
-            users[position[term]][1].append(qtf * idf)
-    payload = (pa.array(known, pa.string()), [(np.array(q), np.array(w)) for q, w in users], query_ids)
-    shared = chunks.sparkSession.sparkContext.broadcast(payload)
-    schema = T.StructType(
-        [queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("score", T.DoubleType())]
-    )
-    arrow = _arrow_schema(schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value_set, weights, ids = shared.value
-        running = RunningTopK(len(ids), k)
-        for batch in batches:
-            for start in range(0, batch.num_rows, SCORE_ROWS):
-                piece = batch.slice(start, SCORE_ROWS)
-                scores = _bm25_scores(piece.column(1), value_set, weights, len(ids), avg_len, k1, b)
-                running.add(_ids(piece.column(0)), scores, only_positive=True)
-        yield from _hits(ids, running, arrow)
-
-    return words.mapInArrow(scan, schema)
-
-
-def _bm25_scores(token_lists, value_set, weights, n_queries: int, avg_len: float, k1: float, b: float) -> np.ndarray:
-    """Score matrix (queries by chunks) of a few chunks."""
-    lengths = pc.fill_null(pc.list_value_length(token_lists), 0).to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    found = pc.index_in(token_lists.flatten(), value_set=value_set)
-    known = pc.is_valid(found).to_numpy(zero_copy_only=False)
-    term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-    pairs, tf = np.unique(term * len(lengths) + owner[known], return_counts=True)
-    term, row = np.divmod(pairs, max(len(lengths), 1))
-    impact = tf / (tf + k1 * (1 - b + b * lengths[row] / avg_len)) if len(tf) else tf
-    scores = np.zeros((n_queries, len(lengths)))
-    present, starts = np.unique(term, return_index=True)
-    for t, rows, values in zip(present, np.split(row, starts[1:]), np.split(impact, starts[1:])):
-        users, weight = weights[t]
-        scores[np.ix_(users, rows)] += np.outer(weight, values)
-    return scores
 
 
 def rejected_vectors(vectors: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
@@ -332,7 +198,7 @@ def scope_gate(
 
 def retrieve(
     queries: DataFrame,
-    text: DataFrame | InvertedIndex,
+    text: DataFrame | SegmentIndex,
     vectors: DataFrame,
     dim: int,
     top: int = TOP_K,

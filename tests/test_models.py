@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
+import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import ranking
 from folioflow.functions.running import running
-from folioflow.operators import chunk, index, loganalytics, retrieve, sections
+from folioflow.operators import bm25, chunk, index, loganalytics, retrieve, sections
 
 
 def test_running_matches_sequential(spark):
@@ -159,17 +163,64 @@ def as_rows(df):
     return sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in df.collect())
 
 
-def test_bm25_scan_equals_join(spark, sf, monkeypatch):
+def plain_bm25(docs, queries, k):
+    words = {i: [w for w in re.split("[^a-z0-9_]+", (t or "").lower()) if len(w) >= 2] for i, t in docs}
+    df, n = Counter(w for ws in words.values() for w in set(ws)), len(words)
+    mean = sum(map(len, words.values())) / n if n else 0
+    out = []
+    for q, text in queries:
+        terms = Counter(w for w in re.split("[^a-z0-9_]+", text.lower()) if len(w) >= 2)
+        scores = []
+        for i, ws in words.items():
+            tf = Counter(ws)
+            score = sum(c * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w, c in terms.items() if tf[w])
+            if round(score, 6) > 0:
+                scores.append((-round(score, 6), i))
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+def test_bm25_blocks_and_bounds(spark, monkeypatch):
+    rng = random.Random(11)
+    vocabulary = [f"w{int(rng.paretovariate(0.6))}" for _ in range(400)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60)))) for i in range(300)] + [(400, None), (401, "")]
+    queries = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 9)))) for i in range(25)] + [(90, "?"), (91, "zzunknown")]
+    want = plain_bm25(docs, queries, 4)
+    chunk_table = spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    query_table = spark.createDataFrame(queries, "query_id long, query string").repartition(2)
+    monkeypatch.setattr(bm25, "SEGMENT_TOKENS", 500)
+    for per_block in (1, 256):
+        got = bm25.bm25_topk(chunk_table, query_table, 4, queries_per_block=per_block)
+        assert [(q, r, i) for q, r, i, _ in as_rows(got)] == [(q, r, i) for q, r, i, _ in want]
+        assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(as_rows(got), want, strict=True))
+    assert bm25.bm25_topk(chunk_table.limit(0), query_table).count() == 0
+    assert bm25.bm25_topk(chunk_table, query_table.limit(0)).count() == 0
+
+
+def test_bm25_skips_blocks():
+    """A rare word lifts the floor; blocks with only common words are never opened."""
+    texts = [["the", "of"] * 10 for _ in range(640)]
+    texts[100] = ["the", "rare"]
+    texts[101] = ["rare"]
+    terms, lists = bm25.segment_columns(pa.array(texts), 64)
+    scorer = bm25.BlockScorer(pa.array(["the", "rare"]), np.array([0, 0]), np.array([0, 1]), np.array([0.01, 5.0]), 1, 2, 20.0)
+    scorer.add(np.arange(640), terms, lists, 64)
+    assert (scorer.blocks, scorer.skipped) == (10, 9)
+    assert sorted(scorer.running.best[0][1].tolist()) == [100, 101]
+    scorer.add(np.arange(640) + 1000, *bm25.segment_columns(pa.array([["other"]] * 640), 64), 64)
+    assert scorer.skipped == 19
+
+
+def test_bm25_plans_without_collecting(spark, sf, monkeypatch):
     from folioflow import fixtures as fx
     from folioflow.plans.retrieval import chunks
 
-    docs, queries = chunks(spark, sf), fx.text_queries(spark, sf)
-    queries = queries.unionByName(spark.createDataFrame([(900, "the the of"), (901, "?"), (902, "zzzzunknown")], "query_id long, query string"))
-    by_scan = as_rows(retrieve.bm25_topk(docs, queries, 7))
-    by_join = as_rows(retrieve.bm25_topk(index.build_postings(docs), queries, 7))
-    assert by_scan == by_join and by_scan
-    monkeypatch.setattr(retrieve, "QUERY_TERM_LIMIT", 10)
-    assert as_rows(retrieve.bm25_topk(docs, queries, 7)) == by_scan
+    def forbidden(*_):
+        raise AssertionError("collected while planning")
+
+    for name in ("toArrow", "collect", "toPandas"):
+        monkeypatch.setattr(type(chunks(spark, sf)), name, forbidden)
+    bm25.bm25_topk(chunks(spark, sf), fx.text_queries(spark, sf), 3)
 
 
 def test_vector_blocks(spark, sf):
@@ -197,8 +248,12 @@ def test_index_round_trip(spark, sf, tmp_path):
     from folioflow import fixtures as fx
     from folioflow.plans.retrieval import chunks
 
-    built = index.build_postings(chunks(spark, sf))
-    index.write_index(built, str(tmp_path))
-    stored = index.read_index(spark, str(tmp_path))
-    queries = fx.text_queries(spark, sf)
-    assert as_rows(retrieve.bm25_topk(stored, queries, 3)) == as_rows(retrieve.bm25_topk(built, queries, 3))
+    docs, queries = chunks(spark, sf), fx.text_queries(spark, sf)
+    bm25.write_segments(docs, str(tmp_path))
+    stored = bm25.read_segments(spark, str(tmp_path))
+    assert as_rows(bm25.bm25_topk(stored, queries, 3)) == as_rows(bm25.bm25_topk(docs, queries, 3))
+    built = index.build_postings(docs)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(stored.postings) == rows(built.postings.select("term", "chunk_id", "tf", "dl"))
+    assert rows(stored.docs) == rows(built.docs)
+    assert rows(stored.terms) == rows(built.terms)
