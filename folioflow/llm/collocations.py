@@ -7,11 +7,12 @@ prefixes, which are the counts of all shorter phrases, since each phrase is the
 prefix of exactly the windows that open at its occurrences.
 
 A window may end early where no frequent phrase can go on.  Whether it can is
-known from a first pass that counts pairs of neighbouring words by hash bucket
-(``filter_bits``): the pairs of a bucket with fewer than ``least`` occurrences in
-all are rarer than that each, and so is every phrase with one of them.  Buckets
-only spare work.  Phrases are counted by their words, so a full filter spares
-less and changes nothing.
+known from two passes that count pairs and then triples of neighbouring words by
+hash bucket (``filter_bits``): the phrases of a bucket with fewer than ``least``
+occurrences in all are rarer than that each, and so is every longer phrase with
+one of them.  Triples are only counted where both of their pairs may be frequent.
+Buckets only spare work.  Phrases are counted by their words, so a full filter
+spares less and changes nothing.
 
 Tasks cut texts into words, build the lead columns and combine their own windows
 as arrays; grouping, marginals, cuts, containment and ranks are Spark's.
@@ -34,10 +35,10 @@ from folioflow.llm.common import staged, table, text_or_empty
 LEAST = 30
 TOP = 2000
 ORDER = 4
-# 2 ** 26 buckets: a bitmap of 8 MB, whatever the corpus.
+# 2 ** 26 buckets: two bitmaps of 8 MB, whatever the corpus.
 FILTER_BITS = 26
 # Bytes of text worked on at once; a longer piece is held whole.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 SALTS = 64
 UNKNOWN = "und"
 
@@ -72,15 +73,30 @@ class Words:
     def __len__(self) -> int:
         return len(self.code)
 
-    def follows(self) -> np.ndarray:
-        """Whether the next word stands in the same piece; one entry less than words."""
-        return self.piece[1:] == self.piece[:-1]
-
-    def pair_buckets(self, lang: np.ndarray, bits: int) -> np.ndarray:
-        """The filter bucket of each word and its successor; ``lang`` is a hash for each row."""
-        own = pd.util.hash_array(np.array(self.names.to_pylist(), object), categorize=False)[self.code] if len(self) else np.zeros(0, np.uint64)
-        mixed = (own[:-1] * MIX + own[1:]) * MIX + lang[self.row[:-1]]
-        return ((mixed * MIX) >> np.uint64(64 - bits)).astype(np.int64)
+    def fits(self, size: int) -> np.ndarray:
+        """Whether ``size`` words from each one on stand in the same piece."""
+        return np.append(self.piece[size - 1 :] == self.piece[: len(self) - size + 1], np.zeros(size - 1, bool))[: len(self)]
+
+    def buckets(self, size: int, lang: np.ndarray, bits: int) -> np.ndarray:
+        """The filter bucket of the ``size`` words from each one on; ``lang`` is a hash for each row."""
+        own = hashes(self.names)[self.code]
+        mixed = lang[self.row]
+        for k in range(size):
+            mixed = (mixed + np.append(own[k:], np.zeros(k, np.uint64))[: len(self)]) * MIX
+        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+    def goes_on(self, marks: list[np.ndarray], lang: np.ndarray, bits: int) -> list[np.ndarray]:
+        """For 2, 3 and so on words from each one on: whether they may be a frequent phrase by the bitmaps so far."""
+        out = []
+        for size, bitmap in enumerate(marks, 2):
+            may = self.fits(size)
+            if out:
+                may &= out[-1] & np.append(out[-1][1:], False)
+            at = np.flatnonzero(may)
+            bucket = self.buckets(size, lang, bits)[at]
+            may[at] = ((bitmap[bucket >> 6] >> (bucket & 63)) & 1) == 1
+            out.append(may)
+        return out
 
 
 def blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, Words]]:
@@ -104,8 +120,12 @@ def hashes(values: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.array(values.to_pylist(), object), categorize=False)
 
 
-def frequent_buckets(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Bitmap of the pair buckets with at least ``least`` occurrences, ``2 ** bits / 8`` bytes."""
+def frequent_buckets(texts: DataFrame, size: int, marks: list[np.ndarray], least: int, bits: int) -> np.ndarray:
+    """Bitmap of the buckets in which phrases of ``size`` words occur ``least`` times, ``2 ** bits / 8`` bytes.
+
+    ``marks`` has the bitmaps of shorter phrases; what they exclude is not counted.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One byte a bucket: more than `least` occurrences need not be told apart.
@@ -113,9 +133,14 @@ def frequent_buckets(texts: DataFrame, least: int, bits: int) -> np.ndarray:
         for batch in batches:
             lang = hashes(batch.column("lang"))
             for first, words in blocks(batch, BLOCK):
-                if len(words) > 1:
-                    found, n = np.unique(words.pair_buckets(lang[first:], bits)[words.follows()], return_counts=True)
-                    seen[found] = np.minimum(seen[found] + np.minimum(n, most), most)
+                if not len(words):
+                    continue
+                may = words.fits(size)
+                if shared.value:
+                    shorter = words.goes_on(shared.value, lang[first:], bits)[-1]
+                    may &= shorter & np.append(shorter[1:], False)
+                found, n = np.unique(words.buckets(size, lang[first:], bits)[may], return_counts=True)
+                seen[found] = np.minimum(seen[found] + np.minimum(n, most), most)
         for at in range(0, len(seen), 1 << 20):
             full = np.flatnonzero(seen[at : at + (1 << 20)])
             yield pa.record_batch([pa.array((full + at).astype(np.int32)), pa.array(seen[at + full].astype(np.int32))], ["bucket", "n"])
@@ -126,20 +151,19 @@ def frequent_buckets(texts: DataFrame, least: int, bits: int) -> np.ndarray:
     # 2 ** 14 buckets to a row of 2 KB: 2 ** (bits - 14) rows come back.
     word = F.bit_or(F.expr("shiftleft(1L, bucket & 63)"))
     spread = counted.groupBy(F.shiftright("bucket", 14).alias("block"), F.shiftright("bucket", 6).alias("part")).agg(word.alias("bits"))
-    rows = spread.groupBy("block").agg(F.collect_list("part").alias("parts"), F.collect_list("bits").alias("bits"))
+    rows = staged(spread.groupBy("block").agg(F.collect_list("part").alias("parts"), F.collect_list("bits").alias("bits")), "phrase-filter")
     bitmap = np.zeros(max(1, (1 << bits) // 64), np.int64)
     for row in rows.toLocalIterator():
         bitmap[row.parts] = row.bits
     return bitmap
 
 
-def window_counts(texts: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
+def window_counts(texts: DataFrame, marks: list[np.ndarray], bits: int) -> DataFrame:
     """(lang, w1 .. w4, n): padded longest windows, combined within a block of text."""
     words_of = [f"w{i}" for i in range(1, ORDER + 1)]
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
         for batch in batches:
             lang = hashes(batch.column("lang"))
             names = batch.column("lang").dictionary_encode()
@@ -147,11 +171,9 @@ def window_counts(texts: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
             for first, words in blocks(batch, BLOCK):
                 if not len(words):
                     continue
-                bucket = words.pair_buckets(lang[first:], bits)
-                goes_on = words.follows() & (((marks[bucket >> 6] >> (bucket & 63)) & 1) == 1)
-                columns, open_ = [words.code], np.ones(len(words), bool)
-                for k in range(1, ORDER):
-                    open_ = open_ & np.append(goes_on[k - 1 :], np.zeros(k, bool))[: len(words)]
+                pairs, triples = words.goes_on(shared.value, lang[first:], bits)
+                columns = [words.code]
+                for k, open_ in enumerate((pairs, triples, triples & np.append(triples[1:], False)), 1):
                     lead = np.append(words.code[k:], np.zeros(k, np.int64))[: len(words)]
                     columns.append(np.where(open_, lead + 1, 0))
                 # Exact keys: pairs of columns become dense numbers before they meet.
@@ -176,8 +198,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     no row.  ``size`` 0 is the rollup's total of a language.
     """
     texts = docs.select(text_or_empty(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    bitmap = frequent_buckets(texts, least, filter_bits)
-    windows = staged(window_counts(texts, bitmap, filter_bits), "phrase-windows")
+    marks: list[np.ndarray] = []
+    for size in range(2, ORDER):
+        marks.append(frequent_buckets(texts, size, marks, least, filter_bits))
+    windows = staged(window_counts(texts, marks, filter_bits), "phrase-windows")
     level = "grouping_id()"
     rolled = windows.sparkSession.sql(
         f"select lang, {level} as level, w1, w2, w3, w4, sum(n) as f from {{windows}} group by lang, rollup(w1, w2, w3, w4)", windows=windows
