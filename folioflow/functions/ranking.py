@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folioflow.session import stage_path
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -45,8 +48,51 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-# Rank error of the sketch that brackets an order statistic is n / ACCURACY.
-ACCURACY = 20_000
+# Buckets a bracket is cut into; a round narrows it at least that much.
+BUCKETS = 4096
+LARGEST = 1.7976931348623157e308
+
+
+def _same_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    """Null keys are a group like others."""
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & left[c].eqNullSafe(right[c])
+    return condition
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = stage_path(df.sparkSession, "order-statistics")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bucket(value: Column, low: Column, high: Column) -> Column:
+    """Which of ``BUCKETS`` parts of ``low .. high`` a value is in; never falls as the value grows.
+
+    Parts are equally wide, of the logarithm where the bracket spans magnitudes.
+    Should both ends be the same double, the difference in the column's own type
+    tells them apart.  ``low`` is in the first part and ``high`` in the last.
+    """
+
+    def double(c: Column) -> Column:
+        # Halved, so no difference overflows.
+        return F.greatest(F.least(c.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)) / 2
+
+    def share(v: Column, lo: Column, hi: Column) -> Column:
+        return F.least(F.floor((v - lo) / (hi - lo) * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
+
+    lo, hi = double(low), double(high)
+    log = [F.asinh(double(c)) for c in (value, low, high)]
+    wide = (hi - lo > 1024 * F.least(F.abs(lo), F.abs(hi))) & (hi - lo > BUCKETS) & (log[1] < log[2])
+    return F.when(wide, share(*log)).when(lo < hi, share(double(value), lo, hi)).otherwise(
+        F.when(value == low, 0).otherwise(share((value - low).cast("double"), F.lit(0.0), (high - low).cast("double")))
+    )
+
+
+def _constant(brackets: list, kind: T.ArrayType) -> Column:
+    return F.array(*[F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in kind.elementType.fields]) for b in brackets])
 
 
 def order_statistics(
@@ -58,58 +104,53 @@ def order_statistics(
     """Exact order statistics of a column, per group: ``(*by, statistic, value)``.
 
     ``wanted`` maps a name to ``(fraction, rank)``, the rank being a 0-based
-    expression over the group size ``n``.  Groups without values give no row.
-
-    The column is neither sorted nor collected: a quantile sketch brackets each
-    wanted rank, then only values inside the bracket are counted exactly.  The
-    sketch's error bound makes the bracket certain, so the result is exact.
+    expression over the group size ``n``.  Null and NaN are no values; groups
+    without values give no row, a null key is a group.
+
+    Nothing is sorted and no group meets in one task: a bracket per group and
+    statistic starts at all values, every round counts the values of its buckets
+    with a map-side combine, and the bucket that holds the rank is the next
+    bracket, from its least to its largest value.  A bracket of one value is the
+    result.  Values outside all brackets are left behind, so later rounds read
+    little.  The driver sees whether brackets are open, and without groups the
+    brackets themselves.
     """
     by = list(by)
-    values = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).alias("__v"))
-    fractions = []
-    for fraction, _ in wanted.values():
-        fractions += [max(0.0, fraction - 4 / ACCURACY), min(1.0, fraction + 4 / ACCURACY)]
-    bounds = values.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", fractions, ACCURACY).alias("__edges"),
-    )
-    # In small groups rounding may move a rank out of the sketched bracket, and
-    # all their values are few enough to count.
-    small = F.col("n") <= 2 * ACCURACY
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("statistic"),
-                F.when(small, F.col("__min")).otherwise(F.col("__edges")[2 * i]).alias("__lo"),
-                F.when(small, F.col("__max")).otherwise(F.col("__edges")[2 * i + 1]).alias("__hi"),
-                rank.cast("bigint").alias("__rank"),
-            )
-            for i, (name, (_, rank)) in enumerate(wanted.items())
-        ]
-    )
-    bounds = bounds.select(*by, F.inline(targets))
-    if by:
-        joined = values.join(bounds, by)
-    else:
-        # One row per wanted statistic: a bounded broadcast.
-        joined = values.join(F.broadcast(bounds), F.col("__v") <= F.col("__hi"))
-    joined = joined.filter(F.col("__v") <= F.col("__hi"))
-    # Values below the bracket collapse into one row per group and statistic.
-    in_bracket = F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")
-    counted = joined.groupBy(*by, "statistic", "__rank", in_bracket).agg(F.count("*").alias("__c"))
-    window = (
-        Window.partitionBy(*by, "statistic")
-        .orderBy(F.col("__v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counted.withColumn("__upto", F.sum("__c").over(window))
-    return (
-        ranked.filter(F.col("__v").isNotNull() & (F.col("__upto") > F.col("__rank")))
-        .groupBy(*by, "statistic")
-        .agg(F.min("__v").alias("value"))
-    )
+    values = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(*by, F.col(col).alias("__v"))
+    ends = values.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).filter("n > 0")
+    start = [F.struct(F.lit(name).alias("statistic"), rank.cast("bigint").alias("rank"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi")) for name, (_, rank) in wanted.items()]
+    state = staged(ends.select(*by, F.array(*start).alias("brackets")))
+    is_open = F.exists("brackets", lambda x: x["lo"] < x["hi"])
+    while state.filter(is_open).limit(1).count():
+        if by:
+            side = state.filter(is_open)
+            inside = values.join(side, _same_keys(values, side, by)).select(*[values[c] for c in by], "__v", "brackets")
+        else:
+            # Without groups the brackets, one for each statistic, are constants of the next plan.
+            inside = values.withColumn("brackets", _constant(state.first().brackets, state.schema["brackets"].dataType))
+        inside = inside.filter(F.exists("brackets", lambda x: (x["lo"] < x["hi"]) & F.col("__v").between(x["lo"], x["hi"])))
+        inside = inside.select(*by, "__v", F.filter("brackets", lambda x: (x["lo"] < x["hi"]) & F.col("__v").between(x["lo"], x["hi"])).alias("brackets"))
+        placed = inside.select(*by, "__v", F.explode("brackets").alias("b"))
+        placed = placed.withColumn("bucket", _bucket(F.col("__v"), F.col("b.lo"), F.col("b.hi")))
+        counted = placed.groupBy(*by, "b", "bucket").agg(F.count("*").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        # At most BUCKETS entries a bracket.
+        listed = counted.groupBy(*by, "b").agg(F.sort_array(F.collect_list(F.struct("bucket", "c", "lo", "hi"))).alias("parts"))
+        kind = f"struct<rank:bigint,lo:{values.schema['__v'].dataType.simpleString()},hi:{values.schema['__v'].dataType.simpleString()}>"
+        none = F.lit(None).cast(kind)
+        found = F.aggregate(
+            "parts",
+            F.struct(F.col("b.rank").alias("left"), none.alias("hit")),
+            lambda s, x: F.struct(
+                (s["left"] - x["c"]).alias("left"),
+                F.when(s["hit"].isNull() & (s["left"] < x["c"]), F.struct(s["left"].alias("rank"), x["lo"].alias("lo"), x["hi"].alias("hi"))).otherwise(s["hit"]).alias("hit"),
+            ),
+        )["hit"]
+        narrowed = listed.select(*by, F.col("b.statistic").alias("statistic"), found.alias("hit")).select(*by, F.struct("statistic", "hit.rank", "hit.lo", "hit.hi").alias("b"))
+        closed = state.select(*by, F.explode("brackets").alias("b")).filter("not b.lo < b.hi")
+        state = staged(closed.unionByName(narrowed).groupBy(*by).agg(F.collect_list("b").alias("brackets")))
+        if state.filter(is_open).limit(1).count():
+            values = staged(inside.select(*by, "__v"))
+    return state.select(*by, F.explode("brackets").alias("b")).select(*by, "b.statistic", F.col("b.lo").alias("value"))
 
 
 def nearest_rank(df: DataFrame, col: str, percents: Sequence[int], by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -54,23 +55,37 @@ def nearest(values, p):
             return value
 
 
-@pytest.mark.parametrize("accuracy", [20_000, 60])
-def test_nearest_rank(spark, monkeypatch, accuracy):
-    """The small accuracy forces the bracketed path."""
-    monkeypatch.setattr(ranking, "ACCURACY", accuracy)
+@pytest.mark.parametrize("buckets", [4096, 2, 3])
+def test_nearest_rank(spark, monkeypatch, buckets):
+    """Few buckets take many rounds."""
+    monkeypatch.setattr(ranking, "BUCKETS", buckets)
     rng = random.Random(2)
     rows = []
-    for size in (1, 2, 3, 20, 21, 2000):
-        rows += [(size, float(rng.randint(0, 400))) for _ in range(size)]
+    for size in (1, 2, 20, 21, 800):
+        rows += [(size, float(rng.randint(0, 30))) for _ in range(size)]
+    rows += [(None, v) for v in (7.0, -7.0, 5e-324, 0.0, -0.25)] + [(5, float("nan")), (5, None)]
+    groups = {g: [v for h, v in rows if h == g and v is not None and v == v] for g in {g for g, _ in rows}}
     df = spark.createDataFrame(rows, "g int, v double")
     got = {(r.g, r.percent): r.value for r in ranking.nearest_rank(df, "v", (0, 50, 95, 100), ["g"]).collect()}
-    for size in (1, 2, 3, 20, 21, 2000):
-        values = [v for g, v in rows if g == size]
-        for p in (0, 50, 95, 100):
-            assert got[(size, p)] == nearest(values, p)
+    assert got == {(g, p): nearest(values, p) for g, values in groups.items() for p in (0, 50, 95, 100) if values}
     whole = {r.percent: r.value for r in ranking.nearest_rank(df, "v", (50, 95)).collect()}
-    assert whole == {p: nearest([v for _, v in rows], p) for p in (50, 95)}
-    assert ranking.nearest_rank(df.filter("v < 0"), "v", (50,)).count() == 0
+    assert whole == {p: nearest([v for values in groups.values() for v in values], p) for p in (50, 95)}
+    assert ranking.nearest_rank(df.filter("v < -100"), "v", (50,)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("kind", "values"),
+    [
+        ("double", [1.5e308, -1.5e308, float("inf"), float("-inf"), 5e-324, 1e-300, 1e300, 0.0, 1.0] + [2.0**i for i in range(-1000, 1000, 50)]),
+        ("double", [1.0 + i * 2.0**-52 for i in range(50)] + [3.0] * 300),
+        ("long", [2**62 + i for i in range(20)] + [2**53, 2**53 + 1] * 9),
+        ("decimal(20,2)", [Decimal(i) / 4 for i in range(200)]),
+    ],
+)
+def test_ranks_of_any_spread(spark, kind, values):
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}").repartition(3)
+    percents = (0, 10, 33, 50, 77, 100)
+    assert {r.percent: r.value for r in ranking.nearest_rank(df, "v", percents).collect()} == {p: nearest(values, p) for p in percents}
 
 
 def replay(rows, client_limit, cap, calls):

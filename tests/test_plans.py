@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from folioflow import fixtures as fx
+from folioflow.functions import ranking
 from folioflow.operators import loganalytics
 from folioflow.plans import logs, preparation, retrieval
 from folioflow.plans.catalog import QUERIES
@@ -30,6 +31,14 @@ def test_recent_page_is_a_bounded_sort(spark, sf):
     assert "TakeOrderedAndProject" in plan_of(logs.recent_page(spark, sf))
 
 
+def test_percentiles_need_no_window(spark, sf, monkeypatch):
+    seen = []
+    staged = ranking.staged
+    monkeypatch.setattr(ranking, "staged", lambda df: seen.append(plan_of(df)) or staged(df))
+    assert "Window" not in plan_of(logs.percentiles(spark, sf))
+    assert seen and not any("Window" in plan or "CartesianProduct" in plan or "NestedLoop" in plan for plan in seen)
+
+
 def test_quota_replay_sorts_no_whole_client(spark, sf):
     plan = plan_of(logs.replay(spark, sf))
     assert "row_number(), 5, Partial" in plan
