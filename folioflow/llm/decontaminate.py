@@ -1,20 +1,25 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Windows of ``WINDOW`` consecutive item words (a shorter item is one window) are
-looked up in the documents.  Each window is found through its ``RAREST`` rarest
-terms, counted over all documents: the index stores the postings (term,
-document, position) of the terms that windows look up, and with a window's
-rarest term also the words around it.  Posting lists are shifted by the term's
-offset in the window and intersected: starts on which all lists agree are
-phrase candidates, confirmed word by word against the words stored with the
-rarest term.  Where the other rare terms stand up to ``SLACK`` words off their
-place, the stored words give a proximity match.
-
-Documents are cut into words and exploded below a broadcast of the few
-benchmark terms, so what is shuffled are postings of rare terms, keyed by
-document and start: a passage that a third of all documents share is spread
-over all tasks.  Where the benchmark is larger than ``BROADCAST_CHARS`` the same
-joins are left to Spark to shuffle.
+looked up in the documents.  Every text is cut into words once.  Within the
+array a Bloom filter keeps the words that the benchmark has at all, and what is
+written is the forward index: a row for each document with its number of words
+and (position, word) of the kept ones.  A window consists of such words only, so
+everything else comes from this table.
+
+Each window is found through its ``RAREST`` rarest terms, counted over all
+documents.  The positional index has the postings (term, document, position) of
+those terms, each with the kept words up to a window's length around it.
+Posting lists are shifted by the term's offset in the window and intersected:
+starts on which all lists agree are phrase candidates, confirmed word by word
+against the words around the rarest term.  Where the other rare terms stand up to
+``SLACK`` words off their place, those words give a proximity match.
+
+Postings are cut out of the arrays before they become rows, so no row holds more
+than the neighbourhood of one word, whatever the length of a text.  They are
+keyed by document and start: a passage that a third of all documents share is
+spread over all tasks.  Where the benchmark is larger than ``BROADCAST_CHARS`` the
+same joins are left to Spark to shuffle.
 
 Rows are told apart by id and a hash of the text, so null and repeated ids and
 repeated rows get their own results.
@@ -22,12 +27,15 @@ repeated rows get their own results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD_ANY_CASE, lower_ascii, staged, table, text_or_empty
+from folioflow.llm.common import lower_ascii, staged, table, text_or_empty
 
-# Fixed values of the contract: window length and the contaminated share, 1 in 20.
+# Fixed values of the contract: words, window length and the contaminated share, 1 in 20.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 SHARE = 20
 RAREST = 2
@@ -35,21 +43,50 @@ SLACK = 4
 BROADCAST_CHARS = 8_000_000
 
 
+# Words of 64 bits in a Bloom filter: 16 bits a term, 1 MB at most.
+FILTER_WORDS = 1 << 17
+KEY = ["_id", "_hash"]
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+
+
 def words(col: str) -> Column:
-    """Words in the case they have; A-Z counts as a-z for their borders."""
-    return F.regexp_extract_all(text_or_empty(col), F.lit(WORD_ANY_CASE), F.lit(0))
+    """The words of a text with A-Z lower-cased; in plain ASCII that is what ``lower`` does."""
+    text = text_or_empty(col)
+    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(lower_ascii(text))
+    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+
+
+def bloom(terms: DataFrame) -> Callable[[Column], Column]:
+    """A test for words that all of ``terms`` pass and few others; two bits a term.
+
+    The filter is gathered by word in Spark and becomes a literal of the plan.
+    """
+    n = max(1, terms.count())
+    size = min(FILTER_WORDS, 1 << max(0, (n - 1).bit_length() - 2))
 
+    def places(term: Column) -> list[Column]:
+        h = F.xxhash64(term)
+        return [h.bitwiseAND(F.lit(64 * size - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(64 * size - 1))]
 
-def folded(word: Column) -> Column:
-    """The index term: fully lower-cased, so coarser than the A-Z rule, which the confirmation applies."""
-    return F.lower(word)
+    set_ = terms.select(F.explode(F.array(*places(F.col("term")))).alias("bit"))
+    rows = set_.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("value")).collect()
+    bits = [0] * size
+    for row in rows:
+        bits[row.at] = row.value
+    # Folded into one array when the plan is made.
+    filled = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+
+    def passes(term: Column) -> Column:
+        tests = [F.getbit(filled[F.shiftright(p, 6).cast("int")], p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places(term)]
+        return tests[0] & tests[1]
+
+    return passes
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """(words, item_ids as strings, sorted) for every distinct window; items without words have none."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(text_col).alias("words"))
-    # The benchmark's words may all be A-Z lower-cased at once: it is small.
-    items = items.withColumn("words", F.transform("words", lower_ascii)).filter(F.size("words") > 0)
+    items = items.filter(F.size("words") > 0)
     last = F.greatest(F.size("words") - width, F.lit(0))
     cut = items.select("item_id", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     cut = cut.select("item_id", F.slice("words", F.col("at") + 1, F.lit(width)).alias("words"))
@@ -64,12 +101,21 @@ def _small(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def rarest_terms(windows: DataFrame, docs: DataFrame, text_col: str, small: bool, rarest: int = RAREST) -> DataFrame:
+def forward_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _hash, n_words, kept) for every row: the words that may be ``terms``, as (at, word) in their order."""
+    known = bloom(terms)
+    cut = row_keys(docs, id_col, text_col).select(*KEY, words(text_col).alias("words"))
+    # The position goes in ahead of the filter, so the array is walked once for each.
+    placed = F.transform("words", lambda w, at: F.when(known(w), F.struct(at.alias("at"), w.alias("word"))))
+    return staged(cut.select(*KEY, F.size("words").cast("long").alias("n_words"), F.filter(placed, lambda x: x.isNotNull()).alias("kept")), "decon-forward")
+
+
+def rarest_terms(windows: DataFrame, forward: DataFrame, small: bool, rarest: int = RAREST) -> DataFrame:
     """(wid, words, rank, offset, term): the window's rarest distinct terms by their count in all documents."""
-    offsets = windows.select("wid", "words", F.posexplode("words").alias("offset", "word")).withColumn("term", folded(F.col("word")))
-    vocabulary = staged(offsets.select("term").distinct(), "decon-terms")
-    tokens = docs.select(F.explode(words(text_col)).alias("word")).select(folded(F.col("word")).alias("term"))
-    counts = staged(tokens.join(_small(vocabulary, small), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "decon-counts")
+    offsets = windows.select("wid", "words", F.posexplode("words").alias("offset", "term"))
+    # One row a term and task leaves the scan; the few terms of the filter that no window has drop out in the join.
+    counts = forward.select(F.explode("kept.word").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(counts.join(_small(offsets.select("term").distinct(), small), "term", "left_semi"), "decon-counts")
     # One offset per term: its first in the window.
     first = offsets.groupBy("wid", "term").agg(F.min("offset").alias("offset"), F.first("words").alias("words"))
     ranked = first.join(_small(counts, small), "term", "left").groupBy("wid").agg(
@@ -85,16 +131,24 @@ def rarest_terms(windows: DataFrame, docs: DataFrame, text_col: str, small: bool
     return listed.select("wid", "terms", "rank", "t.term", "t.offset", F.size("words").alias("n"), own("words"), own("others"))
 
 
-def positional_index(docs: DataFrame, lookups: DataFrame, id_col: str, text_col: str, small: bool, width: int = WINDOW) -> DataFrame:
-    """Postings (term, _id, _hash, at) of the looked-up terms; ``around`` holds the neighbouring words of rarest terms."""
+def positional_index(forward: DataFrame, lookups: DataFrame, small: bool, width: int = WINDOW) -> DataFrame:
+    """Postings (term, _id, _hash, at, around) of the looked-up terms; ``around`` holds the kept words near by.
+
+    Kept words are at least as close in the array as in the text, so ``reach``
+    entries to either side hold all words that are ``reach`` words away.
+    """
     terms = lookups.groupBy("term").agg((F.min("rank") == 0).alias("is_rarest"))
-    cut = row_keys(docs, id_col, text_col).select("_id", "_hash", words(text_col).alias("words"))
-    exploded = cut.select("_id", "_hash", "words", F.posexplode("words").alias("at", "word")).withColumn("term", folded(F.col("word")))
-    reach = width - 1 + SLACK
-    first = F.greatest(F.col("at") - reach, F.lit(0))
-    around = F.when(F.col("is_rarest"), F.slice("words", first + 1, F.lit(2 * reach + 1)))
-    found = exploded.join(_small(terms, small), "term")
-    return staged(found.select("term", "_id", "_hash", "at", first.alias("first"), around.alias("around")), "decon-postings")
+    wanted, reach = bloom(terms.select("term")), width - 1 + SLACK
+
+    def posting(x: Column, i: Column) -> Column:
+        first = F.greatest(i - reach, F.lit(0))
+        near = F.slice("kept", first + 1, i + reach + 1 - first)
+        return F.when(wanted(x["word"]), F.struct(x["word"].alias("term"), x["at"].alias("at"), near.alias("around")))
+
+    cut = F.filter(F.transform("kept", posting), lambda x: x.isNotNull())
+    rows = forward.select(*KEY, F.explode_outer(cut).alias("p")).filter("p is not null").select(*KEY, "p.*")
+    found = rows.join(_small(terms, small), "term")
+    return staged(found.select("term", *KEY, "at", F.when(F.col("is_rarest"), F.col("around")).alias("around")), "decon-postings")
 
 
 def shifted(postings: DataFrame, lookups: DataFrame, small: bool) -> DataFrame:
@@ -106,8 +160,8 @@ def shifted(postings: DataFrame, lookups: DataFrame, small: bool) -> DataFrame:
 def phrase_matches(postings: DataFrame, lookups: DataFrame, small: bool) -> DataFrame:
     """Exact matches (_id, _hash, wid, start, n): all shifted lists agree and every word is the same."""
     rows = shifted(postings, lookups, small)
-    here = F.slice("around", F.col("start") - F.col("first") + 1, F.col("n"))
-    same = F.transform(here, lower_ascii) == F.col("words")
+    here = F.filter("around", lambda x: (x["at"] >= F.col("start")) & (x["at"] < F.col("start") + F.col("n")))
+    same = here["word"] == F.col("words")
     return (
         # A start that the words refute needs no partners.
         rows.withColumn("_same", F.when(F.col("rank") == 0, same))
@@ -127,37 +181,28 @@ def proximity_matches(postings: DataFrame, lookups: DataFrame, small: bool, slac
     rows = shifted(postings.filter("around is not null"), lookups.filter("rank = 0"), small)
 
     def stands(other: Column) -> Column:
-        place = F.col("start") + other["offset"] - F.col("first")
-        begin = F.greatest(place - slack, F.lit(0))
-        return F.array_contains(F.transform(F.slice("around", begin + 1, place + slack + 1 - begin), folded), other["term"])
+        place = F.col("start") + other["offset"]
+        return F.exists("around", lambda x: (x["word"] == other["term"]) & F.abs(x["at"] - place).between(0, slack))
 
     return rows.filter(F.forall("others", stands)).select("_id", "_hash", "wid").distinct()
 
 
-def contamination(
+def findings(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, prefix: str = "",
+    item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW,
 ) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, n_near (items near by the proximity rule).
-
-    Null texts have no words and are clean.  A null item id counts as an item
-    with an empty id.  Empty tables are fine on either side.  Own columns of
-    ``docs`` named like results are replaced; ``prefix`` goes before the
-    results' names.
-    """
-    results = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
-    docs = docs.drop(*[prefix + c for c in results])
+    """One row for each distinct (id, text), as _id and _hash, with the columns of ``contamination`` and _rows, how often it comes."""
     windows = benchmark_windows(benchmark, item_col, item_text_col, width)
     # Numbers once written stay the same for every later read.
     windows = staged(windows.withColumn("wid", F.monotonically_increasing_id()), "decon-windows")
     chars = windows.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0
     small = chars <= BROADCAST_CHARS
-    lookups = staged(rarest_terms(windows, docs, text_col, small), "decon-lookups")
-    postings = positional_index(docs, lookups, id_col, text_col, small, width)
+    forward = forward_index(docs, windows.select(F.explode("words").alias("term")).distinct(), id_col, text_col)
+    lookups = staged(rarest_terms(windows, forward, small), "decon-lookups")
+    postings = positional_index(forward, lookups, small, width)
     exact = staged(phrase_matches(postings, lookups, small), "decon-phrases")
-    key = ["_id", "_hash"]
     # Covered words: starts in order, each adds what reaches beyond the ones before.
-    spans = exact.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
+    spans = exact.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     covered = F.aggregate(
         "spans", zero,
@@ -165,39 +210,65 @@ def contamination(
             (s["n"] + F.greatest(x["end"] - F.greatest(s["to"], x["start"]), F.lit(0))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")
         ),
     )["n"]
-    hits = spans.select(*key, covered.cast("long").alias("_hit"))
     to_items = _small(windows.select("wid", F.explode("item_ids").alias("item")), small)
-    items = exact.select(*key, "wid").distinct().join(to_items, "wid").groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("_items"))
-    near = proximity_matches(postings, lookups, small).join(to_items, "wid").groupBy(*key).agg(F.count_distinct("item").alias("_near"))
-    # Null ids must meet themselves: a struct of the key compares safely.
-    found = None
-    for part in (hits, items, near):
-        part = part.withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("null"))).drop("_id")
-        found = part if found is None else found.join(part, ["_key", "_hash"], "full")
-    found = staged(found, "decon-found")
-    marked = row_keys(docs, id_col, text_col).withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("null")))
-    marked = marked.withColumn("_words", F.regexp_count(text_or_empty(text_col), F.lit(WORD_ANY_CASE)).cast("long"))
-    joined = marked.join(found.hint("shuffle_merge"), ["_key", "_hash"], "left")
-    n_hit = F.coalesce("_hit", F.lit(0).cast("long"))
+    items = exact.select(*KEY, "wid").distinct().join(to_items, "wid").groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    near = proximity_matches(postings, lookups, small).join(to_items, "wid").groupBy(*KEY).agg(F.count_distinct("item").alias("near"))
+    # One grouping brings the parts together; grouping keys of null are equal.
+    facts = ("n_words", "_rows", "hit", "items", "near")
+    parts = (
+        forward.groupBy(*KEY).agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("_rows")),
+        spans.select(*KEY, covered.cast("long").alias("hit")),
+        items,
+        near,
+    )
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    found = whole.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in facts])
+    n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     values = (
-        F.col("_words"), n_hit,
-        F.when(F.col("_items").isNull(), 0).otherwise(F.size("_items")).cast("long"),
-        F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")), 256),
-        (n_hit > 0) & (SHARE * n_hit >= F.col("_words")),
-        F.coalesce("_near", F.lit(0).cast("long")),
+        F.col("n_words"), n_hit,
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256),
+        (n_hit > 0) & (SHARE * n_hit >= F.col("n_words")),
+        F.coalesce("near", F.lit(0).cast("long")),
     )
-    return joined.select(*docs.columns, *[v.alias(prefix + name) for v, name in zip(values, results, strict=True)])
+    return found.select(*KEY, "_rows", *[v.alias(name) for v, name in zip(values, RESULTS, strict=True)])
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Null ids meet themselves and nothing else."""
+    return left["_id"].eqNullSafe(right["_id"]) & (left["_hash"] == right["_hash"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "", **options) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, n_near (items near by the proximity rule).
+
+    Null texts have no words and are clean.  A null item id counts as an item
+    with an empty id.  Empty tables are fine on either side.  Repeated rows and
+    ids each get what their text has; a very long text is one row of the forward
+    index, of its benchmark words only.  Own columns of ``docs`` named like results
+    are replaced; ``prefix`` goes before the results' names.
+    """
+    docs = docs.drop(*[prefix + c for c in RESULTS])
+    found = findings(docs, benchmark, id_col, text_col, **options).drop("_rows")
+    marked = row_keys(docs, id_col, text_col)
+    joined = marked.join(found, same_row(marked, found), "left")
+    return joined.select(*docs.columns, *[found[c].alias(prefix + c) for c in RESULTS])
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    marked = contamination(docs, benchmark, prefix="_decon_", **options)
-    return marked.filter("not _decon_contaminated").select(*docs.columns)
+    found = staged(findings(docs, benchmark, id_col, text_col, **options).filter("contaminated").select(*KEY), "decon-contaminated")
+    marked = row_keys(docs, id_col, text_col)
+    return marked.join(found, same_row(marked, found), "left_anti").select(*docs.columns)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    found = findings(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    # A row for each row of the table; ids and counts are all that is left to repeat.
+    rows = found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    return rows.select(F.col("_id").alias("doc_id"), *RESULTS)
 
 
 OP10_SQL = r"""
@@ -222,9 +293,9 @@ dw as (
   select doc_id, count(distinct item_id)::bigint as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
   from m group by doc_id
 ), tok as (
-  select doc_id, lower(w[i + 1]) as term, i from d, unnest(range(len(w))) r(i)
+  select doc_id, w[i + 1] as term, i from d, unnest(range(len(w))) r(i)
 ), offs as (
-  select win, lower(t) as term, min(k - 1) as off
+  select win, t as term, min(k - 1) as off
   from (select win, unnest(string_split(win, ' ')) as t, generate_subscripts(string_split(win, ' '), 1) as k from (select distinct win from bw))
   group by 1, 2
 ), freq as (select term, count(*) as n from tok where term in (select term from offs) group by term),

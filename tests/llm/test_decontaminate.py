@@ -9,7 +9,7 @@ import re
 import pytest
 
 from folioflow.llm import decontaminate
-from folioflow.llm.decontaminate import contamination
+from folioflow.llm.decontaminate import contamination, uncontaminated
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -59,10 +59,38 @@ def test_contamination(spark, monkeypatch, limit):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b c x d e f g h i j k l m n"), (2, "a b c " + "x " * 40 + "d e f g h i j k l m n")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c x d e f g h i j k l m n"), (2, "a b c " + "x " * 40 + "d e f g h i j k l m n"), (3, "b c d e f g h i j k l m")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string")
     rows = {r.doc_id: r for r in contamination(docs, bench, width=20).collect()}
     assert rows[1].n_hit == rows[2].n_hit == 0
+    # The rarest terms are a and n: one word too many in between is near, forty are not, neither is none at all.
+    assert [rows[i].n_near for i in (1, 2, 3)] == [1, 0, 0]
+
+
+def test_string_ids(spark):
+    text = "one two three four five"
+    docs = spark.createDataFrame([(None, text), ("null", text), ("x", text), ("x", text), (None, "six"), ("null", "")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q", "two three four")], "item_id string, text string")
+    rows = contamination(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in rows) == sorted([("None", 5, 3), ("null", 5, 3), ("x", 5, 3), ("x", 5, 3), ("None", 1, 0), ("null", 0, 0)])
+    kept = uncontaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("None", "six"), ("null", "")]
+
+
+def test_no_row_holds_a_whole_text(spark, monkeypatch):
+    """Beyond the broadcast the shuffled postings are bounded by the window, not by the text."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", -1)
+    item = " ".join(f"w{i}" for i in range(20))
+    text = "w0 w1 w2 " * 10_000 + item
+    docs = spark.createDataFrame([(1, text), (2, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    seen = []
+    index = decontaminate.positional_index
+    monkeypatch.setattr(decontaminate, "positional_index", lambda *a: seen.append(index(*a)) or seen[-1])
+    rows = {r.doc_id: r for r in contamination(docs, bench).collect()}
+    assert (rows[1].n_words, rows[1].n_hit, rows[2].n_hit) == (30_020, 20, 20)
+    assert seen[0].selectExpr("max(size(around))").first()[0] <= 2 * (12 + 4) + 1
 
 
 def test_empty(spark):
