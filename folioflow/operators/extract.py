@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.html import read_page
+from folioflow.functions.running import line_block, running
 from folioflow.functions.ranking import top_k
 from folioflow.functions.text import EXCERPT_CHARS, EXCERPT_MIN_CHARS, excerpt, strip_markup
 
@@ -141,22 +142,40 @@ def extract_citation(df: DataFrame, text: str = "text", filename: str = "filenam
     )
 
 
-# A reference is never longer than this, so no more of the next line is needed.
-REFERENCE_CHARS = 80
+# Words of a reference that may end a line, and with what the next one then goes on.
+REFERENCE_ENDS = r"(?i)(section|sec\.?|s\.|§|\d|of|the|indian|penal|bharatiya|nyaya)\s*$"
+REFERENCE_GOES_ON = (
+    r"(?i)^(?:(?:section|sec\.?|s\.|§) \d|\d (?:ipc|bns|of)|of the|the (?:indian|bharatiya)"
+    r"|indian penal|penal code|bharatiya nyaya|nyaya sanhita)"
+)
 
 
 def section_references(df: DataFrame, key: str, position: str, text: str = "line") -> DataFrame:
     """In-range section numbers ``(key, position, nth, section)`` found in a text column.
 
-    ``position`` counts lines without gaps.  A reference that goes on in the
-    next line belongs to the line in which it starts, after those within it.
+    The result is that of one search over the whole text of a key, its lines
+    joined by line ends: a reference may go on over any number of lines, blank
+    ones between them, and matches do not overlap.  Lines are only put together
+    where one ends in a word of a reference that the next line with text can go
+    on with, so no match reaches over the end of such a run, and a key is as
+    many runs as it has other lines.  ``position`` names the line in which the
+    run starts, ``nth`` counts within it.  Null and blank lines hold nothing.
     """
-    heads = df.select(key, (F.col(position) - 1).alias(position), F.substring(text, 1, REFERENCE_CHARS).alias("__head"))
-    lines = df.select(key, position, F.col(text).alias("__line")).join(heads, [key, position], "left")
-    joined = F.concat(F.substring("__line", -REFERENCE_CHARS, REFERENCE_CHARS), F.lit("\n"), F.coalesce("__head", F.lit("")))
-    within = F.regexp_extract_all("__line", F.lit(SECTION_REF), F.lit(0))
-    over = F.filter(F.regexp_extract_all(joined, F.lit(SECTION_REF), F.lit(0)), lambda m: F.contains(m, F.lit("\n")))
-    found = lines.select(key, position, F.posexplode_outer(F.concat(F.coalesce(within, F.array()), F.coalesce(over, F.array()))).alias("nth", "m"))
+    lines = df.select(key, F.col(position).alias(position), F.col(text).alias("__line")).filter(F.col("__line").rlike(r"\S"))
+    lines = lines.withColumn("__head", F.substring(F.regexp_replace("__line", r"^\s+", ""), 1, 9))
+    block = line_block(position)
+    ahead = running(lines, [key], [position], block, {"__next": ("last", F.col("__head"), False)}, reverse=True)
+    tail = F.nullif(F.regexp_extract("__line", REFERENCE_ENDS, 1), F.lit(""))
+    ahead = ahead.withColumn("__open", F.coalesce(F.concat_ws(" ", tail, "__next").rlike(REFERENCE_GOES_ON) & tail.isNotNull(), F.lit(False)))
+    marked = running(ahead, [key], [position], block, {"__before": ("last", F.col("__open"), False)})
+    marked = marked.withColumn("__before", F.coalesce("__before", F.lit(False))).select(key, position, "__line", "__open", "__before")
+    alone = marked.filter("not (__open or __before)").select(key, position, F.col("__line").alias("__text"))
+    starts = {"__run": ("max", F.when(~F.col("__before"), F.col(position)), True)}
+    runs = running(marked.filter("__open or __before"), [key], [position], block, starts)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, "__line"))), lambda x: x["__line"]), "\n")
+    joined = runs.groupBy(key, "__run").agg(whole.alias("__text")).withColumnRenamed("__run", position)
+    found = alone.unionByName(joined.select(key, position, "__text"))
+    found = found.select(key, position, F.posexplode_outer(F.regexp_extract_all("__text", F.lit(SECTION_REF), F.lit(0))).alias("nth", "m"))
     numbered = found.select(key, position, "nth", F.regexp_extract("m", r"\d{1,4}", 0).try_cast("int").alias("section"))
     return numbered.filter(F.col("section").between(*FIRST_CODE) | F.col("section").between(*SECOND_CODE))
 

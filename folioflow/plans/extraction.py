@@ -86,9 +86,11 @@ def citations_found(spark, sf):
     return extract.extract_citation(docs).drop("text", "filename")
 
 
-# References within a line, and some that go on in the next one.
+# References within a line, and some that go on in later ones.
 REFERRING = """case line_no % 50 when 7 then concat(line, ' s. 309 and 310 BNS, §999') when 9 then concat(line, ' under Section')
-   when 10 then concat('379 and ', line, ' or 305') when 11 then concat('  BNS ', line, ' 306 of the') when 12 then concat('Indian Penal Code. ', line) else line end as line"""
+   when 10 then concat('379 and ', line, ' or 305') when 11 then concat('  BNS ', line, ' 306 of the') when 12 then concat('Indian Penal Code. ', line)
+   when 20 then concat(line, ' under section') when 21 then '  ' when 22 then concat('397 of ', line, ' 311') when 23 then '' when 24 then 'of the Bharatiya' when 25 then null
+   when 26 then concat('Nyaya Sanhita ', line, ' sec') when 27 then '398' when 28 then concat('IPC ', line) else line end as line"""
 
 
 def dominant(spark, sf):
@@ -248,12 +250,10 @@ PLANS = {
     "c14_dominant_section": (
         dominant,
         fx.duck("act_lines", body=f"""with x as (select act_id, line_no, {REFERRING} from act_lines),
- h as (select *, right(line, 80) || chr(10) || coalesce(left(lead(line) over (partition by act_id order by line_no), 80), '') as joined from x),
- l as (select act_id, line_no, list_concat(regexp_extract_all(line, '{SECTION}'),
-   list_filter(regexp_extract_all(joined, '{SECTION}'), lambda m: contains(m, chr(10)))) as ms from h),
- y as (select act_id, line_no, regexp_extract(unnest(ms), '[0-9]{{1,4}}') as a, unnest(range(len(ms))) as nth from l),
- z as (select act_id, line_no, nth, cast(a as int) as section from y),
- g as (select act_id, section, count(*) as mentions, min(line_no * 1000 + nth) as f from z where section between 378 and 402 or section between 303 and 313 group by 1, 2),
+ t as (select act_id, string_agg(line, chr(10) order by line_no) as body from x group by 1),
+ l as (select act_id, regexp_extract_all(body, '{SECTION}') as ms from t),
+ y as (select act_id, cast(regexp_extract(unnest(ms), '[0-9]{{1,4}}') as int) as section, unnest(range(len(ms))) as nth from l),
+ g as (select act_id, section, count(*) as mentions, min(nth) as f from y where section between 378 and 402 or section between 303 and 313 group by 1, 2),
  r as (select *, row_number() over (partition by act_id order by mentions desc, f) as rk, lead(mentions) over (partition by act_id order by mentions desc, f) as nextm from g)
  select a.act_id, cast(section as varchar) || case when section between 303 and 313 then ' BNS' else ' IPC' end as primary_section, mentions, nextm as runner_up,
   case when section is null then 'low' when nextm is null or mentions >= 3 * nextm then 'high' else 'medium' end as confidence
