@@ -5,13 +5,15 @@ words by weight and stop at ``max_repeats`` times what a source has; the excess
 is shared again by weight.  That is one water level: ``target = min(weight *
 level, max_repeats * words)``, found by raising the level until no further
 source stops.  A source's rate is its target over its words: every document is
-taken ``floor(rate)`` times, plus one copy by a hash-seeded Bernoulli draw with
-the rate's fraction as probability.
-
-The draw of a document is a hash of its id.  There are ``DRAWS`` such draws,
-all with the same probability; each source uses the one whose total comes
-nearest to its target, so a source with few long documents does not miss it by
-chance.
+taken ``floor(rate)`` times, plus one copy by a hash-seeded draw that comes up
+with the rate's fraction as probability.
+
+Draws are systematic.  A source has one offset, uniform by the hash of its name,
+and its documents stand in an order of their size class and the hash of their
+id.  The document at place r gets the copy where ``r * fraction + offset`` passes a
+whole number on the way to the next place: with exactly the fraction as its
+probability over the offset, and each stretch of the order, so each class of
+sizes, with its share to within one document.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ from folioflow.llm.common import NON_SPACES, staged, table, text_or_empty
 # The weights, repeated along the sources in code point order.
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-# md5 gives 4 draws of 32 bits each.
-DIGESTS = 4
-DRAWS = 4 * DIGESTS
+# Places are counted in this many slices of a size class first, so no task sees a whole source.
+SLICES = 256
 
 
 def word_count(col: str = "text") -> Column:
@@ -88,10 +89,32 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     return weighed.withColumn("target", target)
 
 
-def _draws(key: Column) -> Column:
-    """``DRAWS`` integers of 32 bits from md5 digests of the id and a number."""
-    digests = [F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{k}"))) for k in range(DIGESTS)]
-    return F.array(*[F.conv(F.substring(d, 1 + 8 * i, 8), 16, 10).cast("long") for d in digests for i in range(4)])
+def _draw(key: Column) -> Column:
+    """32 bits of the md5 digest."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
+
+
+def size_class(size: Column) -> Column:
+    """Sizes by their three leading bits."""
+    bits = F.length(F.bin(size))
+    return (bits * 8 + F.call_function("shiftright", size, F.greatest(bits - 3, F.lit(0)))).cast("long")
+
+
+def with_places(sizes: DataFrame) -> DataFrame:
+    """``place``: rank from 0 of (size class, draw, id) within the source; rows that agree in all share it.
+
+    Slices of a class are counted with a map-side combine, ranks are only
+    sorted within a slice, and a window adds up the few slices before.
+    """
+    keyed = sizes.withColumn("_draw", _draw(F.col("doc_id"))).withColumn("_class", size_class(F.col("size")))
+    keyed = keyed.withColumn("_slice", F.col("_class") * SLICES + F.shiftright("_draw", 24))
+    counts = keyed.groupBy("source", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(F.col("source").alias("_s"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("source", "_slice").orderBy("_draw", "doc_id")
+    ranked = keyed.withColumn("_within", F.rank().over(within) - 1)
+    joined = ranked.join(carried, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_at")))
+    return joined.select(*sizes.columns, (F.col("_before") + F.col("_within")).alias("place"))
 
 
 def repetitions(
@@ -101,9 +124,10 @@ def repetitions(
     """(doc_id, source, size, source_size, target, copies) for every row of ``docs``.
 
     Null texts have no words; a null source is a source of its own, the last in
-    order.  Rows with the same id draw alike.  Documents without words get the
-    copies of their source.  A source without words has target 0 and its
-    documents are taken 0 times.
+    order.  Rows that agree in id, source and size draw alike.  Documents without
+    words get the copies of their source.  A source without words has target 0
+    and its documents are taken 0 times.  An empty table gives no rows, a long
+    text is counted whole, other columns are not looked at.
     """
     sizes = staged(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "mix-sizes"
@@ -111,23 +135,11 @@ def repetitions(
     # Renamed before it meets `sizes`, from which it derives.
     targets = staged(source_targets(sizes, weights, max_repeats), "mix-targets").withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = (
-        sizes.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_whole", F.floor(rate))
-        # 32 bit draws below this bound give the extra copy.
-        .withColumn("_bound", F.floor((rate - F.col("_whole")) * F.lit(2.0**32)).cast("long"))
-        .withColumn("_draws", _draws(F.col("doc_id")))
-    )
-    sums = [F.sum(F.when(F.col("_draws")[i] < F.col("_bound"), F.col("size")).otherwise(0)).alias(f"_sum{i}") for i in range(DRAWS)]
-    totals = joined.groupBy("_source").agg(
-        F.first("target").alias("_t"), F.sum(F.col("_whole") * F.col("size")).alias("_base"), *sums,
-    )
-    misses = F.array(*[F.struct(F.abs(F.col("_base") + F.col(f"_sum{i}") - F.col("_t")).alias("miss"), F.lit(i).alias("i")) for i in range(DRAWS)])
-    chosen = totals.select(F.col("_source").alias("_s"), F.array_min(misses)["i"].alias("_draw"))
-    return joined.join(chosen, F.col("_source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("_whole") + (F.col("_draws")[F.col("_draw")] < F.col("_bound")).cast("long")).alias("copies"),
-    )
+    joined = with_places(sizes).join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
+    part = F.col("_rate") - F.floor("_rate")
+    offset = _draw(F.col("source")) / F.lit(2.0**32)
+    extra = F.floor((F.col("place") + 1) * part + offset) > F.floor(F.col("place") * part + offset)
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.floor("_rate") + extra.cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -178,19 +190,16 @@ level as (
   from w, level
 ), rated as (
   select d.doc_id, d.source, d.size, t.source_size, t.target,
-    case when t.source_size > 0 then t.target / t.source_size::double else 0.0 end as rate
+    case when t.source_size > 0 then t.target / t.source_size::double else 0.0 end as rate,
+    ('0x' || substr(md5(coalesce(d.doc_id::varchar, 'null')), 1, 8))::bigint as draw,
+    ('0x' || substr(md5(coalesce(d.source, 'null')), 1, 8))::bigint / 4294967296.0::double as first
   from sizes d join target t on d.source is not distinct from t.source
-), drawn as (
-  select r.*, floor(rate)::bigint as whole, floor((rate - floor(rate)) * 4294967296.0)::bigint as bound, k.i,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':' || (k.i // 4)::varchar), 1 + 8 * (k.i % 4)::int, 8))::bigint as draw
-  from rated r, range(16) k(i)
-), best as (
-  select source, i from (
-    select source, i, abs(sum(whole * size) + sum(case when draw < bound then size else 0 end) - any_value(target)) as miss
-    from drawn group by source, i
-  ) qualify row_number() over (partition by source order by miss, i) = 1
+), placed as (
+  select *, rank() over (partition by source order by len(bin(size)) * 8 + (size >> greatest(len(bin(size)) - 3, 0)), draw, doc_id) - 1 as place,
+    rate - floor(rate) as part
+  from rated
 )
-select d.doc_id, d.size, d.source_size, d.target,
-  ((d.whole + (d.draw < d.bound)::bigint) * d.size)::bigint as taken
-from drawn d join best b on d.source is not distinct from b.source and d.i = b.i
+select doc_id, size, source_size, target,
+  ((floor(rate)::bigint + (floor((place + 1) * part + first) > floor(place * part + first))::bigint) * size)::bigint as taken
+from placed
 """

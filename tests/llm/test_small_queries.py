@@ -54,6 +54,18 @@ def test_mix(spark):
     assert out.count() == again == plan.agg(F.sum("copies")).first()[0]
 
 
+def test_mix_probability(spark):
+    """One-document sources: the share of extra copies is the fraction; one source: every stretch has its share."""
+    docs = spark.createDataFrame([(i, "w w", f"s{i:04}", 0) for i in range(3000)], DOCS)
+    for row in repetitions(docs).groupBy("target").agg(F.count("*").alias("n"), F.avg("copies").alias("mean")).collect():
+        rate = row.target / 2
+        part = rate - int(rate)
+        assert abs(row["mean"] - rate) < 4 * (part * (1 - part) / row.n) ** 0.5 + 1e-9
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "a" if i % 2 else "b", 0) for i in range(2000)], DOCS)
+    for row in repetitions(docs).groupBy("source", "size").agg(F.first("target").alias("t"), F.first("source_size").alias("s"), F.count("*").alias("n"), F.sum("copies").alias("c")).collect():
+        assert abs(row.c - row.n * row.t / row.s) <= 1
+
+
 def test_mix_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert repetitions(docs).count() == 0 and mixed(docs).count() == 0
