@@ -47,6 +47,34 @@ def test_pairs():
     assert literals("The secret: everyone knows that the word is out") == []
 
 
+def test_strings_of_any_form():
+    assert literals('password = """hunter2Long9x"""') == ["hunter2Long9x"]
+    assert literals("password = \'\'\'hunter2\'Long9x\'\'\'\ntoken = b\"Zk3-aQ92bX_p\"") == ["hunter2'Long9x", "Zk3-aQ92bX_p"]
+    for joint in ('" + \\\n  "', '" +\n  "', '"\n   + "', '" \\\n "'):
+        assert literals(f'db_password = "hunter2Qz{joint}Long9xVt"') == ["hunter2Qz", "Long9xVt"], joint
+    assert literals('db_password = (\n "hunter2Qz"\n  "Long9xVt" + "pP0"\n)') == ["hunter2Qz", "Long9xVt", "pP0"]
+    assert literals('db_password = "hunter2Qz"\nother "Long9xVt"') == ["hunter2Qz"]
+
+
+def test_constants_of_any_number():
+    for n in (16, 17, 400):
+        parts = " + ".join(f'"k{i}Zq"' for i in range(n))
+        assert len(literals(f"P = {parts}\nsecret = P")) == n
+        # What the name was given before no longer counts.
+        assert literals(f'P = "Old1Value9zz"\nP = {parts}\nsecret = P')[0] == "k0Zq"
+    assert literals('P = "Old1Value9zz"\nP = make()\nsecret = P') == []
+    assert literals('P = "Old1Value9zz"\nif P == other:\n  secret = P') == ["Old1Value9zz"]
+    assert literals('P = "Old1Val"\nP += "ue9zz"\nsecret = P\nP = "x"') == ["Old1Val", "ue9zz"]
+    assert literals('password = "xxxxxxxxxxxx"\ntoken = "<put-yours-h3re>"\nsecret = "your9SecretZ"') == []
+
+
+def test_constants_are_shared():
+    doubling = 'A0 = "aB3$xY7!"\n' + "".join(f"A{i + 1} = A{i} + A{i}\n" for i in range(200)) + "secret = A200"
+    assert literals(doubling) == ["aB3$xY7!"]
+    chain = 'secret0 = "aB3xY7qq"\n' + "".join(f'secret{i + 1} = secret{i} + "q{i}"\n' for i in range(5000))
+    assert len(literals(chain)) == 5001
+
+
 def test_columns_stay(spark):
     docs = spark.createDataFrame([(1, "token = abcdef1234", "x"), (2, None, None)], "doc_id long, text string, spans string")
     rows = scan_secrets(docs).collect()
