@@ -176,16 +176,22 @@ def window_counts(texts: DataFrame, marks: list[np.ndarray], bits: int) -> DataF
                 for k, open_ in enumerate((pairs, triples, triples & np.append(triples[1:], False)), 1):
                     lead = np.append(words.code[k:], np.zeros(k, np.int64))[: len(words)]
                     columns.append(np.where(open_, lead + 1, 0))
+                base, own = len(words.names) + 1, lang_code[first:][words.row]
+                single = columns[1] == 0
+                # Most windows are one word long.
+                alone, n_alone = np.unique(own[single] * base + columns[0][single], return_counts=True)
+                rest = np.flatnonzero(~single)
+                own, columns = own[rest], [c[rest] for c in columns]
                 # Exact keys: pairs of columns become dense numbers before they meet.
-                base = len(words.names) + 1
-                own = lang_code[first:][words.row]
                 _, head = np.unique((own * base + columns[0]) * base + columns[1], return_inverse=True)
                 tails, tail = np.unique(columns[2] * base + columns[3], return_inverse=True)
                 _, at, n = np.unique(head * len(tails) + tail, return_index=True, return_counts=True)
-                out = [names.dictionary.take(pa.array(own[at])), words.names.take(pa.array(columns[0][at]))]
+                pad = np.zeros(len(alone), np.int64)
+                out = [names.dictionary.take(pa.array(np.append(own[at], alone // base))), words.names.take(pa.array(np.append(columns[0][at], alone % base)))]
                 for column in columns[1:]:
-                    out.append(words.names.take(pa.array(column[at] - 1, mask=column[at] == 0)))
-                yield pa.record_batch([*(c.cast(pa.string()) for c in out), pa.array(n)], ["lang", *words_of, "n"])
+                    lead = np.append(column[at], pad)
+                    out.append(words.names.take(pa.array(lead - 1, mask=lead == 0)))
+                yield pa.record_batch([*(c.cast(pa.string()) for c in out), pa.array(np.append(n, n_alone))], ["lang", *words_of, "n"])
 
     local = texts.mapInArrow(count, T.StructType().add("lang", "string").add("w1", "string").add("w2", "string").add("w3", "string").add("w4", "string").add("n", "long"))
     return local.groupBy("lang", *words_of).agg(F.sum("n").alias("n"))
