@@ -14,6 +14,7 @@ from folioflow.functions.ranking import median, top_k
 from folioflow.functions.text import normalize_query
 from folioflow.functions.vectors import SCORE_DIGITS, RunningTopK, cosines, unit_rows
 from folioflow.operators.bm25 import SegmentIndex, bm25_topk
+from folioflow.operators.nearest import nearest_above
 from folioflow.sources.files import staged
 from folioflow.sources.log_store import upsert_latest
 
@@ -282,14 +283,17 @@ def exact_cache_lookup(queries: DataFrame, cache: DataFrame, version: str) -> Da
 def semantic_cache_lookup(
     queries: DataFrame, cache: DataFrame, version: str, dim: int, threshold: float = SEMANTIC_THRESHOLD
 ) -> DataFrame:
-    """Nearest cached query of the same version, if its cosine is above the threshold."""
+    """Nearest cached query of the same version, if its cosine is above the threshold.
+
+    Pairs that the triangle inequality excludes are never compared; vectors that
+    cannot be scored, as ``vector_topk`` has them, find nothing.
+    """
     entries = cache.filter(F.col("corpus_version") == version).select(
         F.col("cached_id").alias("chunk_id"), F.col("cached_vec").alias("embedding")
     )
-    nearest = vector_topk(entries, queries, dim, k=1)
-    return nearest.filter(F.col("score") > threshold).select(
-        "query_id", F.col("chunk_id").alias("cached_id"), "score"
-    )
+    entries = entries.filter(_vector_problem(F.col("embedding"), dim).isNull())
+    asked = queries.filter(_vector_problem(F.col("query_vec"), dim).isNull())
+    return nearest_above(entries, asked, threshold).withColumnRenamed("chunk_id", "cached_id")
 
 
 def store_answers(cache: DataFrame, answers: DataFrame, version: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow import fixtures as fx
-from folioflow.operators import bm25, embed, index, retrieve
+from folioflow.operators import bm25, embed, index, nearest, retrieve
 from folioflow.plans.logs import rounded
 from folioflow.session import configure, stage_path
 
@@ -184,6 +184,14 @@ def cosine_mixed(spark, sf):
     return retrieve.vector_topk(*mixed_vectors(spark, sf), fx.DIM, 20)
 
 
+def lsh_recall(spark, sf):
+    """How much of the exact result the hashed search finds, for every vector whose id is divisible by 50."""
+    entries = vectors(spark, sf).select("chunk_id", "embedding")
+    queries = entries.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = retrieve.vector_topk(entries, queries, fx.DIM, 20)
+    return nearest.recall(nearest.lsh_topk(entries, queries, 20), exact)
+
+
 def rejected(spark, sf):
     return retrieve.rejected_vectors(*mixed_vectors(spark, sf), fx.DIM)
 
@@ -432,6 +440,8 @@ PLANS = {
     ),
     "f5_vector_topk": (cosine, fx.duck("vec_queries", body=cos_sql())),
     "f5_vector_mixed_dims": (cosine_mixed, fx.duck("vec_queries", body=cos_sql())),
+    # Approximate by design: no twin, its recall is tested.
+    "f5_vector_lsh": (lsh_recall, None),
     "f5_rejected_vectors": (
         rejected,
         """select 'chunk' as side, -1 - vec_id as id, case vec_id % 3 when 0 then 'dimension' when 1 then 'missing' else 'not_finite' end as reason from embeddings where vec_id % 5 = 0
