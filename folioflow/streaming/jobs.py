@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from folioflow.functions.ranking import latest_by_key, top_k
 from folioflow.operators.loganalytics import CLIENT_DAILY_LIMIT
 from folioflow.session import stage_path
 from folioflow.sources.log_store import COUNTER_TTL_HOURS
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_daily(log: DataFrame, delay: str = "1 day") -> DataFrame:
     """Daily counters over UTC days; rows later than ``delay`` behind are dropped.
@@ -35,41 +37,75 @@ def stream_daily(log: DataFrame, delay: str = "1 day") -> DataFrame:
     return days.select(F.to_date("window.start").alias("log_date"), *days.columns[1:])
 
 
-def stream_quota(log: DataFrame, limit: int = CLIENT_DAILY_LIMIT, delay: str = "1 day") -> DataFrame:
-    """In-scope requests within the daily quota of their client.
+def first_by_task(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Of what a map task reads of each key, the first ``limit`` rows by time and id.
 
-    State per (client, day) is the number of requests admitted; it expires 48
-    hours after the day.  Within a micro-batch requests count in time order.
-    Only the first free places are kept while a key's rows stream through, so
-    a client with very many requests does not fill memory.
+    The later ones cannot be among the first of the key.  A client with any share
+    of a micro-batch so sends ``limit`` rows per task to its state.
     """
-    output = T.StructType(
-        [log.schema["hashed_ip"], log.schema["log_date"], log.schema["request_id"], log.schema["ts"]]
-    )
-    names = [f.name for f in output.fields]
-
-    def admit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        free = max(limit - used, 0)
+    order = ["ts", "request_id"]
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for frame in frames:
             pool = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            first = np.lexsort((pool["request_id"].to_numpy(), pool["ts"].to_numpy()))[:free]
-            held = pool.iloc[first]
+            held = pool.sort_values(order, kind="stable").groupby(list(keys), sort=False, dropna=False).head(limit)
+        if held is not None:
+            yield held
+
+    return rows.mapInPandas(cut, rows.schema)
+
+
+class DailyQuota(StatefulProcessor):
+    """Requests of a (client, day) in time order until the limit; a timer clears the count after the day."""
+
+    def __init__(self, limit: int, columns: Sequence[str]):
+        self.limit, self.columns = limit, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", T.StructType().add("n", T.LongType()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        used = self.used.get()[0] if self.used.exists() else 0
+        free = max(self.limit - used, 0)
+        held = None
+        for frame in rows:
+            pool = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            held = pool.iloc[np.lexsort((pool["request_id"].to_numpy(), pool["ts"].to_numpy()))[:free]]
         admitted = 0 if held is None else len(held)
-        state.update((used + admitted,))
-        day_end = dt.datetime.combine(key[1], dt.time(), dt.timezone.utc) + dt.timedelta(days=1)
-        expiry = int((day_end + dt.timedelta(hours=COUNTER_TTL_HOURS)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+        if not self.used.exists():
+            day_end = dt.datetime.combine(key[1], dt.time(), dt.timezone.utc) + dt.timedelta(days=1)
+            expiry = int((day_end + dt.timedelta(hours=COUNTER_TTL_HOURS)).timestamp() * 1000)
+            self.handle.registerTimer(max(expiry, timerValues.getCurrentWatermarkInMs() + 1))
+        self.used.update((used + admitted,))
         if admitted:
-            yield held
+            yield held[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.used.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
-    in_scope = log.filter(~F.col("rejected")).withWatermark("ts", delay).select(*names)
-    return in_scope.groupBy("hashed_ip", "log_date").applyInPandasWithState(
-        admit, output, "admitted long", "append", GroupStateTimeout.EventTimeTimeout
+def stream_quota(log: DataFrame, limit: int = CLIENT_DAILY_LIMIT, delay: str = "1 day") -> DataFrame:
+    """In-scope requests within the daily quota of their client.
+
+    State per (client, day) is the number of requests admitted; an event-time
+    timer clears it 48 hours after the day.  Within a micro-batch requests count
+    in time order.  Map tasks cut each key to its first ``limit`` rows ahead of the
+    shuffle, so no key is more than that many rows per task.  The state lives in
+    RocksDB, which ``transformWithState`` needs.
+    """
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keys = ["hashed_ip", "log_date"]
+    output = T.StructType([log.schema[c] for c in (*keys, "request_id", "ts")])
+    in_scope = log.filter(~F.col("rejected")).select(*output.fieldNames())
+    firsts = first_by_task(in_scope, keys, limit).withWatermark("ts", delay)
+    return firsts.groupBy(*keys).transformWithStateInPandas(
+        DailyQuota(limit, output.fieldNames()), output, outputMode="append", timeMode="EventTime"
     )
 
 

@@ -61,6 +61,23 @@ def test_quota_spans_batches(spark):
     assert sorted(r.request_id for r in native.collect()) == [0, 1, 2, 10, 11, 30]
 
 
+def test_quota_of_a_hot_client(spark):
+    """A client with most rows is cut in the map tasks; counts clear after their day."""
+    hot = [row(1000 + i, i % 700, ip="hot") for i in range(900)] + [row(i, i, ip=f"c{i}") for i in range(300)]
+    firsts = jobs.first_by_task(spark.createDataFrame(hot, SCHEMA).repartition(6).select("hashed_ip", "log_date", "request_id", "ts"), ["hashed_ip", "log_date"], 5)
+    assert firsts.filter("hashed_ip = 'hot'").count() <= 6 * 5 and firsts.count() >= 305
+    day = 60 * 24
+    stream = source(spark, [hot, [row(5000, day * 9)], [row(5001, day * 9 + 1)], [row(5002, 30, ip="hot")]])
+    path = stage_path(spark, "quota")
+    jobs.drain(jobs.stream_quota(stream, limit=5), path)
+    got = spark.read.parquet(path)
+    want = sorted((r[1], r[0]) for r in hot if r[3] == "hot")[:5]
+    first = sorted(r.request_id for r in got.filter("hashed_ip = 'hot' and request_id < 5000").collect())
+    assert first == sorted(i for _, i in want)
+    assert got.filter("hashed_ip like 'c%'").count() == 300
+    assert got.filter("hashed_ip = 'a'").count() == 2
+
+
 def test_dedup_over_batches(spark):
     stream = source(spark, [[row(1, 0), row(2, 1)], [row(2, 1), row(3, 2)]])
     path = stage_path(spark, "dedup")
