@@ -120,6 +120,9 @@ def citation_cards(verified: DataFrame, hits: DataFrame) -> DataFrame:
         F.when(F.length("text") > EXCERPT_CHARS, F.concat(F.substring("text", 1, EXCERPT_CHARS), F.lit("…")))
         .otherwise(F.col("text"))
         .alias("excerpt"),
+        # A case's page comes before the address it was collected from; acts have no separate file.
+        F.when(is_act, F.col("source_url")).otherwise(F.coalesce(F.nullif(F.col("indian_kanoon_url"), F.lit("")), F.col("source_url"))).alias("source_url"),
+        F.when(is_act, F.lit(None)).otherwise(F.col("pdf_filename")).alias("pdf_url"),
         F.when(is_act, F.lit(None)).otherwise(F.col("court")).alias("court"),
         F.when(is_act, F.lit(None)).otherwise(F.col("year")).alias("year"),
     )

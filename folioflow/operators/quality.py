@@ -167,6 +167,33 @@ def backfill_hashes(manifest: DataFrame, listing: DataFrame, failures: DataFrame
     return joined.withColumn("stored_sha256", filled).drop("__computed")
 
 
+def _no_failure(failures: DataFrame) -> Column:
+    return failures.agg(F.count("*").alias("n")).scalar() == 0
+
+
+def backfill_judgments(judgments: DataFrame, listing: DataFrame, failures: DataFrame) -> DataFrame:
+    """Judgments with ``html_sha256`` and ``pdf_sha256`` of the files in their folder.
+
+    Both are overwritten where both declared files are there, neither where one
+    is missing, and nothing at all if any check failed.
+    """
+    own = lambda name, out: listing.select("folder", F.col("filename").alias(name), F.col("sha256").alias(out))
+    joined = judgments.join(own("html_filename", "__html"), ["folder", "html_filename"], "left").join(
+        own("pdf_filename", "__pdf"), ["folder", "pdf_filename"], "left"
+    )
+    fills = _no_failure(failures) & F.col("__html").isNotNull() & F.col("__pdf").isNotNull()
+    filled = {"html_sha256": F.col("__html"), "pdf_sha256": F.col("__pdf")}
+    return joined.select(*[F.when(fills, filled[c]).otherwise(F.col(c)).alias(c) if c in filled else c for c in judgments.columns])
+
+
+def backfill_acts(acts: DataFrame, listing: DataFrame, failures: DataFrame) -> DataFrame:
+    """Acts with the ``sha256`` of their file, which lies outside any folder; unless any check failed."""
+    computed = listing.filter("folder is null").select("filename", F.col("sha256").alias("__computed"))
+    joined = acts.join(computed, "filename", "left")
+    filled = F.when(_no_failure(failures), F.coalesce("__computed", "sha256")).otherwise(F.col("sha256"))
+    return joined.select(*[filled.alias(c) if c == "sha256" else c for c in acts.columns])
+
+
 def verification_summary(spark, findings: dict[str, DataFrame]) -> DataFrame:
     """Count per check over all six checks; a check without findings shows zero."""
     categories = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in CHECKS])).alias("check"))

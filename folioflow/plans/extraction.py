@@ -139,6 +139,9 @@ HIT_META = [
     "case when doc_id % 4 <> 1 then concat('AIR ', cast(doc_id as {t})) end as citation",
     "case when doc_id % 8 <> 0 then source end as court",
     "case when doc_id % 9 <> 0 then cast(1900 + doc_id % 100 as int) end as year",
+    "case when doc_id % 7 <> 0 then concat('https://files.example/', cast(doc_id as {t})) end as source_url",
+    "case doc_id % 5 when 0 then '' when 1 then concat('https://cases.example/doc/', cast(doc_id as {t})) end as indian_kanoon_url",
+    "case when doc_id % 6 <> 2 then concat('case_', cast(doc_id as {t}), '.pdf') end as pdf_filename",
 ]
 
 
@@ -302,6 +305,8 @@ PLANS = {
  select us.query_id, us.card_index, us.marker, h.chunk_id, coalesce(source_type, 'act') as source_type,
   case when coalesce(source_type, 'act') = 'act' then coalesce(short_name, act_id) || ' §' || section_number else coalesce(h.citation, case_name, '') end as citation,
   case when length(text) > 300 then substr(text, 1, 300) || '…' else text end as excerpt,
+  case when source_type = 'judgment' and indian_kanoon_url <> '' then indian_kanoon_url else source_url end as source_url,
+  case when source_type = 'judgment' then pdf_filename end as pdf_url,
   case when source_type = 'judgment' then court end as court, case when source_type = 'judgment' then year end as year
  from us join h on h.query_id = us.query_id and h.rank = us.marker"""),
     ),

@@ -177,6 +177,24 @@ def backfill(spark, sf):
     return filled.unionByName(kept).select("folder", "checks", "stored_sha256")
 
 
+def hashed_files(spark, sf):
+    return fx.file_listing(spark, sf).withColumn("sha256", F.sha2(F.concat_ws("/", "folder", "filename"), 256))
+
+
+def backfill_pairs(spark, sf):
+    """Judgments once without a failed check, once with some."""
+    m = fx.manifest(spark, sf).selectExpr("folder", "html_filename", "pdf_filename", "stored_sha256 as html_sha256", "case when year % 2 = 0 then stored_sha256 end as pdf_sha256")
+    drifted = q.hash_drift(fx.manifest(spark, sf), fx.listing(spark, sf))
+    filled = q.backfill_judgments(m, hashed_files(spark, sf), drifted.filter("false")).withColumn("checks", F.lit("clean"))
+    kept = q.backfill_judgments(m, hashed_files(spark, sf), drifted).withColumn("checks", F.lit("failed"))
+    return filled.unionByName(kept).drop("html_filename", "pdf_filename")
+
+
+def backfill_act_files(spark, sf):
+    acts = fx.declared_acts(spark, sf).withColumn("sha256", F.when(F.length("filename") % 2 == 0, F.sha2("filename", 256)))
+    return q.backfill_acts(acts, hashed_files(spark, sf), acts.filter("false"))
+
+
 def check_summary(spark, sf):
     violations = rule_violations(spark, sf)
     return q.verification_summary(
@@ -393,6 +411,19 @@ PLANS = {
         backfill,
         fx.duck("manifest", "listing", body="""select m.folder, 'clean' as checks, coalesce(l.sha256, m.stored_sha256) as stored_sha256 from manifest m left join listing l on l.folder = m.folder
  union all select folder, 'failed', stored_sha256 from manifest"""),
+    ),
+    "b9_backfill_judgments": (
+        backfill_pairs,
+        fx.duck("manifest", "listing", "file_listing", body="""select m.folder, 'clean' as checks,
+  case when h.filename is not null and p.filename is not null then sha256(m.folder || '/' || html_filename) else stored_sha256 end as html_sha256,
+  case when h.filename is not null and p.filename is not null then sha256(m.folder || '/' || pdf_filename) when year % 2 = 0 then stored_sha256 end as pdf_sha256
+ from manifest m left join file_listing h on h.folder = m.folder and h.filename = html_filename left join file_listing p on p.folder = m.folder and p.filename = pdf_filename
+ union all select folder, 'failed', stored_sha256, case when year % 2 = 0 then stored_sha256 end from manifest"""),
+    ),
+    "b9_backfill_acts": (
+        backfill_act_files,
+        fx.duck("file_listing", "declared_acts", body="""select a.filename, case when f.filename is not null then sha256(f.filename) when length(a.filename) % 2 = 0 then sha256(a.filename) end as sha256
+ from declared_acts a left join file_listing f on f.folder is null and f.filename = a.filename"""),
     ),
     "b10_verification_summary": (
         check_summary,

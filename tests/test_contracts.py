@@ -112,10 +112,27 @@ def test_citations(spark):
 
 def test_card_index_differs_from_marker(spark):
     verified = citations.verify_citations(spark.createDataFrame([(1, "x [4] y [2]", 5)], "query_id int, answer_text string, n_sources int"))
-    meta = "query_id int, rank int, chunk_id string, text string, source_type string, short_name string, act_id string, section_number string, citation string, case_name string, court string, year int"
-    hits = spark.createDataFrame([(1, n, f"c{n}", "t" * 301, "act", "", "act1", "5", None, None, "court", 1999) for n in range(1, 6)], meta)
+    meta = "query_id int, rank int, chunk_id string, text string, source_type string, short_name string, act_id string, section_number string, citation string, case_name string, court string, year int, source_url string, indian_kanoon_url string, pdf_filename string"
+    hits = spark.createDataFrame([(1, n, f"c{n}", "t" * 301, "act", "", "act1", "5", None, None, "court", 1999, "u", "k", "p.pdf") for n in range(1, 6)], meta)
     cards = sorted((r.card_index, r.marker, r.citation, len(r.excerpt), r.court) for r in citations.citation_cards(verified, hits).collect())
     assert cards == [(1, 4, "act1 §5", 301, None), (2, 2, "act1 §5", 301, None)]
+    kinds = [("act", "k"), ("judgment", "k"), ("judgment", ""), ("judgment", None), (None, "k")]
+    hits = spark.createDataFrame([(1, n, f"c{n}", "t", kind, "", "a", "5", None, None, None, 1999, "u", url, "p.pdf") for n, (kind, url) in enumerate(kinds, 1)], meta)
+    verified = citations.verify_citations(spark.createDataFrame([(1, "[1][2][3][4][5]", 5)], "query_id int, answer_text string, n_sources int"))
+    links = sorted((r.card_index, r.source_url, r.pdf_url) for r in citations.citation_cards(verified, hits).collect())
+    assert links == [(1, "u", None), (2, "k", "p.pdf"), (3, "u", "p.pdf"), (4, "u", "p.pdf"), (5, "u", None)]
+
+
+def test_hashes_need_both_files(spark):
+    cases = spark.createDataFrame([("a", "x.html", "x.pdf", "old", None), ("b", "y.html", "y.pdf", None, "old"), ("c", "z.html", None, None, None)], "folder string, html_filename string, pdf_filename string, html_sha256 string, pdf_sha256 string")
+    listing = spark.createDataFrame([("a", "x.html", "h1"), ("a", "x.pdf", "p1"), ("b", "y.html", "h2"), ("c", "z.html", "h3"), ("b", "x.pdf", "p9"), (None, "act.pdf", "a1")], "folder string, filename string, sha256 string")
+    none, one = listing.filter("false"), listing.limit(1)
+    shown = lambda df: sorted((r.folder, r.html_sha256, r.pdf_sha256) for r in df.collect())
+    assert shown(quality.backfill_judgments(cases, listing, none)) == [("a", "h1", "p1"), ("b", None, "old"), ("c", None, None)]
+    assert shown(quality.backfill_judgments(cases, listing, one)) == [("a", "old", None), ("b", None, "old"), ("c", None, None)]
+    acts = spark.createDataFrame([("1", "act.pdf", "old"), ("2", "gone.pdf", "old"), ("3", "x.pdf", None)], "act_id string, filename string, sha256 string")
+    assert sorted((r.act_id, r.sha256) for r in quality.backfill_acts(acts, listing, none).collect()) == [("1", "a1"), ("2", "old"), ("3", None)]
+    assert sorted((r.act_id, r.sha256) for r in quality.backfill_acts(acts, listing, one).collect()) == [("1", "old"), ("2", "old"), ("3", None)]
 
 
 def test_fills(spark):
