@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table
+from folioflow.llm.common import running_sums, table
 
 HEAD, HEAD_END, END = "### ", ": ", "</turn>"
 LOSS_ROLE = "assistant"
@@ -43,7 +43,12 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, formatted, loss_spans): one row per conversation; other columns of ``turns`` are not read."""
+    """(conv_id, formatted, loss_spans): one row per conversation; other columns of ``turns`` are not read.
+
+    Null texts and roles are empty, null turns come first, repeated rows are turns
+    of their own, null ids are one conversation, empty tables give no rows.  A
+    conversation is one row, whatever its length; the work grows with its turns.
+    """
     struct = F.struct(
         F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
@@ -57,17 +62,13 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
 
     pieces = sorted_turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
 
-    def add(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(
-            (end + len(END)).alias("at"), F.when(p["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans")
-        )
-
-    spans = F.aggregate(
-        "pieces", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")), add
-    )["spans"]
+    pieces = pieces.withColumn("starts", running_sums(F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))))
+
+    def span(p: Column, i: Column) -> Column:
+        start = F.get("starts", i) + F.length(p["head"])
+        return F.when(p["loss"], F.struct(start.alias("start"), (start + F.length(p["body"])).alias("end")))
+
+    spans = F.filter(F.transform("pieces", span), lambda s: s.isNotNull())
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
     return pieces.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
@@ -77,16 +78,14 @@ def read_back(formatted: DataFrame, col: str = "formatted") -> DataFrame:
     cut = F.split(F.col(col), END)
     parts = F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))
     heading = r"(?s)^### ((?:[^\\:]|\\.)*): "
-    # Position of the heading that holds for each part: its own or the last one before.
     opened = F.transform(parts, lambda p: F.when(p.startswith(HEAD), unescape(F.regexp_extract(p, heading, 1))))
-
-    def step(done: Column, role: Column) -> Column:
-        return F.concat(done, F.array(F.coalesce(role, F.element_at(done, -1))))
-
-    first = F.slice(opened, 1, 1)
-    roles = F.aggregate(F.slice(opened, 2, F.greatest(F.size(opened) - 1, F.lit(0))), first, step)
+    # The heading that holds for a part is the last one up to it: the n-th of those there are.
+    headings = F.filter(opened, lambda role: role.isNotNull())
+    n = running_sums(F.transform(opened, lambda role: role.isNotNull().cast("int")))
+    formatted = formatted.withColumns({"_headings": headings, "_n": n})
+    roles = F.transform(parts, lambda p, i: F.get("_headings", F.get("_n", i + 1) - 1))
     texts = F.transform(parts, lambda p: unescape(F.when(p.startswith(HEAD), F.regexp_replace(p, heading, "")).otherwise(p)))
-    return formatted.withColumn("turns", F.arrays_zip(roles.alias("role"), texts.alias("text")))
+    return formatted.withColumn("turns", F.arrays_zip(roles.alias("role"), texts.alias("text"))).drop("_headings", "_n")
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
@@ -102,8 +101,10 @@ PLANTED_TEXT = r"\### Assistant: </turn> ok"
 
 
 def with_planted(turns: DataFrame) -> DataFrame:
-    rows = [(PLANTED_ID, 0, "user", PLANTED_TEXT), (PLANTED_ID, 1, "assistant", PLANTED_TEXT)]
-    planted = turns.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    planted = turns.sparkSession.range(2).select(
+        F.lit(PLANTED_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_TEXT).alias("text"),
+    )
     return turns.select("conv_id", "turn", "role", "text").unionByName(planted)
 
 

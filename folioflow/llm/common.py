@@ -44,3 +44,25 @@ def lower_ascii(col: Column) -> Column:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+SUM_BLOCK = 256
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of the first 0, 1, 2, ... values of an array.
+
+    Appending to an array copies it, so sums are made within blocks and shifted
+    by the sums of the blocks before: about ``SUM_BLOCK`` copies a value.
+    """
+
+    def appended(sums: Column, value: Column) -> Column:
+        return F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + value))
+
+    none = F.array().cast("array<int>")
+    starts = F.filter(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SUM_BLOCK).cast("int")), lambda b: (b >= 0) & (b * SUM_BLOCK < F.size(values)))
+    within = F.transform(starts, lambda b: F.aggregate(F.slice(values, b * SUM_BLOCK + 1, SUM_BLOCK), none, appended))
+    totals = F.transform(within, lambda block: F.element_at(block, -1))
+    before = F.concat(F.array(F.lit(0)), F.aggregate(totals, none, appended))
+    shifted = F.zip_with(within, F.slice(before, 1, F.size(before) - 1), lambda block, more: F.transform(block, lambda s: s + more))
+    return F.concat(F.array(F.lit(0)), F.flatten(shifted))

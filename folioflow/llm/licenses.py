@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table, text_or_empty
+from folioflow.llm.common import running_sums, table, text_or_empty
 
 THRESHOLD = 0.8
 
@@ -129,11 +129,6 @@ def literal(values: list[str]) -> Column:
     return F.split(F.lit("\n".join(values)), "\n")
 
 
-def running(values: Column) -> Column:
-    """Sums of the first 0, 1, 2, ... values."""
-    return F.aggregate(values, F.array(F.lit(0)), lambda sums, v: F.concat(sums, F.array(F.element_at(sums, -1) + v)))
-
-
 def reaches(known: list[tuple[str, list[str]]], low: float) -> Column:
     """Whether ``_shared`` has enough bigrams of a template."""
     found = F.lit(False)
@@ -145,11 +140,11 @@ def reaches(known: list[tuple[str, list[str]]], low: float) -> Column:
 def run_units(known: list[tuple[str, list[str]]], low: float, high: float) -> Column:
     """(unit, text) structs: runs of two lines with words and more that can reach a template, from ``_lines`` and ``_shared``."""
     size = F.size("_lines")
-    words = running(F.transform("_lines", lambda line: F.size(line)))
+    words = running_sums(F.transform("_lines", lambda line: F.size(line)))
 
     def reached(template: list[str]) -> Column:
         least, most = low * len(template), high * len(template)
-        hits = running(F.transform("_lines", lambda line: F.size(F.filter(pairs(line), lambda b: b.isin(template)))))
+        hits = running_sums(F.transform("_lines", lambda line: F.size(F.filter(pairs(line), lambda b: b.isin(template)))))
 
         def ends(sums: Column) -> Column:
             def fits(i: Column, j: Column) -> Column:
