@@ -9,7 +9,9 @@ character:
    of all rows share is dealt over ``salts`` tasks,
 3. the salt winners, at most ``salts`` rows a text, are combined globally.
 
-A document then finds its group by digest.  Should two different texts share a
+A document then finds its group by digest.  Groups of a thousandth of all rows or
+more, of which there are at most a thousand, are looked up from a broadcast and
+their rows dealt out evenly; no key of the shuffle has more rows than that.  Should two different texts share a
 digest, stage 3 marks them and the lookup also compares the whole text.
 """
 
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import SPACES, staged, table, text_or_empty
 
 SALTS = 16
+# A group of this share of all rows is hot; so there are at most HOT of them.
+HOT = 1000
 
 
 def normalised(col: str = "text") -> Column:
@@ -55,7 +59,14 @@ def exact_groups(
     clashing = found.groupBy("_digest").count().filter("count > 1")
     shown = docs.withColumn("_norm", normalised(text_col)).withColumn("_digest", digest(F.col("_norm")))
     if clashing.isEmpty():
-        joined = shown.join(found.drop("_length"), "_digest", "left")
+        total = found.agg(F.sum("group_size")).first()[0] or 0
+        hot = found.filter(F.col("group_size") * HOT >= total).select(F.col("_digest").alias("_hot"), F.col("keep_id").alias("_hot_id"), F.col("group_size").alias("_hot_size"))
+        known = shown.join(F.broadcast(hot), F.col("_digest") == F.col("_hot"), "left")
+        # Rows of hot groups need no partner any more: keys that no group has.
+        spread = F.when(F.col("_hot").isNotNull(), F.concat(F.lit("-"), F.xxhash64(F.col(id_col)).cast("string"))).otherwise(F.col("_digest"))
+        cold = found.select(F.col("_digest").alias("_key"), "keep_id", "group_size")
+        joined = known.withColumn("_key", spread).join(cold, "_key", "left")
+        joined = joined.withColumns({"keep_id": F.when(F.col("_hot").isNotNull(), F.col("_hot_id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("_hot_size", "group_size")})
     else:
         joined = shown.join(winners, ["_digest", "_norm"], "left")
     kept = F.coalesce(F.col(id_col) == F.col("keep_id"), F.col("keep_id").isNull())
