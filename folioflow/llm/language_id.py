@@ -124,14 +124,21 @@ def has_letter(text_col: str) -> Column:
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
     """At most ``sample`` labelled rows with letters, the same number of each language where there are enough.
 
-    Ids are ranked first, without texts; a limit by rank cuts each language
-    ahead of the shuffle.
+    Ids are ranked first, without texts.  The number of rows of each language says
+    below which hash its first ones lie, so a language sends little more than
+    ``sample`` ids to its ranking however many there are.
     """
     usable = docs.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & has_letter(text_col))
     order = F.xxhash64(F.col(id_col).cast("string"))
     by_label = Window.partitionBy("label").orderBy(order, F.col(id_col))
-    ids = usable.select(F.col(id_col), F.col(label_col).alias("label")).withColumn("rank", F.row_number().over(by_label))
-    chosen = ids.filter(F.col("rank") <= sample).orderBy("rank", order, "label").limit(sample).select(F.col(id_col).alias("_id"))
+    ids = usable.select(F.col(id_col), F.col(label_col).alias("label"), order.alias("order"))
+    # Languages beyond the sample's size could have no row in it.
+    sizes = staged(ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(sample), "lang-sizes")
+    # Hashes are even over 64 bits: twice the sample and 100 lie below this with all but certainty at least the sample.
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample + 100) / F.col("n"))
+    low = ids.join(F.broadcast(sizes), "label").filter(F.col("order") / F.lit(2.0**64) + 0.5 <= share)
+    ranked = low.withColumn("rank", F.row_number().over(by_label)).filter(F.col("rank") <= sample)
+    chosen = ranked.orderBy("rank", "order", "label").limit(sample).select(F.col(id_col).alias("_id"))
     chosen = F.broadcast(staged(chosen.distinct(), "lang-sample"))  # `sample` ids at most
     rows = usable.join(chosen, F.col(id_col) == F.col("_id"), "left_semi")
     return rows.select(F.col(label_col).alias("label"), padded(text_col).alias("text")).limit(sample)
