@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,14 +34,21 @@ def _bucket(token: str) -> int:
 
 
 def hash_embed(texts: list[str], dim: int = HASH_DIM) -> np.ndarray:
-    """Deterministic stand-in for a model: hashed token counts, one row per text."""
-    out = np.zeros((len(texts), dim))
-    for row, text in zip(out, texts):
-        words = re.split("[^a-z0-9_]+", text.lower().replace("§", "section "))
-        buckets = [_bucket(w) % dim for w in words if len(w) >= 2]
-        if buckets:
-            row += np.bincount(buckets, minlength=dim)
-    return out
+    """Deterministic stand-in for a model: hashed token counts, one row per text.
+
+    All texts are cut at once and each distinct word is hashed once.
+    """
+    column = pa.array(texts, pa.large_string())
+    # The one letter whose lower case is two characters, as ``lower`` has it elsewhere.
+    lowered = pc.utf8_lower(pc.replace_substring(column, "\u0130", "i\u0307"))
+    words = pc.split_pattern_regex(pc.replace_substring(lowered, "§", "section "), "[^a-z0-9_]+")
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    coded = words.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    buckets = np.array([_bucket(w) % dim if len(w) >= 2 else -1 for w in names], np.int64)
+    found = buckets[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+    keep = found >= 0
+    return np.bincount(rows[keep] * dim + found[keep], minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:

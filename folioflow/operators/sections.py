@@ -228,14 +228,85 @@ def monotonic_sections(sections: DataFrame) -> DataFrame:
     return ordered.filter(keep).select(*sections.columns)
 
 
+def annotate(lines: DataFrame) -> DataFrame:
+    """Adds to each line what it is: ``chapter`` number, ``marker`` of contents, ``short`` or ``long`` section number, ``rest``.
+
+    Cheap tests stand ahead of the patterns, which few lines match.
+    """
+    numbered = F.col("line").rlike(r"^\s*(?:Section\s+)?\d{1,3}[A-Z]{0,2}\.\s")
+    number, is_long = _heading_parts()
+    rest = F.regexp_replace(strip(F.regexp_extract("line", ANY_HEADING, 3)), r"\.+$", "")
+    chapter = F.when(F.contains("line", F.lit("CHAPTER")), F.nullif(F.regexp_extract("line", CHAPTER, 1), F.lit("")))
+    return lines.select(
+        *lines.columns,
+        chapter.alias("chapter"),
+        (F.contains(F.lower("line"), F.lit("arrangement")) & F.col("line").rlike(TOC_MARKER)).alias("marker"),
+        F.when(numbered & ~is_long, F.nullif(number, F.lit(""))).alias("short"),
+        F.when(numbered & is_long, F.nullif(number, F.lit(""))).alias("long"),
+        F.when(numbered, rest).alias("rest"),
+    )
+
+
+def _act_facts(annotated: DataFrame) -> DataFrame:
+    """Per act where the body starts (0 without contents) and whether its headings are of the long form."""
+    flags = annotated.filter("marker or chapter in ('I', '1') or short is not null or long is not null")
+    first = F.when(F.col("chapter").isin("I", "1"), F.col("line_no"))
+    flags = flags.select(DOC, "line_no", "marker", first.alias("first"), F.col("short").isNotNull().alias("is_short"), F.col("long").isNotNull().alias("is_long"))
+    markers = flags.groupBy(DOC).agg(F.min(F.when(F.col("marker"), F.col("line_no"))).alias("__marker"))
+    after = F.when(F.col("first") > F.col("__marker"), F.col("first"))
+    starts = flags.filter("first is not null").join(markers, DOC).groupBy(DOC).agg(F.when(F.count(after) >= 2, F.max(after)).alias("__body"))
+    headings = flags.filter("is_short or is_long").join(starts, DOC, "left").withColumn("__body", F.coalesce("__body", F.lit(0)))
+    of_body = F.col("line_no") >= F.col("__body")
+    votes = F.count_if(of_body & F.col("is_long")) > F.count_if(of_body & F.col("is_short"))
+    return headings.groupBy(DOC, "__body").agg(votes.alias("__verbose"))
+
+
 def parse_act_lines(lines: DataFrame) -> DataFrame:
     """Page cleaning, contents removal, section split and clean-up in one go.
 
-    ``lines`` is a stored table.  Cleaned lines and sections become stage
-    tables in the shared folder, since the following steps read them more than
-    once.
+    Cleaned lines are annotated once and stored; every later pass reads flags
+    and runs no pattern.  One block-wise pass carries the last heading of either
+    form, the last chapter and whether the line before was one, so the act's
+    facts only choose among them.  Sections are stored before the final check of
+    their order, which reads them twice.  ``lines`` is a stored table.
     """
     cleaned = clean_lines(lines, repeating_lines(lines, DOC, "page_no"), DOC)
-    body, _ = skip_toc(staged(cleaned, "act-cleaned"))
-    kept, _ = drop_short(split_sections(body))
-    return monotonic_sections(staged(kept, "act-sections"))
+    annotated = staged(annotate(cleaned), "act-annotated")
+    at = F.col("line_no")
+    is_chapter, has_text = F.col("chapter").isNotNull(), F.col("line") != ""
+    measures = {
+        "__short": ("max", F.when(F.col("short").isNotNull(), at), True),
+        "__long": ("max", F.when(F.col("long").isNotNull(), at), True),
+        "__chapter": ("max", F.when(is_chapter, at), False),
+        "__text": ("max", F.when(has_text, at), False),
+    }
+    carried = running(annotated, [DOC], ["line_no"], line_block(), measures)
+    owned = carried.join(_act_facts(annotated), DOC).withColumn("__start", F.when(F.col("__verbose"), F.col("__long")).otherwise(F.col("__short")))
+    owned = owned.filter(at >= F.col("__body"))
+    chapter = F.when(F.col("__chapter") >= F.col("__body"), F.col("__chapter"))
+    # The first line with text after a chapter heading is its title.
+    titles = owned.filter(has_text & (F.col("__text") == F.col("__chapter")) & chapter.isNotNull()).select(DOC, "__chapter", strip(F.col("line")).alias("chapter"))
+    numbers = annotated.filter(is_chapter).select(DOC, at.alias("__chapter"), F.col("chapter").alias("chapter_number"))
+    is_heading = at == F.col("__start")
+    head = F.struct(F.when(F.col("__verbose"), F.col("long")).otherwise(F.col("short")).alias("number"), F.col("rest").alias("heading"), chapter.alias("__chapter"))
+    sections = owned.filter(F.col("__start") >= F.col("__body")).groupBy(DOC, "__start").agg(
+        F.first(F.when(is_heading, head), ignorenulls=True).alias("head"),
+        F.array_sort(F.collect_list(F.when(~is_heading, F.struct("line_no", "page_no", "line")))).alias("lines"),
+    )
+    # Lines of a page are joined by a line end, pages by a blank line.
+    before = F.expr("transform(lines, (x, i) -> case when i = 0 then '' when x.page_no = lines[i - 1].page_no then '\\n' else '\\n\\n' end)")
+    joined = F.array_join(F.zip_with(before, F.col("lines.line"), lambda b, line: F.concat(b, line)), "")
+    body = F.coalesce(strip(F.regexp_replace(joined, "\n{3,}", "\n\n")), F.lit(""))
+    heading = F.col("head.heading")
+    moved = heading.startswith("(") & F.contains(F.substring(heading, 1, 5), F.lit(")"))
+    found = sections.withColumn("__joined", body).select(
+        DOC,
+        F.col("head.__chapter").alias("__chapter"),
+        F.col("__start").alias("line_no"),
+        F.col("head.number").alias("number"),
+        F.when(moved, "").otherwise(heading).alias("heading"),
+        F.when(moved, F.concat(heading, F.lit("\n"), "__joined")).otherwise(F.col("__joined")).alias("body"),
+    )
+    kept, _ = drop_short(found)
+    titled = kept.join(numbers.join(titles, [DOC, "__chapter"], "left"), [DOC, "__chapter"], "left")
+    return monotonic_sections(staged(titled.select(DOC, "line_no", "number", "heading", "chapter_number", "chapter", "body"), "act-sections"))
