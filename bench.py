@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from folioflow.plans.catalog import QUERIES  # noqa: E402
-from folioflow.session import local_session  # noqa: E402
+from folioflow.session import local_session, stage_run  # noqa: E402
 
 HEADLINE = (
     "f3_bm25_topk",
@@ -38,9 +38,10 @@ HEADLINE = (
 
 
 def run(query, spark, sf: str) -> float:
-    start = time.perf_counter()
-    query(spark, sf).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    with stage_run(spark):
+        start = time.perf_counter()
+        query(spark, sf).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
 
 def main() -> None:

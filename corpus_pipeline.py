@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm.common import staged, table
+from folioflow.llm.common import table
 from folioflow.llm.decontaminate import uncontaminated
 from folioflow.llm.exact_dedup import deduplicated
 from folioflow.llm.language_id import accepted
 from folioflow.llm.mixing import mixed
 from folioflow.llm.ngram_join import without_near_copies
+from folioflow.session import stage_path, stage_run
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage wrote besides its result goes when the result is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = stage_path(spark, f"pipeline-{name}")
+        with stage_run(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs

@@ -98,6 +98,20 @@ def materialize_embeddings(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
+CACHE_BUCKETS = 64
+
+
+def write_cache(cache: DataFrame, name: str, path: str, buckets: int = CACHE_BUCKETS) -> DataFrame:
+    """Store a cache as table ``name``, bucketed and sorted by content hash; returns it.
+
+    A batch of chunks then goes to the buckets: ``split_cached`` and
+    ``materialize_embeddings`` read the cache as it lies, however large it is.
+    """
+    bucketed = cache.repartition(buckets, "content_hash").write.mode("overwrite").bucketBy(buckets, "content_hash").sortBy("content_hash")
+    bucketed.option("path", path).saveAsTable(name)
+    return cache.sparkSession.table(name)
+
+
 def embedding_coverage(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Embedded, total and missing chunks; complete when nothing is missing."""
     have = embeddings.select(key).distinct().withColumn("__has", F.lit(True))

@@ -83,6 +83,29 @@ def materialized(spark, sf):
     return out.select("chunk_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), "model", "task_type")
 
 
+def bucketed_cache(spark, sf):
+    """The vectors of every second chunk under their content hash, as a bucketed table."""
+    docs = hashed_chunks(spark, sf)
+    cache = (
+        docs.join(vectors(spark, sf).drop("label"), "chunk_id")
+        .groupBy("content_hash")
+        .agg(F.min_by("embedding", "chunk_id").alias("embedding"))
+        .select("content_hash", "embedding", F.lit(MODEL).alias("model"), F.lit(TASK).alias("task_type"))
+    )
+    path = stage_path(configure(spark), "vector-cache")
+    return embed.write_cache(cache, f"vector_cache_{path[-32:]}", path, 8)
+
+
+def bucketed_split(spark, sf):
+    hits, misses = embed.split_cached(hashed_chunks(spark, sf).select("chunk_id", "content_hash"), bucketed_cache(spark, sf))
+    return hits.select("chunk_id", F.lit("hit").alias("status")).unionByName(misses.select("chunk_id", F.lit("miss").alias("status")))
+
+
+def bucketed_vectors(spark, sf):
+    out = embed.materialize_embeddings(hashed_chunks(spark, sf), bucketed_cache(spark, sf))
+    return out.select("chunk_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), "model", "task_type")
+
+
 def coverage(spark, sf):
     return embed.embedding_coverage(chunks(spark, sf), vectors(spark, sf))
 
@@ -394,6 +417,17 @@ PLANS = {
         f"""with h as (select doc_id as chunk_id, {HASH} as k from documents),
  c as (select h.k, arg_min(embedding, h.chunk_id) as v from h join embeddings e on e.vec_id = h.chunk_id group by 1)
  select h.chunk_id, round(c.v[1]::double, 6) as first, '{MODEL}' as model, '{TASK}' as task_type from h join c on c.k = h.k""",
+    ),
+    "e6_bucketed_cache": (
+        bucketed_vectors,
+        f"""with h as (select doc_id as chunk_id, {HASH} as k from documents),
+ c as (select h.k, arg_min(embedding, h.chunk_id) as v from h join embeddings e on e.vec_id = h.chunk_id group by 1)
+ select h.chunk_id, round(c.v[1]::double, 6) as first, '{MODEL}' as model, '{TASK}' as task_type from h join c on c.k = h.k""",
+    ),
+    "e2_bucketed_cache": (
+        bucketed_split,
+        f"""with h as (select doc_id as chunk_id, {HASH} as k from documents)
+ select chunk_id, case when k in (select k from h join embeddings on vec_id = chunk_id) then 'hit' else 'miss' end as status from h""",
     ),
     "e7_embedding_coverage": (
         coverage,

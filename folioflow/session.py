@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -66,6 +68,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+# Folders of the runs in progress, the innermost last.
+_RUNS: list[str] = []
+
+
+@contextmanager
+def stage_run(spark: SparkSession) -> Iterator[str]:
+    """Stage tables made within go to one folder, which is removed at the end.
+
+    Write the result inside the block: what is only planned there would miss
+    its tables later.
+    """
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a stage table; never read and overwritten by one job."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_RUNS[-1] if _RUNS else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from folioflow import fixtures as fx
 from folioflow.functions import ranking
-from folioflow.operators import loganalytics
+from folioflow.operators import embed, loganalytics
 from folioflow.plans import logs, preparation, retrieval
 from folioflow.plans.catalog import QUERIES
+from folioflow.session import stage_run
 
 
 def plan_of(df) -> str:
@@ -55,3 +57,24 @@ def test_no_query_uses_a_cartesian_product(spark, sf):
     # Streaming queries and those that stage tables run at planning time; their parts are covered above.
     for name in ("b3_missing_files", "b8_hash_drift", "e6_materialize_embeddings", "f4_vector_table", "g6_exact_cache_lookup", "i9_admission", "j3_citation_pr"):
         assert "CartesianProduct" not in plan_of(QUERIES[name](spark, sf)), name
+
+
+def test_bucketed_cache_is_not_shuffled(spark, sf):
+    """Only the batch is dealt out; the cache is read bucket by bucket."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cache = retrieval.bucketed_cache(spark, sf)
+        chunks = retrieval.hashed_chunks(spark, sf)
+        hits, misses = embed.split_cached(chunks, cache)
+        for df in (hits, misses, embed.materialize_embeddings(chunks, cache)):
+            plan = plan_of(df)
+            assert "Join" in plan and plan.count("Exchange hashpartitioning(content_hash") == 1, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stage_tables_go_with_their_run(spark, sf):
+    with stage_run(spark) as folder:
+        rows = retrieval.bm25_hits(spark, sf).count()
+        assert rows and os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
