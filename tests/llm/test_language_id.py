@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 import zlib
 from collections import Counter
@@ -45,6 +46,50 @@ def test_held_out_accuracy(spark):
     assert not any(r.rejected for r in rows)
 
 
+def plain_model(rows, dimensions, clusters):
+    """Weights, centroids and the nearest of them, one text and one cell after the other."""
+    counted = [(label, plain_counts(f" {text} ", dimensions)) for label, text in rows]
+    present = Counter(cell for _, c in counted for cell in c)
+    idf = [math.log((1 + len(rows)) / (1 + present[cell])) + 0.05 for cell in range(dimensions)]
+
+    def unit(v):
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        return [x / norm for x in v]
+
+    def weighed(c):
+        return unit([(1 + math.log(c[cell])) * idf[cell] if c[cell] else 0.0 for cell in range(dimensions)])
+
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    mean = lambda vs: [sum(x) / len(vs) for x in zip(*vs, strict=True)]
+    centres = []
+    for language in sorted({label for label, _ in rows}):
+        own = [weighed(c) for label, c in sorted(counted, key=lambda r: (r[0], np.array([r[1][i] for i in range(dimensions)], np.uint16).tobytes())) if label == language]
+        middle = mean(own)
+        chosen = [max(range(len(own)), key=lambda i: dot(own[i], middle))]
+        while len(chosen) < min(clusters, len(own)):
+            chosen.append(min(range(len(own)), key=lambda i: max(dot(own[i], own[j]) for j in chosen)))
+        found = [own[i] for i in chosen]
+        for _ in range(language_id.ROUNDS):
+            groups = [[] for _ in found]
+            for v in own:
+                groups[max(range(len(found)), key=lambda k: dot(v, found[k]))].append(v)
+            found = [unit(mean(g)) if g else c for g, c in zip(groups, found, strict=True)]
+        centres += [(language, c) for c in found]
+    return lambda text: max(((dot(weighed(plain_counts(f" {text} ", dimensions)), c), language) for language, c in centres), key=lambda x: x[0])
+
+
+def test_against_a_plain_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) < 600 and lang is not null").orderBy("doc_id").limit(80)
+    rows = docs.collect()
+    model = fit(docs, dimensions=256, clusters=2)
+    nearest = plain_model([(r.lang, r.text) for r in rows], 256, 2)
+    got = {r.doc_id: r for r in predict(docs, model).collect()}
+    for r in rows:
+        score, language = nearest(r.text)
+        assert abs(got[r.doc_id].score - score) < 1e-4
+        assert got[r.doc_id].lang_pred in (language, "und")
+
+
 def test_awkward_rows(spark):
     en, de = "the and of to in is that it was for " * 3, "der und die zu den das nicht von sie ist " * 3
     rows = [(i, en + str(i), "en", "s") for i in range(40)] + [(i + 100, de + str(i), "de", "s") for i in range(40)]
