@@ -19,9 +19,10 @@ VOID_TAGS = frozenset(
     ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 )
 # A start tag of one of these ends an open <p>.
-BLOCK_TAGS = frozenset(
-    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
-)
+BLOCK_TAGS = (
+    "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3",
+    "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+)
 
 
 def squash(text: str) -> str:

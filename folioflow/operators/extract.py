@@ -95,7 +95,7 @@ def excerpts(df: DataFrame, text: str = "text", max_chars: int = EXCERPT_CHARS)
     cut = df.withColumn("excerpt", excerpt(strip_markup(F.col(text)), max_chars))
     short = F.length("excerpt") < EXCERPT_MIN_CHARS
     return cut.withColumn(
-        "failure", F.when(short, F.format_string("excerpt too short (%d chars)", F.length("excerpt")))
+        "failure", F.when(short, F.format_string("only %d characters of text", F.length("excerpt")))
     )
 
 

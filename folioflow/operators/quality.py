@@ -258,15 +258,20 @@ def bootstrap_manifest(listing: DataFrame, as_of_year: int) -> DataFrame:
     )
 
 
+# What may stand behind the case name in a file name.
+NAME_END = r"(?:\s+\d{4}\s*)?(?:(?i:[\s,]+on\s+)\d{1,2}[\s,]+\w+[\s,]+\d{4}\s*)?$"
+
+
 def guess_case_name(stem: Column) -> Column:
-    """Readable name of a stem: blanks, ``v.``, no trailing date or year, capitals."""
-    name = F.regexp_replace(stem, "_", " ")
-    name = F.regexp_replace(name, r"(?i)\s+vs\s+", " v. ")
-    name = F.regexp_replace(name, r"(?i)[\s,]+on\s+\d{1,2}[\s,]+\w+[\s,]+\d{4}\s*$", "")
-    name = F.regexp_replace(name, r"\s+\d{4}\s*$", "")
-    name = F.regexp_replace(name, r"^[ ,.;]+|[ ,.;]+$", "")
-    name = F.regexp_replace(F.initcap(F.regexp_replace(name, r"\s+", " ")), r"\bV\.(?= |$)", "v.")
-    return F.when(stem.rlike(r"^\d+$"), F.lit("TODO: case name")).otherwise(name)
+    """Readable name of a stem: its words with capitals, ``v.`` between the parties, no year or date at the end."""
+    name = F.btrim(F.regexp_extract(F.translate(stem, "_", " "), r"(?s)^(.*?)" + NAME_END, 1), F.lit(" ,.;"))
+    words = F.split(name, r"\s+")
+
+    def shown(word: Column, i: Column) -> Column:
+        between = (F.lower(word) == "vs") & (i > 0) & (i < F.size(words) - 1)
+        return F.when(between | (F.lower(word) == "v."), "v.").otherwise(F.initcap(word))
+
+    return F.when(stem.rlike(r"^\d+$"), F.lit("TODO: case name")).otherwise(F.array_join(F.transform(words, shown), " "))
 
 
 def merge_fills(

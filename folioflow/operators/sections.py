@@ -18,9 +18,7 @@ from folioflow.sources.files import staged
 PAGE_NUMBER = r"^\s*\d+\s*$"
 TOC_MARKER = r"(?i)ARRANGEMENT\s+OF\s+(SECTIONS|CLAUSES)"
 CHAPTER = r"^\s*CHAPTER\s+([IVXLCDM]+|\d+)\s*$"
-HEADING = r"^\s*(\d{1,3}[A-Z]{0,2})\.\s+(.{0,200})$"
 ANY_HEADING = r"^\s*(Section\s+)?(\d{1,3}[A-Z]{0,2})\.\s+(.{0,200})$"
-HEADING_VERBOSE = r"^\s*Section\s+(\d{1,3}[A-Z]{0,2})\.\s+(.{0,200})$"
 
 MIN_REPEATS = 3
 MIN_BODY_CHARS = 20

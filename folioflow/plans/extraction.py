@@ -242,7 +242,7 @@ PLANS = {
         document_excerpts,
         """with t as (select doc_id, trim(regexp_replace(regexp_replace('<p class=''x''>' || text || '</p>', '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents),
  x as (select doc_id, case when length(t) <= 3000 then t when contains(substr(t, 1, 3000), ' ') then regexp_extract(substr(t, 1, 3000), '^(.*) [^ ]*$', 1) || ' ...' else substr(t, 1, 3000) || ' ...' end as excerpt from t)
- select doc_id, excerpt, case when length(excerpt) < 200 then 'excerpt too short (' || length(excerpt) || ' chars)' end as failure from x""",
+ select doc_id, excerpt, case when length(excerpt) < 200 then 'only ' || length(excerpt) || ' characters of text' end as failure from x""",
     ),
     "c12_extract_court": (
         courts,

@@ -286,7 +286,7 @@ VERDICT = """case page_id % 9
    when 4 then '{{"is_relevant": true, "relevance_score": 0.7}}'
    when 5 then '{{"is_relevant": true, "relevance_score": 0.7, "reasoning": "x", "extra": 1}}'
    when 6 then '{{"is_relevant": tr' else null end"""
-FAILURE = "case page_id % 9 when 7 then 'call failed: 429 RESOURCE_EXHAUSTED' when 8 then 'excerpt too short (12 chars)' end"
+FAILURE = "case page_id % 9 when 7 then 'call failed: 429 RESOURCE_EXHAUSTED' when 8 then 'only 12 characters of text' end"
 
 
 def verdicts(spark, sf):

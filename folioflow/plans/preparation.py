@@ -11,6 +11,11 @@ from folioflow.sources.files import staged
 
 VERSION = "2024.01"
 
+# The line patterns once more, for the fixtures and the second engine.
+SHORT_HEADING = r"^\s*([0-9]{1,3}[A-Z]{0,2})[.]\s+(.{0,200})$"
+LONG_HEADING = r"^\s*Section\s+([0-9]{1,3}[A-Z]{0,2})[.]\s+(.{0,200})$"
+CHAPTER_LINE = r"^\s*CHAPTER\s+([IVXLCDM]+|[0-9]+)\s*$"
+
 
 def doc_lines(spark, sf):
     """Document lines; the documents of one source are the pages of a group."""
@@ -56,7 +61,7 @@ def toc_warnings(spark, sf):
 
 def verbose_variants(spark, sf):
     lines = fx.act_lines(spark, sf)
-    longer = (F.col("act_id") % 2 == 0) & F.col("line").rlike(sections.HEADING)
+    longer = (F.col("act_id") % 2 == 0) & F.col("line").rlike(SHORT_HEADING)
     return lines.withColumn("line", F.when(longer, F.concat(F.lit("Section "), "line")).otherwise(F.col("line")))
 
 
@@ -184,7 +189,7 @@ def clean_sql(source: str, group: str) -> str:
 
 
 TOC_VARIANT = """tv as (select * from act_lines where not (act_id % 3 = 1 and line_no = 8) and not (act_id % 3 = 2 and line_no in (2, 8)) and not (act_id % 6 = 0 and line_no = 1))"""
-VERBOSE = f"""vb as (select * replace (case when act_id % 2 = 0 and regexp_matches(line, '{sections.HEADING}') then 'Section ' || line else line end as line) from act_lines)"""
+VERBOSE = f"""vb as (select * replace (case when act_id % 2 = 0 and regexp_matches(line, '{SHORT_HEADING}') then 'Section ' || line else line end as line) from act_lines)"""
 
 
 def toc_sql(source: str) -> str:
@@ -193,10 +198,10 @@ def toc_sql(source: str) -> str:
  body as (select l.* from {source} l left join fc on fc.act_id = l.act_id and fc.n >= 2 where fc.act_id is null or l.line_no >= fc.last)"""
 
 
-SECTION_CTES = f"""st as (select act_id, count(*) filter (regexp_matches(line, '{sections.HEADING}')) as ns, count(*) filter (regexp_matches(line, '{sections.HEADING_VERBOSE}')) as nv from body group by 1),
- mh as (select b.*, nullif(case when nv > ns then regexp_extract(line, '{sections.HEADING_VERBOSE}', 1) else regexp_extract(line, '{sections.HEADING}', 1) end, '') as number,
-   case when nv > ns then regexp_extract(line, '{sections.HEADING_VERBOSE}', 2) else regexp_extract(line, '{sections.HEADING}', 2) end as hd,
-   nullif(regexp_extract(line, '{sections.CHAPTER}', 1), '') as ch, lead(line) over (partition by b.act_id order by line_no) as nxt from body b join st on st.act_id = b.act_id),
+SECTION_CTES = f"""st as (select act_id, count(*) filter (regexp_matches(line, '{SHORT_HEADING}')) as ns, count(*) filter (regexp_matches(line, '{LONG_HEADING}')) as nv from body group by 1),
+ mh as (select b.*, nullif(case when nv > ns then regexp_extract(line, '{LONG_HEADING}', 1) else regexp_extract(line, '{SHORT_HEADING}', 1) end, '') as number,
+   case when nv > ns then regexp_extract(line, '{LONG_HEADING}', 2) else regexp_extract(line, '{SHORT_HEADING}', 2) end as hd,
+   nullif(regexp_extract(line, '{CHAPTER_LINE}', 1), '') as ch, lead(line) over (partition by b.act_id order by line_no) as nxt from body b join st on st.act_id = b.act_id),
  ow as (select *, max(case when number is not null then line_no end) over (partition by act_id order by line_no) as own,
    max(case when ch is not null then line_no end) over (partition by act_id order by line_no rows between unbounded preceding and 1 preceding) as chl from mh),
  pp as (select act_id, own, page_no, coalesce(string_agg(line, chr(10) order by line_no) filter (number is null), '') as part from ow where own is not null group by 1, 2, 3),
@@ -262,8 +267,8 @@ PLANS = {
     ),
     "c7_heading_style": (
         heading_styles,
-        fx.duck("act_lines", body=f"""with {VERBOSE}, s as (select act_id, count(*) filter (regexp_matches(line, '{sections.HEADING}')) as n_standard,
-  count(*) filter (regexp_matches(line, '{sections.HEADING_VERBOSE}')) as n_verbose from vb group by 1)
+        fx.duck("act_lines", body=f"""with {VERBOSE}, s as (select act_id, count(*) filter (regexp_matches(line, '{SHORT_HEADING}')) as n_standard,
+  count(*) filter (regexp_matches(line, '{LONG_HEADING}')) as n_verbose from vb group by 1)
  select *, case when n_verbose > n_standard then 'verbose' else 'standard' end as style from s"""),
     ),
     "c8_split_sections": (
