@@ -315,6 +315,23 @@ def kept_digests(texts: DataFrame) -> DataFrame:
     return texts.select("key", "text", "begins", "ends").mapInArrow(keep, schema)
 
 
+# A value of this share of all rows is hot; so there are at most HOT of them.
+HOT = 1000
+
+
+def repeated_rows(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` occurs more than once.
+
+    Counts combine ahead of the shuffle.  Rows of hot values stay where they are,
+    by a broadcast of at most ``HOT`` values; those of others are shuffled.
+    """
+    counts = staged(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sa-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("n") * HOT >= total).select(key))
+    cold = rows.join(hot, key, "left_anti").join(counts.drop("n").hint("shuffle_merge"), key)
+    return rows.join(hot, key, "left_semi").unionByName(cold)
+
+
 def without_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP
 ) -> DataFrame:
@@ -323,6 +340,8 @@ def without_repeats(
     Texts are their UTF-8 bytes, null is empty; matches never cross rows.
     Copies are other places: a text of at least ``length`` bytes that occurs
     twice goes whole.  Shorter texts stay.  Empty tables give empty results.
+    Repeated and null ids are rows of their own, other columns are not looked at,
+    whatever their names.  A text is held whole by one task.
     """
     text = text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumn("_sha", F.sha2("text", 256))
@@ -332,12 +351,10 @@ def without_repeats(
     found = text_anchors(keyed.filter(F.octet_length("text") >= length), length, gram)
     found = staged(found.dropDuplicates(["key"]), "sa-anchors")
     rows = found.select("key", F.explode(F.arrays_zip("pos", "hash", "left", "right")).alias("a")).select("key", "a.*")
-    shared = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = staged(rows.join(shared.hint("shuffle_merge"), "hash").drop("hash"), "sa-shared")
+    met = staged(repeated_rows(rows, "hash").drop("hash"), "sa-shared")
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("block")) for i, c in enumerate(("left", "right"))])
     halves = met.select("key", "pos", F.explode(sides).alias("s")).select("key", "pos", "s.side", "s.block").filter("block <> 0")
-    twice = halves.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    halves = halves.join(twice.hint("shuffle_merge"), "block")
+    halves = repeated_rows(halves, "block")
     listed = halves.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "side", "block"))).alias("a"))
     listed = listed.join(texts, "key").select(F.col("key").alias("k"), "rep", "a.pos", "a.side", "a.block")
     # One row of each text that has shared anchors, with its bytes.
