@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import running_sums, table
+from folioflow.llm.common import let, running_sums, table
 
 HEAD, HEAD_END, END = "### ", ": ", "</turn>"
 LOSS_ROLE = "assistant"
@@ -54,21 +54,25 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     )
     sorted_turns = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(struct)).alias("turns"))
 
-    def piece(t: Column, i: Column) -> Column:
-        # get() is null before the first turn, which then opens a block.
-        opens = ~F.col("turns")[F.greatest(i - 1, F.lit(0))]["role"].eqNullSafe(t["role"]) | (i == 0)
+    def piece(t: Column, before: Column) -> Column:
+        # There is no role before the first turn, which then opens a block.
+        opens = ~before.eqNullSafe(t["role"])
         head = F.when(opens, F.concat(F.lit(HEAD), escape_role(t["role"]), F.lit(HEAD_END))).otherwise("")
         return F.struct(head.alias("head"), escape(t["text"]).alias("body"), (t["role"] == LOSS_ROLE).alias("loss"))
 
-    pieces = sorted_turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    def pieces_of(turns: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(turns["role"], 1, F.size(turns) - 1))
+        return F.zip_with(turns, before, piece)
 
-    pieces = pieces.withColumn("starts", running_sums(F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))))
+    pieces = sorted_turns.select("conv_id", let(F.col("turns"), pieces_of).alias("pieces"))
+    starts = running_sums(F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END)))
 
-    def span(p: Column, i: Column) -> Column:
-        start = F.get("starts", i) + F.length(p["head"])
+    def span(p: Column, at: Column) -> Column:
+        start = at + F.length(p["head"])
         return F.when(p["loss"], F.struct(start.alias("start"), (start + F.length(p["body"])).alias("end")))
 
-    spans = F.filter(F.transform("pieces", span), lambda s: s.isNotNull())
+    # The last of the sums has no piece and so no span.
+    spans = F.filter(F.zip_with("pieces", starts, span), lambda s: s.isNotNull())
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
     return pieces.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
@@ -82,17 +86,34 @@ def read_back(formatted: DataFrame, col: str = "formatted") -> DataFrame:
     # The heading that holds for a part is the last one up to it: the n-th of those there are.
     headings = F.filter(opened, lambda role: role.isNotNull())
     n = running_sums(F.transform(opened, lambda role: role.isNotNull().cast("int")))
-    formatted = formatted.withColumns({"_headings": headings, "_n": n})
-    roles = F.transform(parts, lambda p, i: F.get("_headings", F.get("_n", i + 1) - 1))
+    places = F.slice(n, 2, F.size(parts))
+    roles = let(F.struct(headings.alias("all"), places.alias("n")), lambda s: F.transform(s["n"], lambda k: F.get(s["all"], k - 1)))
     texts = F.transform(parts, lambda p: unescape(F.when(p.startswith(HEAD), F.regexp_replace(p, heading, "")).otherwise(p)))
-    return formatted.withColumn("turns", F.arrays_zip(roles.alias("role"), texts.alias("text"))).drop("_headings", "_n")
+    return formatted.withColumn("turns", F.arrays_zip(roles.alias("role"), texts.alias("text")))
+
+
+# Spans that are cut out of one stretch of the string: finding a place in it takes its length.
+SPANS = 64
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """The unescaped text under the loss mask, taken from the formatted string by its spans."""
-    return F.array_join(
-        F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), ""
-    )
+    """The unescaped text under the loss mask, taken from the formatted string by its spans, which are in order."""
+
+    def cut(text: Column, start: Column, end: Column) -> Column:
+        return F.substring(text, start + 1, end - start)
+
+    def stretch(own: Column, whole: Column) -> Column:
+        first = F.get(own, F.lit(0))["start"]
+        text = cut(whole, first, F.element_at(own, -1)["end"])
+        return let(text, lambda t: F.array_join(F.transform(own, lambda s: unescape(cut(t, s["start"] - first, s["end"] - first))), ""))
+
+    def whole_text(both: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(both["spans"]) - 1) / SPANS).cast("int"))
+        numbers = F.filter(numbers, lambda b: (b >= 0) & (b * SPANS < F.size(both["spans"])))
+        parts = F.transform(numbers, lambda b: let(F.slice(both["spans"], b * SPANS + 1, SPANS), lambda own: stretch(own, both["text"])))
+        return F.array_join(parts, "")
+
+    return let(F.struct(formatted.alias("text"), spans.alias("spans")), whole_text)
 
 
 # Fixed values of the contract: a conversation made of control strings.

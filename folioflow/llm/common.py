@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,20 +51,35 @@ def text_or_empty(col: str = "text") -> Column:
 SUM_BLOCK = 256
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where ``use`` reads it for every element of an array.
+
+    A column that is only named is put in place of its name when the plan is
+    made, so a lambda that reads it would compute it for each element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_sums(values: Column) -> Column:
     """Sums of the first 0, 1, 2, ... values of an array.
 
     Appending to an array copies it, so sums are made within blocks and shifted
     by the sums of the blocks before: about ``SUM_BLOCK`` copies a value.
     """
+    none = F.array().cast("array<int>")
 
     def appended(sums: Column, value: Column) -> Column:
         return F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + value))
 
-    none = F.array().cast("array<int>")
-    starts = F.filter(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SUM_BLOCK).cast("int")), lambda b: (b >= 0) & (b * SUM_BLOCK < F.size(values)))
-    within = F.transform(starts, lambda b: F.aggregate(F.slice(values, b * SUM_BLOCK + 1, SUM_BLOCK), none, appended))
-    totals = F.transform(within, lambda block: F.element_at(block, -1))
-    before = F.concat(F.array(F.lit(0)), F.aggregate(totals, none, appended))
-    shifted = F.zip_with(within, F.slice(before, 1, F.size(before) - 1), lambda block, more: F.transform(block, lambda s: s + more))
-    return F.concat(F.array(F.lit(0)), F.flatten(shifted))
+    def in_blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SUM_BLOCK).cast("int"))
+        starts = F.filter(starts, lambda b: (b >= 0) & (b * SUM_BLOCK < F.size(v)))
+        return F.transform(starts, lambda b: F.aggregate(F.slice(v, b * SUM_BLOCK + 1, SUM_BLOCK), none, appended))
+
+    def shifted(within: Column) -> Column:
+        totals = F.transform(within, lambda block: F.element_at(block, -1))
+        before = F.concat(F.array(F.lit(0)), F.aggregate(totals, none, appended))
+        moved = F.zip_with(within, F.slice(before, 1, F.size(within)), lambda block, more: F.transform(block, lambda s: s + more))
+        return F.concat(F.array(F.lit(0)), F.flatten(moved))
+
+    return let(let(values, in_blocks), shifted)
