@@ -119,40 +119,62 @@ def order_statistics(
     values = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(*by, F.col(col).alias("__v"))
     ends = values.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).filter("n > 0")
     start = [F.struct(F.lit(name).alias("statistic"), rank.cast("bigint").alias("rank"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi")) for name, (_, rank) in wanted.items()]
-    state = staged(ends.select(*by, F.array(*start).alias("brackets")))
+    first = ends.select(*by, F.array(*start).alias("brackets"))
+    if not by:
+        return _single_statistics(values, first)
+    state = staged(first)
     is_open = F.exists("brackets", lambda x: x["lo"] < x["hi"])
-    while state.filter(is_open).limit(1).count():
-        if by:
-            side = state.filter(is_open)
-            inside = values.join(side, _same_keys(values, side, by)).select(*[values[c] for c in by], "__v", "brackets")
-        else:
-            # Without groups the brackets, one for each statistic, are constants of the next plan.
-            inside = values.withColumn("brackets", _constant(state.first().brackets, state.schema["brackets"].dataType))
-        inside = inside.filter(F.exists("brackets", lambda x: (x["lo"] < x["hi"]) & F.col("__v").between(x["lo"], x["hi"])))
-        inside = inside.select(*by, "__v", F.filter("brackets", lambda x: (x["lo"] < x["hi"]) & F.col("__v").between(x["lo"], x["hi"])).alias("brackets"))
-        placed = inside.select(*by, "__v", F.explode("brackets").alias("b"))
-        placed = placed.withColumn("bucket", _bucket(F.col("__v"), F.col("b.lo"), F.col("b.hi")))
-        counted = placed.groupBy(*by, "b", "bucket").agg(F.count("*").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-        # At most BUCKETS entries a bracket.
-        listed = counted.groupBy(*by, "b").agg(F.sort_array(F.collect_list(F.struct("bucket", "c", "lo", "hi"))).alias("parts"))
-        kind = f"struct<rank:bigint,lo:{values.schema['__v'].dataType.simpleString()},hi:{values.schema['__v'].dataType.simpleString()}>"
-        none = F.lit(None).cast(kind)
-        found = F.aggregate(
-            "parts",
-            F.struct(F.col("b.rank").alias("left"), none.alias("hit")),
-            lambda s, x: F.struct(
-                (s["left"] - x["c"]).alias("left"),
-                F.when(s["hit"].isNull() & (s["left"] < x["c"]), F.struct(s["left"].alias("rank"), x["lo"].alias("lo"), x["hi"].alias("hi"))).otherwise(s["hit"]).alias("hit"),
-            ),
-        )["hit"]
-        narrowed = listed.select(*by, F.col("b.statistic").alias("statistic"), found.alias("hit")).select(*by, F.struct("statistic", "hit.rank", "hit.lo", "hit.hi").alias("b"))
+    more = state.filter(is_open).limit(1).count()
+    while more:
+        side = state.filter(is_open)
+        inside = values.join(side, _same_keys(values, side, by)).select(*[values[c] for c in by], "__v", "brackets")
+        inside, narrowed = _narrowed(inside, by)
         closed = state.select(*by, F.explode("brackets").alias("b")).filter("not b.lo < b.hi")
         state = staged(closed.unionByName(narrowed).groupBy(*by).agg(F.collect_list("b").alias("brackets")))
-        if state.filter(is_open).limit(1).count():
+        more = state.filter(is_open).limit(1).count()
+        if more:
             values = staged(inside.select(*by, "__v"))
     return state.select(*by, F.explode("brackets").alias("b")).select(*by, "b.statistic", F.col("b.lo").alias("value"))
 
 
+def _single_statistics(values: DataFrame, first: DataFrame) -> DataFrame:
+    """``(statistic, value)`` without groups: one job a round, its brackets are constants of the next plan."""
+    kind = first.schema["brackets"].dataType
+    row = first.first()
+    brackets = list(row.brackets) if row else []
+    while any(b.lo < b.hi for b in brackets):
+        inside, narrowed = _narrowed(values.withColumn("brackets", _constant(brackets, kind)), [])
+        # One row a statistic.
+        brackets = [b for b in brackets if not b.lo < b.hi] + [r.b for r in narrowed.collect()]
+        if any(b.lo < b.hi for b in brackets):
+            values = staged(inside.select("__v"))
+    known = values.sparkSession.range(1).select(F.explode(_constant(brackets, kind) if brackets else F.array().cast(kind)).alias("b"))
+    return known.select("b.statistic", F.col("b.lo").alias("value"))
+
+
+def _narrowed(inside: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Values in open brackets, and for each of these the bucket that holds its rank as the next bracket ``(*by, b)``."""
+    reach = lambda x: (x["lo"] < x["hi"]) & F.col("__v").between(x["lo"], x["hi"])
+    inside = inside.filter(F.exists("brackets", reach)).select(*by, "__v", F.filter("brackets", reach).alias("brackets"))
+    placed = inside.select(*by, "__v", F.explode("brackets").alias("b"))
+    placed = placed.withColumn("bucket", _bucket(F.col("__v"), F.col("b.lo"), F.col("b.hi")))
+    counted = placed.groupBy(*by, "b", "bucket").agg(F.count("*").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    # At most BUCKETS entries a bracket.
+    listed = counted.groupBy(*by, "b").agg(F.sort_array(F.collect_list(F.struct("bucket", "c", "lo", "hi"))).alias("parts"))
+    value = inside.schema["__v"].dataType.simpleString()
+    none = F.lit(None).cast(f"struct<rank:bigint,lo:{value},hi:{value}>")
+    found = F.aggregate(
+        "parts",
+        F.struct(F.col("b.rank").alias("left"), none.alias("hit")),
+        lambda s, x: F.struct(
+            (s["left"] - x["c"]).alias("left"),
+            F.when(s["hit"].isNull() & (s["left"] < x["c"]), F.struct(s["left"].alias("rank"), x["lo"].alias("lo"), x["hi"].alias("hi"))).otherwise(s["hit"]).alias("hit"),
+        ),
+    )["hit"]
+    narrowed = listed.select(*by, F.col("b.statistic").alias("statistic"), found.alias("hit"))
+    return inside, narrowed.select(*by, F.struct("statistic", "hit.rank", "hit.lo", "hit.hi").alias("b"))
+
+
 def nearest_rank(df: DataFrame, col: str, percents: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank percentiles ``(*by, percent, value)``.
 

@@ -264,9 +264,10 @@ def parse_act_lines(lines: DataFrame) -> DataFrame:
 
     Cleaned lines are annotated once and stored; every later pass reads flags
     and runs no pattern.  One block-wise pass carries the last heading of either
-    form, the last chapter and whether the line before was one, so the act's
-    facts only choose among them.  Sections are stored before the final check of
-    their order, which reads them twice.  ``lines`` is a stored table.
+    form, the last chapter and the last line with text, so the act's facts only
+    choose among them.  One grouping of its lines gives the sections and the
+    chapter titles, which are stored together: the check of the sections' order
+    and the look-up of titles read that table only.  ``lines`` is a stored table.
     """
     cleaned = clean_lines(lines, repeating_lines(lines, DOC, "page_no"), DOC)
     annotated = staged(annotate(cleaned), "act-annotated")
@@ -279,17 +280,19 @@ def parse_act_lines(lines: DataFrame) -> DataFrame:
         "__text": ("max", F.when(has_text, at), False),
     }
     carried = running(annotated, [DOC], ["line_no"], line_block(), measures)
-    owned = carried.join(_act_facts(annotated), DOC).withColumn("__start", F.when(F.col("__verbose"), F.col("__long")).otherwise(F.col("__short")))
-    owned = owned.filter(at >= F.col("__body"))
+    last = F.when(F.col("__verbose"), F.col("__long")).otherwise(F.col("__short"))
+    # Lines ahead of the first section have no start; only their titles are kept.
+    owned = carried.join(_act_facts(annotated), DOC).filter(at >= F.col("__body"))
+    owned = owned.withColumn("__start", F.when(last >= F.col("__body"), last))
     chapter = F.when(F.col("__chapter") >= F.col("__body"), F.col("__chapter"))
-    # The first line with text after a chapter heading is its title.
-    titles = owned.filter(has_text & (F.col("__text") == F.col("__chapter")) & chapter.isNotNull()).select(DOC, "__chapter", strip(F.col("line")).alias("chapter"))
-    numbers = annotated.filter(is_chapter).select(DOC, at.alias("__chapter"), F.col("chapter").alias("chapter_number"))
     is_heading = at == F.col("__start")
     head = F.struct(F.when(F.col("__verbose"), F.col("long")).otherwise(F.col("short")).alias("number"), F.col("rest").alias("heading"), chapter.alias("__chapter"))
-    sections = owned.filter(F.col("__start") >= F.col("__body")).groupBy(DOC, "__start").agg(
+    # The first line with text after a chapter heading is its title.
+    is_title = has_text & (F.col("__text") == chapter)
+    groups = owned.groupBy(DOC, "__start").agg(
         F.first(F.when(is_heading, head), ignorenulls=True).alias("head"),
         F.array_sort(F.collect_list(F.when(~is_heading, F.struct("line_no", "page_no", "line")))).alias("lines"),
+        F.collect_list(F.when(is_title, F.struct(chapter.alias("__chapter"), strip(F.col("line")).alias("chapter")))).alias("titles"),
     )
     # Lines of a page are joined by a line end, pages by a blank line.
     before = F.expr("transform(lines, (x, i) -> case when i = 0 then '' when x.page_no = lines[i - 1].page_no then '\\n' else '\\n\\n' end)")
@@ -297,14 +300,19 @@ def parse_act_lines(lines: DataFrame) -> DataFrame:
     body = F.coalesce(strip(F.regexp_replace(joined, "\n{3,}", "\n\n")), F.lit(""))
     heading = F.col("head.heading")
     moved = heading.startswith("(") & F.contains(F.substring(heading, 1, 5), F.lit(")"))
-    found = sections.withColumn("__joined", body).select(
+    found = groups.withColumn("__joined", body).select(
         DOC,
         F.col("head.__chapter").alias("__chapter"),
         F.col("__start").alias("line_no"),
         F.col("head.number").alias("number"),
         F.when(moved, "").otherwise(heading).alias("heading"),
         F.when(moved, F.concat(heading, F.lit("\n"), "__joined")).otherwise(F.col("__joined")).alias("body"),
+        "titles",
     )
-    kept, _ = drop_short(found)
-    titled = kept.join(numbers.join(titles, [DOC, "__chapter"], "left"), [DOC, "__chapter"], "left")
-    return monotonic_sections(staged(titled.select(DOC, "line_no", "number", "heading", "chapter_number", "chapter", "body"), "act-sections"))
+    # Written with the short ones: a filter on the body ahead of this would build every body twice.
+    found = staged(found, "act-sections")
+    titles = found.select(DOC, F.inline("titles"))
+    numbers = annotated.filter(is_chapter).select(DOC, at.alias("__chapter"), F.col("chapter").alias("chapter_number"))
+    kept, _ = drop_short(found.filter("line_no is not null").drop("titles"))
+    titled = monotonic_sections(kept).join(numbers.join(titles, [DOC, "__chapter"], "left"), [DOC, "__chapter"], "left")
+    return titled.select(DOC, "line_no", "number", "heading", "chapter_number", "chapter", "body")
