@@ -68,27 +68,27 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _bucket(value: Column, low: Column, high: Column) -> Column:
+def _bucket(value: str, low: str, high: str) -> Column:
     """Which of ``BUCKETS`` parts of ``low .. high`` a value is in; never falls as the value grows.
 
     Parts are equally wide, of the logarithm where the bracket spans magnitudes.
     Should both ends be the same double, the difference in the column's own type
     tells them apart.  ``low`` is in the first part and ``high`` in the last.
+    Written as SQL text, which is one call to the JVM.
     """
 
-    def double(c: Column) -> Column:
+    def double(c: str) -> str:
         # Halved, so no difference overflows.
-        return F.greatest(F.least(c.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)) / 2
+        return f"(greatest(least(cast({c} as double), {LARGEST}D), -{LARGEST}D) / 2)"
 
-    def share(v: Column, lo: Column, hi: Column) -> Column:
-        return F.least(F.floor((v - lo) / (hi - lo) * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
+    def share(v: str, lo: str, hi: str) -> str:
+        return f"least(cast(floor(({v} - {lo}) / ({hi} - {lo}) * {BUCKETS}) as int), {BUCKETS - 1})"
 
-    lo, hi = double(low), double(high)
-    log = [F.asinh(double(c)) for c in (value, low, high)]
-    wide = (hi - lo > 1024 * F.least(F.abs(lo), F.abs(hi))) & (hi - lo > BUCKETS) & (log[1] < log[2])
-    return F.when(wide, share(*log)).when(lo < hi, share(double(value), lo, hi)).otherwise(
-        F.when(value == low, 0).otherwise(share((value - low).cast("double"), F.lit(0.0), (high - low).cast("double")))
-    )
+    v, lo, hi = double(value), double(low), double(high)
+    logs = [f"asinh({x})" for x in (v, lo, hi)]
+    wide = f"{hi} - {lo} > 1024 * least(abs({lo}), abs({hi})) and {hi} - {lo} > {BUCKETS} and {logs[1]} < {logs[2]}"
+    close = share(f"cast({value} - {low} as double)", "0D", f"cast({high} - {low} as double)")
+    return F.expr(f"case when {wide} then {share(*logs)} when {lo} < {hi} then {share(v, lo, hi)} when {value} = {low} then 0 else {close} end")
 
 
 def _constant(brackets: list, kind: T.ArrayType) -> Column:
@@ -154,24 +154,17 @@ def _single_statistics(values: DataFrame, first: DataFrame) -> DataFrame:
 
 def _narrowed(inside: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Values in open brackets, and for each of these the bucket that holds its rank as the next bracket ``(*by, b)``."""
-    reach = lambda x: (x["lo"] < x["hi"]) & F.col("__v").between(x["lo"], x["hi"])
-    inside = inside.filter(F.exists("brackets", reach)).select(*by, "__v", F.filter("brackets", reach).alias("brackets"))
-    placed = inside.select(*by, "__v", F.explode("brackets").alias("b"))
-    placed = placed.withColumn("bucket", _bucket(F.col("__v"), F.col("b.lo"), F.col("b.hi")))
+    reach = "x -> x.lo < x.hi and __v between x.lo and x.hi"
+    inside = inside.filter(f"exists(brackets, {reach})").select(*by, "__v", F.expr(f"filter(brackets, {reach}) as brackets"))
+    placed = inside.select(*by, "__v", F.explode("brackets").alias("b")).withColumn("bucket", _bucket("__v", "b.lo", "b.hi"))
     counted = placed.groupBy(*by, "b", "bucket").agg(F.count("*").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     # At most BUCKETS entries a bracket.
-    listed = counted.groupBy(*by, "b").agg(F.sort_array(F.collect_list(F.struct("bucket", "c", "lo", "hi"))).alias("parts"))
-    value = inside.schema["__v"].dataType.simpleString()
-    none = F.lit(None).cast(f"struct<rank:bigint,lo:{value},hi:{value}>")
-    found = F.aggregate(
-        "parts",
-        F.struct(F.col("b.rank").alias("left"), none.alias("hit")),
-        lambda s, x: F.struct(
-            (s["left"] - x["c"]).alias("left"),
-            F.when(s["hit"].isNull() & (s["left"] < x["c"]), F.struct(s["left"].alias("rank"), x["lo"].alias("lo"), x["hi"].alias("hi"))).otherwise(s["hit"]).alias("hit"),
-        ),
-    )["hit"]
-    narrowed = listed.select(*by, F.col("b.statistic").alias("statistic"), found.alias("hit"))
+    listed = counted.groupBy(*by, "b").agg(F.expr("sort_array(collect_list(struct(bucket, c, lo, hi))) as parts"))
+    kind = inside.schema["__v"].dataType.simpleString()
+    found = f"""aggregate(parts, struct(b.rank as left, cast(null as struct<rank:bigint,lo:{kind},hi:{kind}>) as hit), (s, x) -> struct(
+        s.left - x.c as left,
+        case when s.hit is null and s.left < x.c then struct(s.left as rank, x.lo as lo, x.hi as hi) else s.hit end as hit)).hit"""
+    narrowed = listed.select(*by, F.col("b.statistic").alias("statistic"), F.expr(found).alias("hit"))
     return inside, narrowed.select(*by, F.struct("statistic", "hit.rank", "hit.lo", "hit.hi").alias("b"))
 
 
