@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.functions import text
+from folioflow.functions import ranking, text
 from folioflow.functions.html import read_page
-from folioflow.operators import chunk, citations, embed, evaluate, extract, index, loganalytics, quality, retrieve
+from folioflow.operators import chunk, citations, embed, evaluate, extract, index, loganalytics, quality, retrieve, sections
 
 
 def values(df, column):
@@ -251,3 +251,29 @@ def test_passages_are_found_whole(spark):
     frame = spark.createDataFrame(passages, "query_id int, passage string")
     want = sorted((q, r.doc_id) for q, p in passages for r in docs.collect() if p is not None and p in (r.text or "\0"))
     assert sorted(map(tuple, evaluate.contains_passage(frame, docs).collect())) == want
+
+
+def test_chapter_titles_in_dropped_and_missing_sections(spark):
+    """A title may stand ahead of the first section or in one whose body is too short to stay."""
+    text = [
+        "CHAPTER I", "", "Opening", "1. Name", "This body is long enough to be kept.", "2. Short",
+        "CHAPTER II", "Next", "3. Third", "Another body that is long enough.", "CHAPTER III", "4. Fourth", "(a) Also a body of sufficient length.",
+    ]
+    lines = [("a", 1, n, line) for n, line in enumerate(text, 1)] + [("b", 1, 1, "CHAPTER I"), ("b", 1, 2, "No section here")]
+    frame = spark.createDataFrame(lines, "act_id string, page_no int, line_no long, line string")
+    got = {r.number: r for r in sections.parse_act_lines(frame).collect()}
+    assert {n: (r.line_no, r.heading, r.chapter_number, r.chapter) for n, r in got.items()} == {
+        "1": (4, "Name", "I", "Opening"),
+        "3": (9, "Third", "II", "Next"),
+        "4": (12, "Fourth", "III", "4. Fourth"),
+    }
+    assert got["1"].body == "This body is long enough to be kept."
+
+
+def test_percentiles_of_nothing_and_of_one_value(spark):
+    empty = spark.createDataFrame([], "v double")
+    assert ranking.nearest_rank(empty, "v", (50, 95)).collect() == []
+    same = spark.createDataFrame([(2.5,), (2.5,), (None,), (float("nan"),)], "v double")
+    assert sorted(map(tuple, ranking.nearest_rank(same, "v", (50, 95)).collect())) == [(50, 2.5), (95, 2.5)]
+    money = spark.createDataFrame([(n,) for n in range(1, 12)], "n long").selectExpr("cast(n / 10 as decimal(12,2)) as v")
+    assert str(ranking.nearest_rank(money, "v", (50,)).first().value) == "0.60"
