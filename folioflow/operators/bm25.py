@@ -7,14 +7,16 @@ term frequency and the least chunk length, which bound the term's impact in that
 block for any BM25 parameters and any mean length, so they stay true when the
 corpus grows.
 
-Queries are packed into blocks too.  A task walks its segments one query block
-at a time and keeps the best ``k`` chunks per query.  The weighted sum of the
-bounds is the most that any chunk of a block can score; where it cannot reach
-the ``k``-th best score found so far, the block's postings are not looked at.
+Queries are packed into blocks too, which are sent to where the segments lie, a
+bounded number of them at a time.  A task walks its segments once and keeps the
+best ``k`` chunks per query.  The weighted sum of the bounds is the most that any
+chunk of a block can score; where it cannot reach the ``k``-th best score found so
+far, the block's postings are not looked at.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +38,15 @@ BM25_B = 0.75
 SEGMENT = 1024
 BLOCK = 64
 # Tokens a segment is cut at, so chunks of any length make rows of a few MB.
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 18
 QUERIES = 256
+# Query blocks that meet the segments at once; more take further passes over them.
+ROUND = 64
+# Rows of a batch of postings.
+POSTINGS = 1 << 16
+# Rows of a row group of stored segments: readers decode a whole group at once, so it
+# holds few.  (The limit by size is only looked at after 100 rows.)
+SEGMENT_FILES = {"parquet.block.row.count.limit": "4"}
 # Float noise of a sum; scores are rounded to SCORE_DIGITS decimals.
 SLACK = 2 * 10.0**-SCORE_DIGITS
 
@@ -62,10 +71,20 @@ class SegmentIndex:
     @property
     def postings(self) -> DataFrame:
         """``(term, chunk_id, tf, dl)`` as ``build_postings`` has them."""
-        spelled = F.flatten(F.transform(F.arrays_zip("terms", "df"), lambda t: F.array_repeat(t["terms"], t["df"])))
-        entry = F.inline(F.arrays_zip(spelled.alias("term"), F.col("post_chunk").alias("at"), F.col("post_tf").alias("tf")))
-        rows = self.segments.select("chunk_ids", F.col("dl").alias("lengths"), entry)
-        return rows.select("term", F.col("chunk_ids")[F.col("at")].alias("chunk_id"), "tf", F.col("lengths")[F.col("at")].alias("dl"))
+        fields = {"term": T.StringType(), "chunk_id": self.segments.schema["chunk_ids"].dataType.elementType, "tf": T.IntegerType(), "dl": T.IntegerType()}
+        schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    chunk_ids, dl, terms, df, at, tf = (column[i].values for column in batch.columns)
+                    term = np.repeat(np.arange(len(terms), dtype=np.int32), df.to_numpy())
+                    for first in range(0, len(at), POSTINGS):
+                        part = slice(first, first + POSTINGS)
+                        columns = [terms.take(pa.array(term[part])), chunk_ids.take(at[part]), tf[part], dl.take(at[part])]
+                        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        return self.segments.select("chunk_ids", "dl", "terms", "df", "post_chunk", "post_tf").mapInArrow(spell, schema)
 
 
 def segment_columns(token_lists: pa.ListArray, block: int = BLOCK) -> tuple[pa.Array, dict[str, np.ndarray]]:
@@ -100,18 +119,26 @@ def build_segments(chunks: DataFrame, rows: int = SEGMENT, block: int = BLOCK) -
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        ids = lists = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                ids = batch.column(0) if ids is None else pa.concat_arrays([ids, batch.column(0)])
+                lists = batch.column(1) if lists is None else pa.concat_arrays([lists, batch.column(1)])
+            if ids is None:
+                return
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             at = 0
-            while at < batch.num_rows:
+            while at < len(ids):
                 full = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SEGMENT_TOKENS))
-                end = min(batch.num_rows, at + rows, max(at + 1, full))
-                part = batch.slice(at, end - at)
-                terms, lists = segment_columns(part.column(1), block)
-                columns = [pa.array([number]), one(part.column(0)), one(terms)]
-                columns += [one(pa.array(v.astype(np.int32))) for v in lists.values()]
+                end = min(len(ids), at + rows, max(at + 1, full))
+                if batch is not None and end == len(ids):
+                    break  # the next batch may go on with it
+                terms, values = segment_columns(lists[at:end], block)
+                columns = [pa.array([number]), one(ids[at:end]), one(terms)]
+                columns += [one(pa.array(v.astype(np.int32))) for v in values.values()]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 number, at = number + 1, end
+            ids, lists = ids[at:], lists[at:]
 
     return words.mapInArrow(build, schema)
 
@@ -130,13 +157,13 @@ def length_stats(segments: DataFrame) -> DataFrame:
 
 def segment_index(chunks: DataFrame) -> SegmentIndex:
     """The index of a chunk table for the queries of one run: segments written once, counts read from them."""
-    segments = staged(build_segments(chunks), "segments")
+    segments = staged(build_segments(chunks), "segments", **SEGMENT_FILES)
     return SegmentIndex(segments, term_counts(segments), length_stats(segments))
 
 
 def write_segments(chunks: DataFrame, path: str) -> None:
     """Store the index of a chunk table below ``path``."""
-    build_segments(chunks).write.mode("overwrite").parquet(f"{path}/segments")
+    build_segments(chunks).write.mode("overwrite").options(**SEGMENT_FILES).parquet(f"{path}/segments")
     written = chunks.sparkSession.read.parquet(f"{path}/segments")
     # Sorted by term, so query terms meet few row groups.
     term_counts(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
@@ -182,7 +209,8 @@ def query_blocks(queries: DataFrame, index: SegmentIndex, rows: int = QUERIES) -
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return flat.mapInArrow(pack, schema)
+    # Dealt to no more tasks than it takes, so that blocks are full.
+    return flat.repartition(max(1, -(-queries.count() // rows))).mapInArrow(pack, schema)
 
 
 class BlockScorer:
@@ -256,18 +284,14 @@ def bm25_topk(
 
     Only chunks that share a word with the query can be hits, and a score that
     rounds to nothing is none.  ``source`` is a stored index or the chunk table,
-    whose index is then built where the chunks lie.  Every part of the segments
-    meets every block of queries; what is shuffled back are ``k`` rows per query
-    and task.
+    whose index is then built where the chunks lie.  The segments stay there as
+    well: up to ``ROUND`` blocks of queries are broadcast to them at a time, and
+    what is shuffled back are ``k`` rows per query and task.
     """
     index = source if isinstance(source, SegmentIndex) else segment_index(source)
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = query_blocks(queries, index, queries_per_block).withColumn("q_no", F.xxhash64("query_ids"))
-    blocks = blocks.withColumn("avg_len", index.stats.select("avg_len").scalar())
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    segments = index.segments.withColumn("part", F.pmod(F.xxhash64("segment"), F.lit(parts)).cast("int"))
-    pairs = segments.join(blocks, "part").sortWithinPartitions("q_no")
-    pairs = pairs.select("q_no", "query_ids", "query_terms", "users", "places", "weights", "avg_len", "chunk_ids", "terms", *LISTS)
+    blocks = staged(blocks.withColumn("avg_len", index.stats.select("avg_len").scalar()), "query-blocks")
+    rounds = max(1, -(-blocks.count() // ROUND))
     kinds = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
     query_kind, chunk_kind = queries.schema["query_id"].dataType, index.segments.schema["chunk_ids"].dataType.elementType
     schema = T.StructType(
@@ -282,20 +306,27 @@ def bm25_topk(
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, scorer = None, None, None
+        # The blocks of one round.
+        scorers: dict[int, tuple[pa.Array, BlockScorer]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
                 q_no = cell["q_no"].as_py()
-                if scorer is None or q_no != current:
-                    if scorer is not None:
-                        yield from hits(ids, scorer)
-                    current, ids = q_no, cell["query_ids"].values
-                    entries = [cell[c].values.to_numpy(zero_copy_only=False) for c in ("users", "places", "weights")]
-                    scorer = BlockScorer(cell["query_terms"].values, *entries, len(ids), k, cell["avg_len"].as_py(), k1, b)
+                if q_no not in scorers:
+                    # Copies: a view would keep the whole batch.
+                    ids, terms = (pa.concat_arrays([cell[c].values, cell[c].values[:0]]) for c in ("query_ids", "query_terms"))
+                    entries = [np.array(cell[c].values.to_numpy(zero_copy_only=False)) for c in ("users", "places", "weights")]
+                    scorers[q_no] = (ids, BlockScorer(terms, *entries, len(ids), k, cell["avg_len"].as_py(), k1, b))
                 lists = {name: cell[name].values.to_numpy(zero_copy_only=False).astype(np.int64) for name in LISTS}
-                scorer.add(cell["chunk_ids"].values.to_numpy(zero_copy_only=False), cell["terms"].values, lists)
-        if scorer is not None:
+                scorers[q_no][1].add(cell["chunk_ids"].values.to_numpy(zero_copy_only=False), cell["terms"].values, lists)
+        for ids, scorer in scorers.values():
             yield from hits(ids, scorer)
 
-    return top_k(pairs.mapInArrow(scan, schema), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    found = None
+    for number in range(rounds):
+        asked = blocks.filter(F.pmod("q_no", F.lit(rounds)) == number)
+        pairs = index.segments.crossJoin(F.broadcast(asked))
+        pairs = pairs.select("q_no", "query_ids", "query_terms", "users", "places", "weights", "avg_len", "chunk_ids", "terms", *LISTS)
+        part = pairs.mapInArrow(scan, schema)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

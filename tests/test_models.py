@@ -11,6 +11,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,30 @@ def test_bm25_plans_without_collecting(spark, sf, monkeypatch):
     bm25.bm25_topk(chunks(spark, sf), fx.text_queries(spark, sf), 3)
 
 
+def test_bm25_segments_stay_where_they_lie(spark, monkeypatch):
+    """Queries from many partitions make full blocks, segments go on over Arrow batches and are not shuffled, further rounds change nothing."""
+    docs = [(i, f"common w{i % 7} w{i % 11} only{i}") for i in range(300)]
+    queries = [(i, f"common w{i % 5} only{i * 3}") for i in range(40)]
+    chunk_table = spark.createDataFrame(docs, "chunk_id long, text string").coalesce(1)
+    query_table = spark.createDataFrame(queries, "query_id long, query string").repartition(6)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2k")
+    try:
+        index_of = bm25.segment_index(chunk_table)
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(len(r.chunk_ids) for r in index_of.segments.select("chunk_ids").collect()) == [300]
+    assert bm25.query_blocks(query_table, index_of).count() == 1
+    found = bm25.bm25_topk(index_of, query_table, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(part" not in plan and "BroadcastNestedLoopJoin" in plan
+    want = as_rows(found)
+    monkeypatch.setattr(bm25, "ROUND", 2)
+    assert as_rows(bm25.bm25_topk(index_of, query_table, 3, queries_per_block=3)) == want
+    assert [(q, r, i) for q, r, i, _ in want] == [(q, r, i) for q, r, i, _ in plain_bm25(docs, queries, 3)]
+
+
 def test_vector_blocks(spark, sf):
     from folioflow import fixtures as fx
     from folioflow.plans.retrieval import vectors
@@ -265,7 +290,11 @@ def test_index_round_trip(spark, sf, tmp_path):
 
     docs, queries = chunks(spark, sf), fx.text_queries(spark, sf)
     bm25.write_segments(docs, str(tmp_path))
+    bm25.build_segments(docs.coalesce(1), 8).write.options(**bm25.SEGMENT_FILES).parquet(f"{tmp_path}/many/segments")
     stored = bm25.read_segments(spark, str(tmp_path))
+    # A reader decodes a whole row group at once.
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("many/segments/*.parquet")]
+    assert sum(f.num_rows for f in files) > 8 and max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 4
     assert as_rows(bm25.bm25_topk(stored, queries, 3)) == as_rows(bm25.bm25_topk(docs, queries, 3))
     built = index.build_postings(docs)
     rows = lambda df: sorted(tuple(r) for r in df.collect())
