@@ -37,50 +37,76 @@ def stream_daily(log: DataFrame, delay: str = "1 day") -> DataFrame:
     return days.select(F.to_date("window.start").alias("log_date"), *days.columns[1:])
 
 
+# Rows a map task holds while it cuts; more keys than that go on to the shuffle.
+HELD = 200_000
+# Clients of a day are kept in so many states, each a list of counts.
+BUCKETS = 2048
+
+
+def _firsts(frame: pd.DataFrame, keys: Sequence[str], limit: int) -> pd.DataFrame:
+    """The first ``limit`` rows of each key by time and id, in that order."""
+    ordered = frame.iloc[np.lexsort((frame["request_id"].to_numpy(), frame["ts"].to_numpy()))]
+    return ordered.groupby(list(keys), sort=False, dropna=False).head(limit)
+
+
+def cut_frames(frames: Iterator[pd.DataFrame], keys: Sequence[str], limit: int) -> Iterator[pd.DataFrame]:
+    """The first ``limit`` rows of each key within every stretch of up to ``HELD`` rows kept.
+
+    Frames are cut alone, and together only once enough has come, so each row is
+    sorted a few times, whatever the number of keys.
+    """
+    held, size = [], 0
+    for frame in frames:
+        held.append(_firsts(frame, keys, limit))
+        size += len(held[-1])
+        if size > HELD:
+            merged = _firsts(pd.concat(held, ignore_index=True), keys, limit)
+            held, size = [merged], len(merged)
+            if size > HELD // 2:
+                yield merged
+                held, size = [], 0
+    if held:
+        yield _firsts(pd.concat(held, ignore_index=True), keys, limit)
+
+
 def first_by_task(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Of what a map task reads of each key, the first ``limit`` rows by time and id.
 
     The later ones cannot be among the first of the key.  A client with any share
-    of a micro-batch so sends ``limit`` rows per task to its state.
+    of a micro-batch so sends ``limit`` rows per task to its state.  A task whose
+    rows have too many keys to hold passes on what it has, and starts anew.
     """
-    order = ["ts", "request_id"]
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            pool = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            held = pool.sort_values(order, kind="stable").groupby(list(keys), sort=False, dropna=False).head(limit)
-        if held is not None:
-            yield held
-
-    return rows.mapInPandas(cut, rows.schema)
+    return rows.mapInPandas(lambda frames: cut_frames(frames, keys, limit), rows.schema)
 
 
 class DailyQuota(StatefulProcessor):
-    """Requests of a (client, day) in time order until the limit; a timer clears the count after the day."""
+    """Requests of the clients of a (day, bucket) in time order until the limit of each; a timer clears the counts after the day."""
 
     def __init__(self, limit: int, columns: Sequence[str]):
         self.limit, self.columns = limit, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", T.StructType().add("n", T.LongType()))
+        kind = T.StructType().add("clients", T.ArrayType(T.StringType())).add("n", T.ArrayType(T.LongType()))
+        self.used = handle.getValueState("used", kind)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        used = self.used.get()[0] if self.used.exists() else 0
-        free = max(self.limit - used, 0)
+        known = self.used.exists()
+        used = dict(zip(*self.used.get())) if known else {}
         held = None
         for frame in rows:
-            pool = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            held = pool.iloc[np.lexsort((pool["request_id"].to_numpy(), pool["ts"].to_numpy()))[:free]]
-        admitted = 0 if held is None else len(held)
-        if not self.used.exists():
-            day_end = dt.datetime.combine(key[1], dt.time(), dt.timezone.utc) + dt.timedelta(days=1)
+            held = _firsts(frame if held is None else pd.concat([held, frame], ignore_index=True), ["hashed_ip"], self.limit)
+        before = np.array([used.get(client, 0) for client in held["hashed_ip"]])
+        admitted = held[held.groupby("hashed_ip", sort=False, dropna=False).cumcount().to_numpy() < self.limit - before]
+        for client in admitted["hashed_ip"]:
+            used[client] = used.get(client, 0) + 1
+        if not known:
+            day_end = dt.datetime.combine(key[0], dt.time(), dt.timezone.utc) + dt.timedelta(days=1)
             expiry = int((day_end + dt.timedelta(hours=COUNTER_TTL_HOURS)).timestamp() * 1000)
             self.handle.registerTimer(max(expiry, timerValues.getCurrentWatermarkInMs() + 1))
-        self.used.update((used + admitted,))
-        if admitted:
-            yield held[self.columns]
+        self.used.update((list(used), list(used.values())))
+        if len(admitted):
+            yield admitted[self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.used.clear()
@@ -93,8 +119,9 @@ class DailyQuota(StatefulProcessor):
 def stream_quota(log: DataFrame, limit: int = CLIENT_DAILY_LIMIT, delay: str = "1 day") -> DataFrame:
     """In-scope requests within the daily quota of their client.
 
-    State per (client, day) is the number of requests admitted; an event-time
-    timer clears it 48 hours after the day.  Within a micro-batch requests count
+    State are the numbers of requests admitted, by client and day; those of a day are
+    kept in ``BUCKETS`` lists, so that a call into Python and a state access serve
+    many clients.  An event-time timer clears a list 48 hours after the day.  Within a micro-batch requests count
     in time order.  Map tasks cut each key to its first ``limit`` rows ahead of the
     shuffle, so no key is more than that many rows per task.  The state lives in
     RocksDB, which ``transformWithState`` needs.
@@ -104,7 +131,8 @@ def stream_quota(log: DataFrame, limit: int = CLIENT_DAILY_LIMIT, delay: str = "
     output = T.StructType([log.schema[c] for c in (*keys, "request_id", "ts")])
     in_scope = log.filter(~F.col("rejected")).select(*output.fieldNames())
     firsts = first_by_task(in_scope, keys, limit).withWatermark("ts", delay)
-    return firsts.groupBy(*keys).transformWithStateInPandas(
+    firsts = firsts.withColumn("bucket", F.pmod(F.xxhash64("hashed_ip"), F.lit(BUCKETS)))
+    return firsts.groupBy("log_date", "bucket").transformWithStateInPandas(
         DailyQuota(limit, output.fieldNames()), output, outputMode="append", timeMode="EventTime"
     )
 

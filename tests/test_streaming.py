@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioflow.session import stage_path
@@ -78,6 +79,37 @@ def test_quota_of_a_hot_client(spark):
     assert got.filter("hashed_ip = 'a'").count() == 2
 
 
+def test_quota_of_many_clients(spark, monkeypatch):
+    """Clients share the states of a day, null among them."""
+    monkeypatch.setattr(jobs, "BUCKETS", 3)
+    first = [row(i, i % 600, ip=None if i % 40 == 0 else f"c{i % 40}") for i in range(400)]
+    second = [row(1000 + i, 700 + i % 200, ip=f"c{i % 80}" if i % 80 else None) for i in range(240)]
+    path, checkpoint = stage_path(spark, "quota"), stage_path(spark, "stream-checkpoint")
+    jobs.drain(jobs.stream_quota(source(spark, [first, second]), limit=11), path, checkpoint=checkpoint)
+    want, used = set(), {}
+    for batch in (first, second):
+        for r in sorted(batch, key=lambda r: (r[1], r[0])):
+            used[r[3]] = used.get(r[3], 0) + 1
+            if used[r[3]] <= 11:
+                want.add(r[0])
+    assert sorted(r.request_id for r in spark.read.parquet(path).collect()) == sorted(want)
+    states = spark.read.format("statestore").option("stateVarName", "used").load(checkpoint)
+    assert 1 <= states.count() <= 3
+
+
+def test_many_keys_are_cut_in_stretches(monkeypatch):
+    """Each row is sorted a few times, and no task holds all of its rows."""
+    seen, plain = [], jobs._firsts
+    monkeypatch.setattr(jobs, "_firsts", lambda frame, *rest: seen.append(len(frame)) or plain(frame, *rest))
+    monkeypatch.setattr(jobs, "HELD", 50)
+    frames = [pd.DataFrame({"hashed_ip": [f"d{i}", "hot"], "request_id": [i, -i], "ts": [START, START]}) for i in range(500)]
+    out = pd.concat(jobs.cut_frames(iter(frames), ["hashed_ip"], 5))
+    assert sum(seen) <= 4 * 1000 and max(seen) <= 60
+    assert sorted(out.loc[out["hashed_ip"] != "hot", "request_id"]) == list(range(500))
+    hot = out.loc[out["hashed_ip"] == "hot", "request_id"]
+    assert set(range(-499, -494)) <= set(hot) and len(hot) <= 5 * (1000 // 25)
+
+
 def test_dedup_over_batches(spark):
     stream = source(spark, [[row(1, 0), row(2, 1)], [row(2, 1), row(3, 2)]])
     path = stage_path(spark, "dedup")
