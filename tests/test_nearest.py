@@ -59,3 +59,16 @@ def test_lsh_recall(spark):
     candidates = nearest.signatures(left, "chunk_id", "embedding", 8, 12, 1).join(asked, ["table", "bucket"]).select("query_id", "chunk_id").distinct()
     assert candidates.count() < 0.3 * left.count() * right.count()
     assert nearest.lsh_topk(left.limit(0), right, 3).count() == 0
+
+
+def test_lsh_makes_no_row_per_pair(spark):
+    """Its result is that of the joined bucket tables, from at most ``k`` rows per query and task."""
+    left, right = frames(spark, clustered(5, groups=30), clustered(5, groups=30, size=2))
+    keys = ["table", "bucket"]
+    tables = [nearest.signatures(df, key, vec, 8, 12, 1) for df, key, vec in ((left, "chunk_id", "embedding"), (right, "query_id", "query_vec"))]
+    pairs = {tuple(r) for r in tables[0].join(tables[1], keys).select("query_id", "chunk_id").distinct().collect()}
+    found = nearest.lsh_topk(left, right, 1000, tables=8, bits=12)
+    assert {(r.query_id, r.chunk_id) for r in found.collect()} == pairs
+    assert "[table" not in found._jdf.queryExecution().executedPlan().toString()
+    few = {(r.query_id, r["rank"]): r.score for r in nearest.lsh_topk(left, right, 3, tables=8, bits=12).collect()}
+    assert few == {(r.query_id, r["rank"]): r.score for r in found.filter("rank <= 3").collect()}
