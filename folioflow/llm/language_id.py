@@ -148,7 +148,11 @@ def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
     sample: int = SAMPLE, clusters: int = CLUSTERS, dimensions: int = DIMENSIONS,
 ) -> Model:
-    """Count in Spark, cluster the ``sample`` count vectors (2 bytes a cell) on the driver."""
+    """Count in Spark, cluster the ``sample`` count vectors on the driver.
+
+    A cell takes 2 bytes as a count and 4 as a weight there; counts are weighed
+    a few rows at a time, so nothing else of that size is held.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +164,14 @@ def fit(
 
     schema = T.StructType().add("label", "string").add("counts", "binary")
     rows = training_sample(docs, id_col, text_col, label_col, sample).mapInArrow(count, schema).collect()
-    rows.sort(key=lambda r: (r.label, bytes(r.counts)))
+    rows.sort(key=lambda r: (r.label, r.counts))
     labels = np.array([r.label for r in rows])
-    counts = np.stack([np.frombuffer(r.counts, np.uint16) for r in rows]).astype(np.float32) if rows else np.zeros((0, dimensions), np.float32)
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
-    vectors = weigh(counts, idf)
+    counts = np.stack([np.frombuffer(r.counts, np.uint16) for r in rows]) if rows else np.zeros((0, dimensions), np.uint16)
+    del rows
+    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
+    vectors = np.empty(counts.shape, np.float32)
+    for at in range(0, len(counts), 256):
+        vectors[at : at + 256] = weigh(counts[at : at + 256].astype(np.float32), idf)
     languages, owner, centroids = tuple(sorted(set(labels.tolist()))), [], []
     for i, language in enumerate(languages):
         own = vectors[labels == language]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -138,3 +139,17 @@ def test_sample_is_bounded(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.when(F.col("id") < 10, "a").otherwise("b").alias("lang"))
     rows = language_id.training_sample(docs, "doc_id", "text", "lang", 40).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in rows} == {"a": 10, "b": 30}
+
+
+def test_fit_holds_little_on_the_driver(spark):
+    """6 bytes a cell stay, as counts and weights; more than 14 at once is a copy of all of them."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(20)), "ab"[i % 2]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 14 * 1500 * language_id.DIMENSIONS
