@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.html import read_page
-from folioflow.functions.running import line_block, running
+from folioflow.functions.running import line_block, neighbours, running
 from folioflow.functions.ranking import top_k
-from folioflow.functions.text import EXCERPT_CHARS, EXCERPT_MIN_CHARS, excerpt, strip_markup
+from folioflow.functions.text import EXCERPT_CHARS, EXCERPT_MIN_CHARS, WHITE_SPACE, excerpt, strip_markup
+from folioflow.sources.files import staged
 
 # Fixed values of the extraction contract.
 MIN_PARAGRAPH_CHARS = 30
@@ -163,20 +164,24 @@ def section_references(df: DataFrame, key: str, position: str, text: str = "line
     """
     lines = df.select(key, F.col(position).alias(position), F.col(text).alias("__line")).filter(F.col("__line").rlike(r"\S"))
     lines = lines.withColumn("__head", F.substring(F.regexp_replace("__line", r"^\s+", ""), 1, 9))
+    lines = lines.withColumn("__tail", F.coalesce(F.regexp_extract(F.right(F.rtrim("__line", F.lit(WHITE_SPACE)), F.lit(24)), REFERENCE_ENDS, 1), F.lit("")))
     block = line_block(position)
-    ahead = running(lines, [key], [position], block, {"__next": ("last", F.col("__head"), False)}, reverse=True)
-    tail = F.nullif(F.regexp_extract("__line", REFERENCE_ENDS, 1), F.lit(""))
-    ahead = ahead.withColumn("__open", F.coalesce(F.concat_ws(" ", tail, "__next").rlike(REFERENCE_GOES_ON) & tail.isNotNull(), F.lit(False)))
-    marked = running(ahead, [key], [position], block, {"__before": ("last", F.col("__open"), False)})
-    marked = marked.withColumn("__before", F.coalesce("__before", F.lit(False))).select(key, position, "__line", "__open", "__before")
+    near = neighbours(lines, [key], position, block, {"__next": ("next", "__head"), "__last": ("previous", "__tail")})
+    goes_on = lambda tail, head: F.coalesce((tail != "") & F.concat_ws(" ", tail, head).rlike(REFERENCE_GOES_ON), F.lit(False))
+    marked = near.select(
+        key, position, "__line", goes_on(F.col("__tail"), F.col("__next")).alias("__open"), goes_on(F.col("__last"), F.col("__head")).alias("__before")
+    )
+    # Read for lines that stand alone and, several times, for the few in runs.
+    marked = staged(marked, "line-runs")
     alone = marked.filter("not (__open or __before)").select(key, position, F.col("__line").alias("__text"))
     starts = {"__run": ("max", F.when(~F.col("__before"), F.col(position)), True)}
     runs = running(marked.filter("__open or __before"), [key], [position], block, starts)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, "__line"))), lambda x: x["__line"]), "\n")
     joined = runs.groupBy(key, "__run").agg(whole.alias("__text")).withColumnRenamed("__run", position)
     found = alone.unionByName(joined.select(key, position, "__text"))
-    found = found.select(key, position, F.posexplode_outer(F.regexp_extract_all("__text", F.lit(SECTION_REF), F.lit(0))).alias("nth", "m"))
-    numbered = found.select(key, position, "nth", F.regexp_extract("m", r"\d{1,4}", 0).try_cast("int").alias("section"))
+    # Numbers are read ahead of the explode: a filter on them after it would read each one several times.
+    numbers = F.transform(F.regexp_extract_all("__text", F.lit(SECTION_REF), F.lit(0)), lambda m: F.regexp_extract(m, r"\d{1,4}", 0).try_cast("int"))
+    numbered = found.select(key, position, F.posexplode_outer(numbers).alias("nth", "section"))
     return numbered.filter(F.col("section").between(*FIRST_CODE) | F.col("section").between(*SECOND_CODE))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow import fixtures as fx
 from folioflow.operators import citations, extract
+from folioflow.sources.files import staged
 
 DOMAIN = "cases.example.com"
 
@@ -94,7 +95,8 @@ REFERRING = """case line_no % 50 when 7 then concat(line, ' s. 309 and 310 BNS,
 
 
 def dominant(spark, sf):
-    lines = fx.act_lines(spark, sf).selectExpr("act_id", "line_no", REFERRING)
+    # Read for the edges of blocks, the lines and the acts.
+    lines = staged(fx.act_lines(spark, sf).selectExpr("act_id", "line_no", REFERRING), "act-lines")
     # Every act has a companion without any line.
     acts = lines.select(F.explode(F.array("act_id", -1 - F.col("act_id"))).alias("act_id"))
     refs = extract.section_references(lines, "act_id", "line_no")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+from pyspark.sql import functions as F
+
 from folioflow import fixtures as fx
 from folioflow.functions import ranking
-from folioflow.operators import embed, loganalytics
+from folioflow.operators import embed, extract, loganalytics
 from folioflow.plans import logs, preparation, retrieval
 from folioflow.plans.catalog import QUERIES
 from folioflow.session import stage_run
@@ -78,3 +80,18 @@ def test_stage_tables_go_with_their_run(spark, sf):
         rows = retrieval.bm25_hits(spark, sf).count()
         assert rows and os.path.isdir(folder.removeprefix("file:"))
     assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_reference_search_reads_its_lines_twice(spark, monkeypatch, tmp_path):
+    """Once for the edges of blocks and once for the lines, whatever the number of passes; blocks change nothing."""
+    words = ["see section", "378 and 5 of the", "Indian Penal", "", "Code s. 379", "x", "under sec", "  ", "402 IPC", "305 BNS", "1. of", "the Bharatiya"]
+    rows = [(act, n, words[(act * 5 + n * 7) % len(words)]) for act in range(9) for n in range(1, 40)]
+    spark.createDataFrame(rows, "act_id long, line_no long, line string").write.parquet(f"{tmp_path}/lines")
+    lines, seen, staged = spark.read.parquet(f"{tmp_path}/lines"), [], getattr(extract, "staged", None)
+    monkeypatch.setattr(extract, "staged", lambda df, name: seen.append(df) or staged(df, name), raising=False)
+    found = extract.section_references(lines, "act_id", "line_no")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in [*seen, found]]
+    assert sum(plan.count("Relation [act_id#") for plan in plans) <= 2 + 4  # the stage table: lines alone, and runs in two passes
+    whole = sorted(found.collect())
+    monkeypatch.setattr(extract, "line_block", lambda col: F.floor(F.col(col) / 2))
+    assert whole and sorted(extract.section_references(lines, "act_id", "line_no").collect()) == whole
