@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.html import read_page
 from folioflow.functions.running import line_block, neighbours, running
@@ -36,6 +38,9 @@ SECTION_REF = (
 FIRST_CODE, SECOND_CODE = (378, 402), (303, 313)
 CONFIDENCE = ("high", "medium", "low")
 
+# Pages that a task holds parsed at once.
+PIECE_ROWS, PIECE_BYTES = 256, 1 << 20
+
 PAGE_FIELDS = "has_container boolean, paragraphs array<string>, title string, court string, headings array<string>, parse_error string"
 
 
@@ -45,20 +50,38 @@ def parse_pages(pages: DataFrame, key: str = "page_id", whole_token: bool = Fals
     A page that breaks the parser yields its error and no paragraphs; the
     others go on.
     """
-    kind = pages.schema[key].dataType.simpleString()
+    schema = T.StructType([T.StructField(key, pages.schema[key].dataType), *T.StructType.fromDDL(PAGE_FIELDS).fields])
     empty = {"has_container": False, "paragraphs": [], "title": None, "court": None, "headings": []}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page, html in zip(frame[key], frame["html"]):
-                try:
-                    rows.append({key: page, **read_page(html or "", MIN_PARAGRAPH_CHARS, whole_token), "parse_error": None})
-                except Exception as problem:
-                    rows.append({key: page, **empty, "parse_error": f"{type(problem).__name__}: {problem}"})
-            yield pd.DataFrame(rows, columns=[key, *empty, "parse_error"])
-
-    return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, {PAGE_FIELDS}")
+    strings = pa.list_(pa.string())
+    kinds = [pa.bool_(), strings, pa.string(), pa.string(), strings, pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                rows = []
+                for html in batch.column(1):
+                    try:
+                        found = read_page(html.as_py() or "", MIN_PARAGRAPH_CHARS, whole_token)
+                        rows.append((*(found[name] for name in empty), None))
+                    except Exception as problem:
+                        rows.append((*empty.values(), f"{type(problem).__name__}: {problem}"))
+                columns = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.record_batch([batch.column(0), *columns], schema.names)
+
+    return pages.select(key, "html").mapInArrow(run, schema)
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``PIECE_ROWS`` rows and, but for a single longer page, ``PIECE_BYTES`` bytes of pages."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if at > start and (held + size > PIECE_BYTES or at - start >= PIECE_ROWS):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def extract_paragraphs(parsed: DataFrame, key: str = "page_id") -> DataFrame:

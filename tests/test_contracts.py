@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 import datetime as dt
 
 import numpy as np
@@ -277,3 +279,13 @@ def test_percentiles_of_nothing_and_of_one_value(spark):
     assert sorted(map(tuple, ranking.nearest_rank(same, "v", (50, 95)).collect())) == [(50, 2.5), (95, 2.5)]
     money = spark.createDataFrame([(n,) for n in range(1, 12)], "n long").selectExpr("cast(n / 10 as decimal(12,2)) as v")
     assert str(ranking.nearest_rank(money, "v", (50,)).first().value) == "0.60"
+
+
+def test_pages_are_parsed_in_small_pieces(monkeypatch):
+    monkeypatch.setattr(extract, "PIECE_ROWS", 3)
+    monkeypatch.setattr(extract, "PIECE_BYTES", 10)
+    pages = ["a", None, "b", "c", "d" * 9, "e" * 30, "f", "", None]
+    batch = pa.record_batch([pa.array(range(9)), pa.array(pages)], ["page_id", "html"])
+    parts = [piece.column(1).to_pylist() for piece in extract.pieces(batch)]
+    assert parts == [["a", None, "b"], ["c", "d" * 9], ["e" * 30], ["f", "", None]]
+    assert list(extract.pieces(batch.slice(0, 0))) == []
