@@ -41,6 +41,9 @@ CONFIDENCE = ("high", "medium", "low")
 # Pages that a task holds parsed at once.
 PIECE_ROWS, PIECE_BYTES = 256, 1 << 20
 
+# A model of so many words, with so many bytes in them, is copied to the tasks.
+MODEL_WORDS, MODEL_BYTES = 1 << 19, 8 << 20
+
 PAGE_FIELDS = "has_container boolean, paragraphs array<string>, title string, court string, headings array<string>, parse_error string"
 
 
@@ -276,26 +279,36 @@ def confidence_summary(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return long.groupBy("field").agg(*[F.count_if(F.col("confidence") == c).alias(c) for c in CONFIDENCE])
 
 
-def relevance_scores(train: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def relevance_scores(train: DataFrame, docs: DataFrame, key: str, text: str = "text", max_words: int = MODEL_WORDS) -> DataFrame:
     """``key``, ``relevance_score`` (0..1) and ``status`` by multinomial naive Bayes.
 
     ``train(key, text, label)`` may overlap ``docs``.  The model is two counts
     per word and four totals, from one aggregate each; words the training
     texts do not have say nothing.  Log-odds are cut at +-30, far beyond the
     six decimals of the score.
+
+    A stored model of up to ``max_words`` words is copied to the tasks, where
+    the words of a text are summed as they lie: one row per text is shuffled.
+    A larger one is joined to the texts' word counts.
     """
     from folioflow.operators.quality import APPROVE_AT, REVIEW_AT
 
     words = lambda df, *keep: df.select(*keep, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term"))
     one = F.col("label") == 1
     counts = words(train, "label").groupBy("term").agg(F.count_if(one).alias("pos"), F.count_if(~one).alias("neg"))
+    counts = staged(counts, "relevance-counts")
     totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("terms"))
     prior = train.agg(F.log((F.count_if(one) + 1.0) / (F.count_if(~one) + 1.0)).alias("odds"))
     pos, neg, terms = (totals.select(c).scalar() for c in ("pos", "neg", "terms"))
     odds = F.log((F.col("pos") + 1.0) / (pos + terms)) - F.log((F.col("neg") + 1.0) / (neg + terms))
     weights = counts.select("term", odds.alias("odds"))
-    tf = words(docs, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    sums = tf.join(weights, "term").groupBy(key).agg(F.sum(F.col("tf") * F.col("odds")).alias("odds"))
+    size = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    if size.n <= max_words and size.bytes <= MODEL_BYTES:
+        found = words(docs, key).join(F.broadcast(weights), "term")
+        sums = found.groupBy(key).agg(F.sum("odds").alias("odds"))
+    else:
+        tf = words(docs, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        sums = tf.join(weights, "term").groupBy(key).agg(F.sum(F.col("tf") * F.col("odds")).alias("odds"))
     total = prior.select("odds").scalar() + F.coalesce("odds", F.lit(0.0))
     score = F.round(1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0)))), 6)
     scored = docs.select(key).join(sums, key, "left").select(key, score.alias("relevance_score"))
