@@ -7,8 +7,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from folioflow import fixtures as fx
+from folioflow.functions import running as steps
 from folioflow.functions.running import line_block, neighbours, running
 from folioflow.operators import sections
+from folioflow.plans import preparation
 
 
 def lines_of(spark, texts, page=4):
@@ -68,3 +71,28 @@ def test_cheap_line_tests_keep_the_patterns_results(spark):
     rows = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: r[0])
     assert rows(noted) == rows(plain)
     assert any(r[2] for r in rows(plain)) and any(r[3] for r in rows(plain)) and any(r[1] for r in rows(plain))
+
+
+def test_repeated_lines_are_counted_in_parts_that_grow_with_the_lines(spark, sf, monkeypatch):
+    whole = sorted(map(tuple, preparation.act_repeats(spark, sf).collect()))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    for size in (rows // 9, rows // 31):
+        monkeypatch.setattr(steps, "ROWS_PER_TASK", size)
+        for df in (fx.act_lines(spark, sf), preparation.act_repeats(spark, sf)):
+            assert df.rdd.getNumPartitions() >= rows / size
+        assert sorted(map(tuple, preparation.act_repeats(spark, sf).collect())) == whole
+    assert whole
+
+
+def test_a_line_of_all_pages_is_counted_once_per_page(spark):
+    # Twice on each of 300 pages; others on two pages, and three times on one.
+    texts = [t for i in range(300) for t in ("title ", " title", f"own {i}", f"pair {i // 2}")] + ["thrice"] * 3
+    for parts in (None, 5):
+        found = sections.repeating_lines(lines_of(spark, texts), "act_id", "page_no", parts=parts)
+        assert [tuple(r) for r in found.collect()] == [(1, "title", 300)]
+
+
+def test_a_computed_line_is_made_once(spark):
+    lines = lines_of(spark, ["a", "b"]).withColumn("line", F.concat(F.lit("made "), F.col("line")))
+    plan = sections.repeating_lines(lines, "act_id", "page_no")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(made") == 1
