@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from folioflow.functions.ranking import top_k
-from folioflow.functions.text import tokens
+from folioflow.functions.text import search_text, token_lists, tokens
 from folioflow.functions.vectors import SCORE_DIGITS, RunningTopK
 from folioflow.sources.files import staged
 
@@ -95,7 +95,10 @@ def segment_columns(token_lists: pa.ListArray, block: int = BLOCK) -> tuple[pa.A
     n, n_blocks = max(1, len(dl)), max(1, -(-len(dl) // block))
     pair, tf = np.unique(code * n + np.repeat(np.arange(len(dl)), dl), return_counts=True)
     term, chunk = np.divmod(pair, n)
-    part, start = np.unique(term * n_blocks + chunk // block, return_index=True)
+    # In order already, as the pairs are.
+    part = term * n_blocks + chunk // block
+    start = np.flatnonzero(np.diff(part, prepend=-1))
+    part = part[start]
     most = np.maximum.reduceat(tf, start) if len(start) else tf
     least = np.minimum.reduceat(dl[chunk], start) if len(start) else tf
     lists = (dl, np.bincount(term, minlength=len(coded.dictionary)), chunk, tf, part // n_blocks, part % n_blocks, most, least)
@@ -103,8 +106,11 @@ def segment_columns(token_lists: pa.ListArray, block: int = BLOCK) -> tuple[pa.A
 
 
 def build_segments(chunks: DataFrame, rows: int = SEGMENT, block: int = BLOCK) -> DataFrame:
-    """Segments of ``chunks(chunk_id, text)`` where they lie: nothing is shuffled."""
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("tokens"))
+    """Segments of ``chunks(chunk_id, text)`` where they lie: nothing is shuffled.
+
+    Texts are cut into tokens where the batches are, so they pass whole.
+    """
+    words = chunks.select("chunk_id", search_text(F.col("text")).alias("text"))
     schema = T.StructType(
         [
             T.StructField("segment", T.LongType()),
@@ -122,8 +128,9 @@ def build_segments(chunks: DataFrame, rows: int = SEGMENT, block: int = BLOCK) -
         ids = lists = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
+                found = token_lists(batch.column(1))
                 ids = batch.column(0) if ids is None else pa.concat_arrays([ids, batch.column(0)])
-                lists = batch.column(1) if lists is None else pa.concat_arrays([lists, batch.column(1)])
+                lists = found if lists is None else pa.concat_arrays([lists, found])
             if ids is None:
                 return
             upto = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))

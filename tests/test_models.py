@@ -239,6 +239,33 @@ def test_bm25_plans_without_collecting(spark, sf, monkeypatch):
     bm25.bm25_topk(chunks(spark, sf), fx.text_queries(spark, sf), 3)
 
 
+def test_tokens_of_batches_are_the_expressions(spark):
+    from folioflow.functions.text import search_text, token_lists, tokens
+
+    rng = random.Random(3)
+    marks = ["a", "B", "z9", "_", "0", " ", " ", "\n", "-", "§", "é", "ß", "\u0130", "\u212a", "\u4e2d", "\U0001f600", "x" * 40]
+    texts = [None, "", "a", "ab", "a b", "§", "a§", "\u212ab", "", "ends in one x", "y begins", "zz", None]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    rows = frame.select(search_text(F.col("text")).alias("text"), tokens(F.col("text")).alias("tokens")).collect()
+    expected = [r.tokens or [] for r in rows]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array([r.text for r in rows], kind)
+        assert token_lists(column).to_pylist() == expected
+        assert token_lists(column[7:95]).to_pylist() == expected[7:95]
+        assert token_lists(column[:0]).to_pylist() == []
+    assert token_lists(pa.array([None, None], pa.string())).to_pylist() == [[], []]
+    # Texts pass to the batches; no array of tokens is made ahead of them.
+    made = bm25.build_segments(frame.select(F.col("n").alias("chunk_id"), "text"))
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {n: terms for r in made.collect() for n, terms in zip(r.chunk_ids, [[] for _ in r.chunk_ids])}
+    for r in made.collect():
+        term = [t for t, n in zip(r.terms, r.df) for _ in range(n)]
+        for t, at, tf in zip(term, r.post_chunk, r.post_tf):
+            got[r.chunk_ids[at]] += [t] * tf
+    assert [sorted(got[n]) for n in range(len(texts))] == [sorted(t) for t in expected]
+
+
 def test_bm25_segments_stay_where_they_lie(spark, monkeypatch):
     """Queries from many partitions make full blocks, segments go on over Arrow batches and are not shuffled, further rounds change nothing."""
     docs = [(i, f"common w{i % 7} w{i % 11} only{i}") for i in range(300)]
